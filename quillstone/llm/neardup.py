@@ -13,8 +13,8 @@ can reach the threshold. What is left is verified on whole texts. With 144 regis
 a pair at 0.8 shares a band with probability 0.9993 and passes the sketch with more than 0.9999; a pair
 at 0.9 is lost with a probability below 1e-7.
 
-Copies of a text under the same instructions collapse to one representative before anything is shuffled;
-buckets have no cap.
+Copies of a text under the same instructions collapse within each task before anything is shuffled, and
+across tasks behind the one exchange by band key; buckets have no cap.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.shingles import hash_text, jaccard, letters, mix, plain, shingles
+from quillstone.operators.graph import components
 from quillstone.session import cut
 
 THRESHOLD = 0.8
@@ -88,8 +89,8 @@ def sketch(signatures: np.ndarray) -> np.ndarray:
 def near_duplicates(df: DataFrame, id_col: str = "item_id", instructions: str = "instructions", state: str = "state", t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members, links) of records with the same instructions and states of a similarity of ``t`` or more.
 
-    members: (id, ih, th) names the text class of each record; records of one class are copies as they
-    look. links: (ih, a, b, similarity) with a < b: classes whose texts reach ``t`` themselves.
+    members: (id, class) names the class of each record, a hash of instructions and state; records of one
+    class are copies as they look. links: (a, b, similarity) with a < b: classes that reach ``t`` themselves.
     Records with a null state take no part; null instructions equal empty ones; empty states are copies of
     each other; repeated rows count once per id; an empty table has neither members nor links.
     """
@@ -97,49 +98,54 @@ def near_duplicates(df: DataFrame, id_col: str = "item_id", instructions: str =
 
     def keyed(b: pd.DataFrame) -> pd.DataFrame:
         text = [plain(s) for s in b["_s"]]
-        ih = b["_i"].map({i: hash_text(letters(i)) for i in b["_i"].unique()})
-        return pd.DataFrame({"_id": b["_id"], "ih": ih.astype("int64"), "th": np.array([hash_text(x) for x in text], dtype="int64"), "text": text})
+        ih = b["_i"].map({i: letters(i) for i in b["_i"].unique()})
+        return pd.DataFrame({"_id": b["_id"], "class": np.array([hash_text(f"{i}\n{x}") for i, x in zip(ih, text)], dtype="int64"), "ih": ih, "text": text})
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield keyed(b)[["_id", "ih", "th"]]
+            yield keyed(b)[["_id", "class"]]
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield keyed(b)[["ih", "th", "text"]].drop_duplicates(["ih", "th"])
+            yield keyed(b)[["class", "text"]].drop_duplicates("class")
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # copies end here, so a hot text is one row per task and band
         for b in batches:
-            k = keyed(b).drop_duplicates(["ih", "th"])
+            k = keyed(b).drop_duplicates("class")
+            k = k[~k["class"].isin(seen)] if seen else k
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen.update(k["class"].tolist())
             start, h = shingles(k["text"].tolist())
             size = np.diff(start)
             sig = prob_minhash(start, h)
-            key = band_keys(sig, mix(k["ih"].to_numpy().view(np.uint64)))
+            key = band_keys(sig, np.array([hash_text(i) for i in k["ih"]], dtype=np.int64).view(np.uint64))
             sk = sketch(sig).view(np.int64)
             some = np.flatnonzero(size > 0)
             m = key.shape[1]
             rep = lambda x: np.repeat(x[some], m)
-            yield pd.DataFrame({"key": key[some].reshape(-1).view(np.int64), "th": rep(k["th"].to_numpy()), "ih": rep(k["ih"].to_numpy()), "n": rep(size.astype("int32")), "s0": rep(sk[:, 0]), "s1": rep(sk[:, 1])})
-
-    named = cut(rows.mapInPandas(members, "_id bigint, ih bigint, th bigint"))
-    banded = rows.select("_i", "_s", F.lit(0).alias("_id")).mapInPandas(bands, "key bigint, th bigint, ih bigint, n int, s0 bigint, s1 bigint")
-    # copies in other batches collapse here, on the map side first; a key met by one text only has no partner
-    once = banded.groupBy("key", "th").agg(*(F.first(c).alias(c) for c in ("ih", "n", "s0", "s1")))
-    a = once.select("key", "ih", *(F.col(c).alias(f"{c}_a") for c in ("th", "n", "s0", "s1")))
-    b = once.select("key", *(F.col(c).alias(f"{c}_b") for c in ("th", "n", "s0", "s1")))
-    near = f"th_a < th_b and least(n_a, n_b) >= {t} * greatest(n_a, n_b) - 1e-9 and bit_count(s0_a ^ s0_b) + bit_count(s1_a ^ s1_b) <= {SKETCH_BITS - SKETCH_LEAST}"
-    cand = cut(a.join(b, "key").where(near).select("ih", F.col("th_a").alias("a"), F.col("th_b").alias("b")).distinct())
-    need = cand.select("ih", F.col("a").alias("th")).union(cand.select("ih", F.col("b").alias("th"))).distinct()
-    wanted = rows.join(named.join(need, ["ih", "th"], "left_semi").groupBy("ih", "th").agg(F.min("_id").alias("_id")).select("_id"), "_id", "left_semi")
-    text = wanted.mapInPandas(texts, "ih bigint, th bigint, text string").groupBy("ih", "th").agg(F.first("text").alias("text"))
-    both = cand.join(text.select("ih", F.col("th").alias("a"), F.col("text").alias("ta")), ["ih", "a"]).join(text.select("ih", F.col("th").alias("b"), F.col("text").alias("tb")), ["ih", "b"])
+            yield pd.DataFrame({"key": key[some].reshape(-1).view(np.int64), "class": rep(k["class"].to_numpy()), "n": rep(size.astype("int32")), "s0": rep(sk[:, 0]), "s1": rep(sk[:, 1])})
+
+    named = cut(rows.mapInPandas(members, "_id bigint, class bigint"))
+    banded = rows.select("_i", "_s", F.lit(0).alias("_id")).mapInPandas(bands, "key bigint, class bigint, n int, s0 bigint, s1 bigint")
+    # one exchange serves the removal of copies from other tasks and both sides of the join
+    once = banded.repartition("key").groupBy("key", "class").agg(*(F.first(c).alias(c) for c in ("n", "s0", "s1")))
+    a = once.select("key", *(F.col(c).alias(f"{c}_a") for c in ("class", "n", "s0", "s1")))
+    b = once.select("key", *(F.col(c).alias(f"{c}_b") for c in ("class", "n", "s0", "s1")))
+    near = f"class_a < class_b and least(n_a, n_b) >= {t} * greatest(n_a, n_b) - 1e-9 and bit_count(s0_a ^ s0_b) + bit_count(s1_a ^ s1_b) <= {SKETCH_BITS - SKETCH_LEAST}"
+    cand = cut(a.join(b, "key").where(near).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct())
+    need = cand.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    one = named.join(need, "class", "left_semi").groupBy("class").agg(F.min("_id").alias("_id")).select("_id")
+    text = cut(rows.join(one, "_id", "left_semi").mapInPandas(texts, "class bigint, text string").groupBy("class").agg(F.first("text").alias("text")))
+    both = cand.join(text.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             s = jaccard(x["ta"].tolist(), x["tb"].tolist())
-            yield x.assign(similarity=s).loc[s >= t - 1e-12, ["ih", "a", "b", "similarity"]]
+            yield x.assign(similarity=s).loc[s >= t - 1e-12, ["a", "b", "similarity"]]
 
-    links = both.mapInPandas(verify, "ih bigint, a bigint, b bigint, similarity double")
+    links = both.mapInPandas(verify, "a bigint, b bigint, similarity double")
     return named.withColumnRenamed("_id", id_col), links
 
 
@@ -147,11 +153,10 @@ def near_pairs(df: DataFrame, id_col: str = "item_id", instructions: str = "inst
     """All pairs of records (a < b) that reach ``t`` themselves, copies included; each once."""
     m, links = near_duplicates(df, id_col, instructions, state, t)
     m = m.distinct()
-    links = links.select("ih", "a", "b")
-    a = m.select("ih", F.col("th").alias("a"), F.col(id_col).alias("x"))
-    b = m.select("ih", F.col("th").alias("b"), F.col(id_col).alias("y"))
-    across = links.join(a, ["ih", "a"]).join(b, ["ih", "b"]).select("x", "y")
-    within = a.join(b.withColumnRenamed("b", "a"), ["ih", "a"]).where("x < y").select("x", "y")
+    a = m.select(F.col("class").alias("a"), F.col(id_col).alias("x"))
+    b = m.select(F.col("class").alias("b"), F.col(id_col).alias("y"))
+    across = links.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
+    within = a.join(b, F.col("a") == F.col("b")).where("x < y").select("x", "y")
     return across.union(within).where("x <> y").select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b")).distinct()
 
 
@@ -161,14 +166,13 @@ def near_groups(df: DataFrame, id_col: str = "item_id", instructions: str = "ins
     ``copies`` counts the records of its text class, ``links`` the other classes it reaches ``t`` with;
     ``group_id`` is the least record id of the group. Every record with a state has a row.
     """
-    from quillstone.operators.graph import components
-
     m, links = near_duplicates(df, id_col, instructions, state, t)
-    classes = cut(m.groupBy("ih", "th").agg(F.min(id_col).alias("rep"), F.countDistinct(id_col).alias("copies")))
-    by = lambda c: classes.select("ih", F.col("th").alias(c), F.col("rep").alias(f"rep_{c}"))
-    edges = cut(links.join(by("a"), ["ih", "a"]).join(by("b"), ["ih", "b"]).select("rep_a", "rep_b"))
+    m = m.distinct()
+    classes = cut(m.groupBy("class").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies")))
+    by = lambda c: classes.select(F.col("class").alias(c), F.col("rep").alias(f"rep_{c}"))
+    edges = cut(links.join(by("a"), "a").join(by("b"), "b").select("rep_a", "rep_b"))
     degree = edges.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     group = components(edges, "rep_a", "rep_b")
     out = classes.join(degree, "rep", "left").join(group, F.col("rep") == F.col("node"), "left")
-    out = out.select("ih", "th", "copies", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), F.coalesce("component", "rep").alias("group_id"))
-    return m.distinct().join(out, ["ih", "th"]).select(id_col, "group_id", "copies", "links")
+    out = out.select("class", "copies", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), F.coalesce("component", "rep").alias("group_id"))
+    return m.join(out, "class").select(id_col, "group_id", "copies", "links")
