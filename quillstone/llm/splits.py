@@ -1,17 +1,16 @@
 """Same or near-same records across splits: an exact prefix-filter join of evaluation and training rows.
 
 Rows are compared only under the same instructions. Copies collapse first. Within one set of
-instructions, evaluation texts are cut into blocks by the size of their shingle sets, and every training
-text goes to the blocks whose sizes the length filter allows. A block holds an inverted index of the
-prefixes of its evaluation texts: shingles are ordered from rare to frequent *in that block*, so the
-prefix of a text is made of its rarest shingles there. A training text probes the index with its own
-prefix; candidates that share enough of both prefixes, and whose positions leave room for the required
-overlap, are verified on whole sets. Nothing is sampled, capped or approximated: with ``o`` the least
-overlap of two sets, the first ``|x| - o + k`` shingles of both must share ``k``.
-
-Work per training text is the number of postings it meets, which falls with the rarity of its prefix;
-memory per task is bounded by ``block`` evaluation and ``probe_block`` training texts, whatever the
-size of a group. A hot group of equal instructions is thereby spread over many tasks.
+instructions, evaluation texts are cut into blocks, by the size of their shingle sets if there are
+several, and every training text goes to the blocks whose sizes the length filter allows. A block holds
+an inverted index of the prefixes of its evaluation texts: shingles are ordered from rare to frequent *in
+that block*, so a prefix is made of the rarest shingles of a text. A training text probes the index
+with its own prefix; the length filter picks a stretch of each posting list, the position filter drops
+matches that come too late for the overlap required, parity bitmaps bound the overlap of what is left
+from above, and the rest is verified on whole sets. Every filter is exact; nothing is sampled or capped.
+
+Memory per task is bounded by ``block`` evaluation and ``probe_block`` training texts, whatever the size
+of a group, and a hot group of equal instructions is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -52,74 +51,95 @@ def keyed_states(df: DataFrame, id_col: str, role: str, instructions: str, state
     return rows.mapInPandas(run, _STATE)
 
 
-def prefix_join(index: list[str], probe: list[str], t: float = THRESHOLD, k: int = 12, chunk: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+WORDS = 8  # 64-bit words of a parity bitmap
+
+
+def bitmaps(start: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """(texts, WORDS): parities of the shingles of each text by hash bucket.
+
+    Two bitmaps differ in at most as many bits as the sets differ in shingles.
+    """
+    out = np.empty((len(start) - 1, WORDS), dtype=np.uint64)
+    bits = 64 * WORDS
+    for c in range(0, len(out), 2000):
+        d = min(c + 2000, len(out))
+        owner = np.repeat(np.arange(d - c), np.diff(start[c : d + 1]))
+        bucket = (hashes[start[c] : start[d]] % np.uint64(bits)).astype(np.int64)
+        odd = (np.bincount(owner * bits + bucket, minlength=(d - c) * bits) & 1).astype(np.uint8)
+        out[c:d] = np.packbits(odd.reshape(d - c, bits), axis=1).view(np.uint64)
+    return out
+
+
+def prefix_join(index: list[str], probe: list[str], t: float = THRESHOLD, chunk: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All (i, j) with Jaccard(index[i], probe[j]) >= t over shingle sets, and that similarity; exact.
 
-    ``k`` is the number of shared prefix shingles asked for: prefixes grow by ``k - 1``.
+    Two sets of sizes a and b need ``o = t / (1 + t) * (a + b)`` common shingles. In an order from rare to
+    frequent, their first ``a - o + 1`` and ``b - o + 1`` shingles then have one in common.
     """
-    none = np.zeros(0, dtype=np.int64)
     si, hi = shingles(index)
+    by_size = np.argsort(np.diff(si), kind="stable")  # texts of allowed sizes are a stretch of every posting list
+    si, hi = shingles([index[i] for i in by_size])
     sp, hp = shingles(probe)
     ni, np_ = np.diff(si), np.diff(sp)
     blank_i, blank_p = np.flatnonzero(ni == 0), np.flatnonzero(np_ == 0)
-    out = [(np.repeat(blank_i, len(blank_p)), np.tile(blank_p, len(blank_i)), np.ones(len(blank_i) * len(blank_p)))]
+    out = [(np.repeat(by_size[blank_i], len(blank_p)), np.tile(blank_p, len(blank_i)), np.ones(len(blank_i) * len(blank_p)))]
     if not len(hi) or not len(hp):
         return out[0]
     vocab, token, df = np.unique(hi, return_inverse=True, return_counts=True)
-    # rank of each token: rare in this block first, ties by hash
-    order = np.argsort(df, kind="stable")
-    rank = np.empty(len(vocab), dtype=np.int64)
-    rank[order] = np.arange(len(vocab))
-
-    def prefixes(n: np.ndarray) -> np.ndarray:
-        return np.minimum(n, n - np.ceil(t * n - 1e-9).astype(np.int64) + np.minimum(k, np.maximum(1, np.ceil(t * n - 1e-9).astype(np.int64))))
-
-    # index: tokens of each text sorted by rank, prefix postings grouped by rank
-    owner = np.repeat(np.arange(len(index)), ni)
-    r = rank[token]
-    by = np.argsort(owner * np.int64(len(vocab) + 1) + r, kind="stable")
-    ranked = r[by]
-    pos = np.arange(len(ranked)) - np.repeat(si[:-1], ni)
-    inside = pos < np.repeat(prefixes(ni), ni)
-    pr, po = ranked[inside], owner[inside]
-    by = np.argsort(pr, kind="stable")
-    post = po[by]
-    post_start = np.zeros(len(vocab) + 1, dtype=np.int64)
-    np.cumsum(np.bincount(pr, minlength=len(vocab)), out=post_start[1:])
-    # probes: tokens unknown to the block have rank -1, that is, come first and meet nothing
-    at = np.minimum(np.searchsorted(vocab, hp), len(vocab) - 1)
-    rp = np.where(vocab[at] == hp, rank[at], -1)
-    owner_p = np.repeat(np.arange(len(probe)), np_)
-    by = np.argsort(owner_p * np.int64(len(vocab) + 2) + rp + 1, kind="stable")
-    rp = rp[by]
-    pos_p = np.arange(len(rp)) - np.repeat(sp[:-1], np_)
-    use = (pos_p < np.repeat(prefixes(np_), np_)) & (rp >= 0)
-    need_k = np.minimum(k, np.maximum(1, np.ceil(t * np_ - 1e-9).astype(np.int64)))
-    need_i = np.minimum(k, np.maximum(1, np.ceil(t * ni - 1e-9).astype(np.int64)))
-    for c in range(0, len(probe), chunk):
-        d = min(c + chunk, len(probe))
-        sel = np.flatnonzero(use[sp[c] : sp[d]]) + sp[c]
-        if not len(sel):
-            continue
-        token_r, who = rp[sel], owner_p[by][sel] - c
-        cnt = post_start[token_r + 1] - post_start[token_r]
-        total = int(cnt.sum())
-        if not total:
+    rank = np.empty(len(vocab), dtype=np.int64)  # rare in this block first
+    rank[np.argsort(df, kind="stable")] = np.arange(len(vocab))
+    reach = lambda n: n - np.ceil(t * n - 1e-9).astype(np.int64) + 1  # noqa: E731  the longest prefix that any partner asks for
+
+    def ranked(n: np.ndarray, start: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Prefix shingles in order of rank: their ranks, texts and positions."""
+        owner = np.repeat(np.arange(len(n)), n)
+        r = np.sort(owner * np.int64(len(vocab) + 2) + r + 1) - owner * np.int64(len(vocab) + 2) - 1
+        pos = np.arange(len(r)) - np.repeat(start[:-1], n)
+        inside = pos < np.repeat(reach(n), n)
+        return r[inside], owner[inside], pos[inside]
+
+    r, post, at = ranked(ni, si, rank[token])
+    by = np.argsort(r, kind="stable")  # postings by rank, within one rank by size
+    post, at = post[by].astype(np.int32), at[by].astype(np.int32)
+    posting_key = r[by] * np.int64(len(index) + 1) + post
+    # shingles unknown to the block come first and meet nothing
+    place = np.minimum(np.searchsorted(vocab, hp), len(vocab) - 1)
+    r, who, pos = ranked(np_, sp, np.where(vocab[place] == hp, rank[place], -1))
+    known = r >= 0
+    r, who, pos = r[known], who[known], pos[known]
+    least, most = np.searchsorted(ni, np.ceil(t * np_ - 1e-9)), np.searchsorted(ni, np.floor(np_ / t + 1e-9), side="right")
+    lo = np.searchsorted(posting_key, r * np.int64(len(index) + 1) + least[who])
+    hi_ = np.searchsorted(posting_key, r * np.int64(len(index) + 1) + most[who])
+    maps, own = bitmaps(si, hi), bitmaps(sp, hp)
+    bound = np.searchsorted(who, np.arange(0, len(probe) + chunk, chunk))
+    factor = t / (1 + t)
+    for k in range(len(bound) - 1):
+        part = slice(bound[k], bound[k + 1])
+        n = hi_[part] - lo[part]
+        some = n > 0
+        if not some.any():
             continue
-        flat = np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt) + np.repeat(post_start[token_r], cnt)
-        hits = np.bincount(np.repeat(who, cnt) * len(index) + post[flat], minlength=(d - c) * len(index))
-        cand = np.flatnonzero(hits)
-        p, i = cand // len(index) + c, cand % len(index)
-        a, b = ni[i], np_[p]
-        least = np.ceil(t / (1 + t) * (a + b) - 1e-9)
-        ok = (hits[cand] >= np.minimum(need_k[p], need_i[i])) & (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9)
-        p, i, least = p[ok], i[ok], least[ok]
-        if len(p):
-            both = np.fromiter((np.intersect1d(hi[si[x] : si[x + 1]], hp[sp[y] : sp[y + 1]], assume_unique=True).size for x, y in zip(i, p)), dtype=np.int64, count=len(p))
-            good = both >= least
-            i, p, both = i[good], p[good], both[good]
-            out.append((i, p, both / (ni[i] + np_[p] - both)))
-    return tuple(np.concatenate(x) if out else none for x in zip(*out))  # type: ignore[return-value]
+        n, first = n[some], lo[part][some]
+        flat = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        x = np.repeat(who[part][some], n)
+        y = post[flat]
+        o = np.ceil(factor * (ni[y] + np_[x]) - 1e-9)
+        near = (at[flat] <= ni[y] - o) & (np.repeat(pos[part][some], n) <= np_[x] - o)
+        seen = np.zeros(chunk * len(index), dtype=bool)
+        seen[(x[near] - k * chunk) * len(index) + y[near]] = True
+        pair = np.flatnonzero(seen)
+        j, i = pair // len(index) + k * chunk, pair % len(index)
+        a, b = ni[i], np_[j]
+        o = np.ceil(factor * (a + b) - 1e-9)
+        # the bitmaps bound the overlap from above
+        can = np.bitwise_count(maps[i] ^ own[j]).sum(axis=1, dtype=np.int64) <= a + b - 2 * o
+        i, j, o = i[can], j[can], o[can]
+        if len(i):
+            both = np.fromiter((np.intersect1d(hi[si[u] : si[u + 1]], hp[sp[v] : sp[v + 1]], assume_unique=True).size for u, v in zip(i, j)), dtype=np.int64, count=len(i))
+            good = both >= o
+            i, j, both = i[good], j[good], both[good]
+            out.append((by_size[i], j, both / (ni[i] + np_[j] - both)))
+    return tuple(np.concatenate(c) for c in zip(*out))  # type: ignore[return-value]
 
 
 def split_pairs(df: DataFrame, eval_suites: DataFrame, id_col: str = "item_id", split: str = "split", suite: str = "suite", instructions: str = "instructions", state: str = "state", suite_of: str = "suite", t: float = THRESHOLD, block: int = 8192, probe_block: int = 16384) -> DataFrame:
@@ -129,14 +149,20 @@ def split_pairs(df: DataFrame, eval_suites: DataFrame, id_col: str = "item_id",
     test whose suite occurs in ``eval_suites``; a null split, suite or state takes no part; two empty
     states are equal. Empty tables give an empty result; other columns are ignored whatever their names.
     """
-    role = F.when(F.col("_sp") == "train", 0).when(F.col("_sp").isin("dev", "test"), 1)
     rows = df.select(F.col(id_col).alias("_id"), F.lower(F.trim(F.col(split))).alias("_sp"), F.col(suite).alias("_su"), F.col(instructions).alias("_in"), F.col(state).alias("_st"))
-    suites = eval_suites.select(F.col(suite_of).alias("_su")).where(F.col("_su").isNotNull()).distinct()
-    evals = rows.where(F.col("_sp").isin("dev", "test")).join(suites, "_su", "left_semi")
-    rows = rows.where(F.col("_sp") == "train").unionByName(evals.select(rows.columns)).withColumn("_r", role)
-    members = cut(keyed_states(rows, "_id", "_r", "_in", "_st").select("_id", "_role", "ih", "th", "n"))
-    docs = keyed_states(rows, "_id", "_r", "_in", "_st").groupBy("_role", "ih", "th").agg(F.first("text").alias("text"), F.first("n").alias("n"))
-    pairs = block_join(members.select("_role", "ih", "th", "n").distinct(), docs, t, block, probe_block)
+    suites = eval_suites.select(F.col(suite_of).alias("_su")).where(F.col("_su").isNotNull()).distinct().withColumn("_listed", F.lit(True))
+    role = F.when(F.col("_sp") == "train", 0).when(F.col("_sp").isin("dev", "test") & F.col("_listed"), 1)
+    rows = rows.where(F.col("_sp").isin("train", "dev", "test")).join(suites, "_su", "left").withColumn("_r", role).where(F.col("_r").isNotNull())
+    members = cut(keyed_states(rows, "_id", "_r", "_in", "_st", sizes=False).select("_id", "_role", "ih", "th"))
+    keys = members.select("_role", "ih", "th").distinct()
+    most = keys.where("_role = 1").groupBy("ih").count().agg(F.max("count")).first()[0] or 0
+    wide = most > block  # then blocks go by set size, and sizes are needed
+
+    def docs(sizes: bool) -> DataFrame:
+        return keyed_states(rows, "_id", "_r", "_in", "_st", sizes).groupBy("_role", "ih", "th").agg(F.first("text").alias("text"), F.first("n").alias("n"))
+
+    keys = docs(True).select("_role", "ih", "th", "n") if wide else keys.withColumn("n", F.lit(0))
+    pairs = block_join(keys, docs(wide), t, block, probe_block)
     ev = members.where("_role = 1").select(F.col("_id").alias("eval_id"), "ih", F.col("th").alias("th_e"))
     tr = members.where("_role = 0").select(F.col("_id").alias("train_id"), "ih", F.col("th").alias("th_t"))
     return pairs.join(ev, ["ih", "th_e"]).join(tr, ["ih", "th_t"]).select("eval_id", "train_id", "similarity").distinct()
