@@ -9,7 +9,7 @@ column ``logits`` with one score per option to rows of ``state`` and ``options``
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any, Protocol
@@ -177,11 +177,13 @@ class FunctionScorer:
     def logits(self, df: DataFrame) -> DataFrame:
         f = self.f
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def run(state: pd.Series, options: pd.Series) -> pd.Series:
-            return pd.Series([[float(x) for x in row] for row in f(state.tolist(), [list(o) for o in options])])
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                scores = f(b["state"].tolist(), [list(o) for o in b["options"]])
+                yield b.assign(logits=[[float(x) for x in row] for row in scores])
 
-        return df.withColumn("logits", run("state", "options"))
+        # an operator of its own, not an expression that optimizer rules could copy into others
+        return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("logits", T.ArrayType(T.DoubleType()))]))
 
 
 def layout(head: Column, options: Column, state: Column, max_len: int, head_max_len: int, keep_tail: Column, cls: str = "[CLS]", sep: str = "[SEP]", mask: str = "[MASK]") -> tuple[Column, Column, Column]:
