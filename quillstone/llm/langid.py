@@ -91,29 +91,29 @@ def clean(segment: str) -> str:
     return f" {' '.join(words).lower()} "
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(start, buckets): the hashed n-grams of each text; every text must have a character at least."""
+def windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n-gram size (start, buckets): the hashed n-grams of text i begin at ``start[i]``."""
+    texts = [t if len(t) >= max(GRAMS) else t.ljust(max(GRAMS)) for t in texts]
     lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), lens)
     left = np.repeat(np.cumsum(lens), lens) - np.arange(len(codes))  # characters from here to the end of the text
-    hashes, owners = [], []
     h = np.zeros(len(codes), dtype=np.uint64)
     for n in range(1, max(GRAMS) + 1):
         m = len(codes) - n + 1
-        if m <= 0:
-            break
         h = h[:m] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n)
         if n in GRAMS:
-            at = left[:m] >= n
-            hashes.append(h[at])
-            owners.append(owner[:m][at])
-    who = np.concatenate(owners)
-    order = np.argsort(who, kind="stable")
-    bucket = (mix(np.concatenate(hashes)[order]) >> np.uint64(48)).astype(np.int64) % BUCKETS
-    start = np.zeros(len(texts), dtype=np.int64)
-    np.cumsum(np.bincount(who, minlength=len(texts))[:-1], out=start[1:])
-    return start, bucket
+            bucket = (mix(h[left[:m] >= n]) >> np.uint64(48)).astype(np.int64) % BUCKETS
+            count = lens - n + 1
+            yield np.cumsum(count) - count, bucket
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(start, buckets) of all sizes together."""
+    parts = list(windows(texts))
+    sizes = [np.diff(np.append(s, len(b))) for s, b in parts]
+    who = np.concatenate([np.repeat(np.arange(len(texts)), n) for n in sizes])
+    total = sum(sizes)
+    return np.cumsum(total) - total, np.concatenate([b for _, b in parts])[np.argsort(who, kind="stable")]
 
 
 @dataclass
@@ -126,9 +126,11 @@ class LanguageModel:
     threshold: float = 0.5
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        start, bucket = grams(texts)
-        n = np.diff(np.append(start, len(bucket)))
-        return np.add.reduceat(self.table[bucket], start, axis=0) / n[:, None]
+        total, n = 0.0, 0
+        for start, bucket in windows(texts):
+            total = total + np.add.reduceat(self.table[bucket], start, axis=0)
+            n = n + np.diff(np.append(start, len(bucket)))
+        return total / n[:, None]
 
     def predict(self, texts: list[str]) -> list[tuple[str | None, float]]:
         """(language, confidence) of cleaned segments; the language is null where it is rejected."""
@@ -148,7 +150,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _sgd(texts: list[str], y: np.ndarray, k: int, seed: int, epochs: int = 6, batch: int = 64, rate: float = 25.0) -> np.ndarray:
+def _sgd(texts: list[str], y: np.ndarray, k: int, seed: int, epochs: int = 12, batch: int = 64, rate: float = 25.0) -> np.ndarray:
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.1, (DIM, k)).astype(np.float32)
@@ -202,7 +204,7 @@ def fit(rows: list[tuple[str, str]], accuracy: float = 0.9999, seed: int = 5) ->
     if len(test):
         z = np.concatenate([model.logits([texts[i] for i in test[c : c + 2000]]) for c in range(0, len(test), 2000)])
         loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(test)), y[test]], 1e-12)).mean()
-        model.temperature = float(min(np.geomspace(0.01, 5, 80), key=loss))
+        model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
         p = _softmax(z / model.temperature)
         conf, right = p.max(axis=1), p.argmax(axis=1) == y[test]
         by = np.argsort(-conf)
@@ -233,9 +235,9 @@ def segment_languages(df: DataFrame, model: LanguageModel | None, id_col: str =
     rejected: no sentence, or a confidence below the threshold. Null and empty states have no segments;
     without a model every segment is rejected; repeated rows give repeated segments.
     """
-    src = df.select(F.col(id_col).alias("_id"), F.col(state).alias("_s"), F.col(lang).alias("_l")).where("_s is not null")
+    kind = dict(df.dtypes)[id_col]
+    src = df.select(F.col(id_col).cast("string").alias("_id"), F.col(state).alias("_s"), F.col(lang).alias("_l")).where("_s is not null")
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kind = dict(src.dtypes)["_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -255,7 +257,8 @@ def segment_languages(df: DataFrame, model: LanguageModel | None, id_col: str =
                 found = m.predict([clean(t) for t in texts]) if m else [(None, 0.0)] * len(texts)
                 yield pd.DataFrame({id_col: ids, "label": labels, "segment": at, "text": texts, "lang": [f for f, _ in found], "confidence": [q for _, q in found]})
 
-    return src.mapInPandas(run, f"{id_col} {kind}, label string, segment int, text string, lang string, confidence double")
+    out = src.mapInPandas(run, f"{id_col} string, label string, segment int, text string, lang string, confidence double")
+    return out.withColumn(id_col, F.col(id_col).cast(kind))
 
 
 def document_languages(segs: DataFrame, id_col: str = "item_id") -> DataFrame:

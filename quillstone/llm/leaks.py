@@ -121,20 +121,20 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: s
     """(item_id, doc_id, units, start, end): items of which a run stands in a document, with its place.
 
     ``units`` counts words (letters and digits in unspaced languages) of the longest run; ``start`` and
-    ``end`` are code point offsets into the original text. Null and empty texts leak nothing; an item
+    ``end`` are code point offsets into the original text. Null and empty texts leak nothing, null ids take no part; an item
     shorter than a run cannot leak; repeated rows count once; empty tables give an empty result.
     """
-    rows = items.select(F.col(item_id).cast("bigint"), F.col(item_text), F.col(item_lang)).where(F.col(item_text).isNotNull()).distinct()
+    rows = items.select(F.col(item_id).cast("bigint"), F.col(item_text), F.col(item_lang)).where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).distinct()
     chunks: list[list[tuple]] = [[]]
     size = 0
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+    for r in sorted(rows.toLocalIterator(), key=lambda r: (r[0], r[1], r[2] or "")):
         if size + len(r[1]) > chunk_chars and chunks[-1]:
             chunks.append([])
             size = 0
         chunks[-1].append(tuple(r))
         size += len(r[1])
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("bigint").alias("_d"), F.col(doc_text).alias("_t")).where(F.col(doc_text).isNotNull())
+    source = docs.select(F.col(doc_id).cast("bigint").alias("_d"), F.col(doc_text).alias("_t")).where(F.col(doc_text).isNotNull() & F.col(doc_id).isNotNull())
 
     def one(chunk: list[tuple]) -> DataFrame:
         shared = spark.sparkContext.broadcast(chunk)

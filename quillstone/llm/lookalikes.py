@@ -42,10 +42,10 @@ def look_classes(df: DataFrame, id_col: str = "item_id", state: str = "state", o
     """Rows that look like another row but differ from it in characters.
 
     Returns (id, raw, class_id): rows with one ``class_id`` look the same; ``raw`` tells their distinct
-    spellings apart, and every class has at least two. Rows with a null state take no part; null options
+    spellings apart, and every class has at least two. Rows with a null id or state take no part; null options
     count as none; repeated rows stay one row per id. An empty table gives an empty result.
     """
-    rows = df.where(F.col(state).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(state), F.lit("")).alias("_s"), options_text(F.col(options)).alias("_o"))
+    rows = df.where(F.col(state).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(state), F.lit("")).alias("_s"), options_text(F.col(options)).alias("_o"))
     rows = rows.withColumn("_raw", _raw(F.col("_s"), F.col("_o"))).withColumn("_b", _bucket("_s", "_o"))
     keyed = rows.select("_id", "_raw", "_b")
     mixed = keyed.groupBy("_b").agg(F.min("_raw").alias("lo"), F.max("_raw").alias("hi")).where("lo < hi").select("_b")

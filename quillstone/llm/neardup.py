@@ -91,10 +91,10 @@ def near_duplicates(df: DataFrame, id_col: str = "item_id", instructions: str =
 
     members: (id, class) names the class of each record, a hash of instructions and state; records of one
     class are copies as they look. links: (a, b, similarity) with a < b: classes that reach ``t`` themselves.
-    Records with a null state take no part; null instructions equal empty ones; empty states are copies of
+    Records with a null id or state take no part; null instructions equal empty ones; empty states are copies of
     each other; repeated rows count once per id; an empty table has neither members nor links.
     """
-    rows = df.where(F.col(state).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(instructions), F.lit("")).alias("_i"), F.col(state).alias("_s"))
+    rows = df.where(F.col(state).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(instructions), F.lit("")).alias("_i"), F.col(state).alias("_s"))
 
     def keyed(b: pd.DataFrame) -> pd.DataFrame:
         text = [plain(s) for s in b["_s"]]

@@ -125,9 +125,8 @@ def _stats(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
             rows = [document_stats(t, x) for t, x in zip(b["_t"], b["_l"])]
             yield pd.DataFrame({"_d": b["_d"], "lang": [r[0] for r in rows], "words": np.array([r[1] for r in rows], dtype="int64"), "s": [r[2] for r in rows]})
 
-    src = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t"), F.col(lang).alias("_l"))
-    kind = dict(src.dtypes)["_d"]
-    return src.mapInPandas(run, f"_d {kind}, lang string, words bigint, s array<double>")
+    src = docs.select(F.col(doc_id).cast("string").alias("_d"), F.col(text).alias("_t"), F.col(lang).alias("_l"))
+    return src.mapInPandas(run, "_d string, lang string, words bigint, s array<double>")
 
 
 def _moments(stats: DataFrame, near) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
@@ -222,8 +221,8 @@ def document_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     stats = cut(_stats(docs, doc_id, text, lang))
     model = fit_prose(stats, steps)
-    kind = dict(stats.dtypes)["_d"]
-    schema = f"{doc_id} {kind}, lang string, words bigint, {', '.join(f'{s} double' for s in STATS)}, distance double, contributions map<string,double>, is_prose boolean"
+    kind = dict(docs.dtypes)[doc_id]
+    schema = f"{doc_id} string, lang string, words bigint, {', '.join(f'{s} double' for s in STATS)}, distance double, contributions map<string,double>, is_prose boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -240,4 +239,4 @@ def document_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             out["is_prose"] = some & (d <= limit)
             yield out
 
-    return stats.mapInPandas(run, schema).withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
+    return stats.mapInPandas(run, schema).withColumn(doc_id, F.col(doc_id).cast(kind)).withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))

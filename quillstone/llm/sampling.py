@@ -99,7 +99,7 @@ class CategorySample:
         """Plan a sample of ``size`` rows, a tenth of all (rounded down) if not given.
 
         A row belongs to the category of the language that its label names, in whatever spelling, and of its
-        ``gold``; rows with null or meaningless labels belong to none. Null shares and floors count as 0;
+        ``gold``; rows with null or meaningless labels belong to none, rows with a null id count but cannot be drawn. Null shares and floors count as 0;
         repeated targets count once (the greatest share); an empty table reports every target as not met
         unless nothing is asked for.
         """
@@ -151,7 +151,7 @@ class CategorySample:
                     pivot.taken.append(row)
             return pd.DataFrame({"_id": pivot.taken})
 
-        step = self.keyed.where("_c is not null").mapInPandas(first, "_id bigint, _c int, _p double").persist()
+        step = self.keyed.where("_c is not null and _id is not null").mapInPandas(first, "_id bigint, _c int, _p double").persist()
         ids = step.where("_c < 0").select("_id").unionByName(step.where("_c >= 0").groupBy("_c").applyInPandas(second, "_id bigint"))
         return self.rows.join(ids, "_id", "left_semi").select(F.col("_id").alias(self.id_col), "lang", "gold")
 

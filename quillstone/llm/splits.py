@@ -32,7 +32,7 @@ _STATE = "_id bigint, _role int, ih bigint, th bigint, text string, n int"
 def keyed_states(df: DataFrame, id_col: str, role: str, instructions: str, state: str, sizes: bool = True) -> DataFrame:
     """(_id, _role, ih, th, text, n): hashes of instructions and state as they look, the text and its set size.
 
-    Rows whose state is null take no part; null instructions equal empty ones.
+    Rows whose id or state is null take no part; null instructions equal empty ones.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,7 +47,7 @@ def keyed_states(df: DataFrame, id_col: str, role: str, instructions: str, state
             n = np.diff(shingles(text)[0]) if sizes else np.zeros(len(text))
             yield pd.DataFrame({"_id": b["_id"], "_role": b["_role"], "ih": [seen[i] for i in b["_i"]], "th": [hash_text(t) for t in text], "text": text, "n": n.astype("int32")})
 
-    rows = df.where(F.col(state).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.col(role).cast("int").alias("_role"), F.coalesce(F.col(instructions), F.lit("")).alias("_i"), F.col(state).alias("_s"))
+    rows = df.where(F.col(state).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.col(role).cast("int").alias("_role"), F.coalesce(F.col(instructions), F.lit("")).alias("_i"), F.col(state).alias("_s"))
     return rows.mapInPandas(run, _STATE)
 
 
@@ -146,7 +146,7 @@ def split_pairs(df: DataFrame, eval_suites: DataFrame, id_col: str = "item_id",
     """Pairs of a training row and an evaluation row with the same instructions and similar states.
 
     Returns (eval_id, train_id, similarity), each pair once. Evaluation rows are those of split dev or
-    test whose suite occurs in ``eval_suites``; a null split, suite or state takes no part; two empty
+    test whose suite occurs in ``eval_suites``; a null id, split, suite or state takes no part; two empty
     states are equal. Empty tables give an empty result; other columns are ignored whatever their names.
     """
     rows = df.select(F.col(id_col).alias("_id"), F.lower(F.trim(F.col(split))).alias("_sp"), F.col(suite).alias("_su"), F.col(instructions).alias("_in"), F.col(state).alias("_st"))
