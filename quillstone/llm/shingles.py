@@ -26,7 +26,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _odd(i: int) -> int:
-    return (0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & 0xFFFFFFFFFFFFFFFF
+    """Independent odd multipliers: a window's hash depends on every code point at its place."""
+    return int(mix(np.array([0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))[0]) | 1
 
 
 def plain(text: str | None) -> str:
