@@ -1,7 +1,7 @@
 """Per-document text quality statistics and a robust distance from the prose of the same language.
 
 Statistics come from one pass over the whole text. For each language, the mean and covariance of prose
-are estimated robustly from all documents: start at median and MAD, then a fixed number of
+are estimated robustly from all distinct documents: start at median and MAD, then a fixed number of
 concentration steps, each one distributed aggregation of sums and products over the documents close to
 the last estimate. A document's squared Mahalanobis distance splits exactly into contributions of
 the statistics (the terms ``z_j * (S^-1 z)_j``), which say what makes it an outlier.
@@ -181,7 +181,8 @@ class Prose:
 
 def fit_prose(stats: DataFrame, steps: int = STEPS) -> Prose | None:
     """Robust mean and covariance of prose by language from all documents; None without any words."""
-    some = stats.where("words > 0")
+    # copies of a text have equal statistics and count once, so a hot group of copies cannot pass for prose
+    some = cut(stats.where("words > 0").groupBy("lang", F.xxhash64("s").alias("_h")).agg(F.first("words").alias("words"), F.first("s").alias("s")))
     half = some.groupBy("lang").agg(*(F.percentile_approx(F.col("s")[i], 0.5, 2000).alias(f"m{i}") for i in range(len(STATS)))).collect()
     if not half:
         return None
