@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from quillstone.operators import policies as L
 from quillstone.operators import quality as Q
 from quillstone.operators import sampling as S
 from quillstone.plans.text import sql_norm
-from quillstone.session import table
+from quillstone.session import shared_dir, table
 from quillstone.streaming import batches as B
 
 SEED = 20260927
@@ -64,12 +66,12 @@ def greedy_kept(s: SparkSession, d: str) -> DataFrame:
 
 
 def similar_vectors(s: SparkSession, d: str) -> DataFrame:
-    e = D.cosine_links(table(s, d, "embeddings"), "vec_id", "embedding", 0.5, ["label"])
+    e = D.cosine_links(table(s, d, "embeddings"), "vec_id", "embedding", 0.3, ["label"])
     return e.select("label", "a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def neighbour_shares(s: SparkSession, d: str) -> DataFrame:
-    return D.neighbour_share(table(s, d, "embeddings"), "vec_id", "embedding", 0.5, ["label"]).select("label", "n", F.round("share", 9).alias("share"))
+    return D.neighbour_share(table(s, d, "embeddings"), "vec_id", "embedding", 0.3, ["label"]).select("label", "n", F.round("share", 9).alias("share"))
 
 
 def vendi_scores(s: SparkSession, d: str) -> DataFrame:
@@ -189,6 +191,23 @@ def event_windows(s: SparkSession, d: str) -> DataFrame:
     return w.select("start", "event_type", "n", F.round("total", 4).alias("total"), "least", "most")
 
 
+def streamed_events(s: SparkSession, d: str) -> DataFrame:
+    """The same windows as a stream over the files of the table, run to the end of what is there."""
+    schema = table(s, d, "events").schema
+    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    w = B.windowed_metrics(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value", "1 day")
+    name = f"streamed_{uuid.uuid4().hex}"
+    q = w.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_dir(s)}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.table(name).select("start", "event_type", "n", F.round("total", 4).alias("total"), "least", "most")
+
+
+def permissive_licences(s: SparkSession, d: str) -> DataFrame:
+    """Which licence lists, made of the names of the items' suites, an allow-list admits."""
+    v = table(s, d, "verify").select(F.concat_ws(", ", F.upper("suite"), "type").alias("licence"))
+    return v.where(L.permissive(F.col("licence"), ["topic", "intent", "safety", "choice"])).groupBy("licence").agg(F.count(F.lit(1)).alias("n"))
+
+
 def event_sessions(s: SparkSession, d: str) -> DataFrame:
     return B.sessions(table(s, d, "events"), "ts", ["user_id"], "2 hours").select("user_id", "start", "events")
 
@@ -212,8 +231,8 @@ ALL = {
     "first_copies": (first_copies, f"SELECT min(item_id) AS item_id FROM verify GROUP BY {sql_norm('state')}, instructions"),
     "near_classes": (near_classes, None),
     "greedy_kept": (greedy_kept, None),
-    "similar_vectors": (similar_vectors, "SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.5"),
-    "neighbour_shares": (neighbour_shares, "WITH l AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.5), k AS (SELECT label, count(DISTINCT a) AS near FROM l GROUP BY label) SELECT e.label, count(*) AS n, round(CASE WHEN count(*) > 1 THEN coalesce(max(near), 0) / count(*) END, 9) AS share FROM embeddings e LEFT JOIN k ON k.label = e.label GROUP BY e.label"),
+    "similar_vectors": (similar_vectors, "SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3"),
+    "neighbour_shares": (neighbour_shares, "WITH l AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3), k AS (SELECT label, count(DISTINCT a) AS near FROM l GROUP BY label) SELECT e.label, count(*) AS n, round(CASE WHEN count(*) > 1 THEN coalesce(max(near), 0) / count(*) END, 9) AS share FROM embeddings e LEFT JOIN k ON k.label = e.label GROUP BY e.label"),
     "vendi_scores": (vendi_scores, None),
     "unseen_documents": (unseen_documents, f"SELECT doc_id FROM documents WHERE {sql_norm('text')} NOT IN (SELECT {sql_norm('text')} FROM benchmark)"),
     "contained_passages": (contained_passages, f"WITH d AS (SELECT doc_id, {sql_norm('text')} AS t FROM documents), b AS (SELECT item_id, {sql_norm('text')} AS u FROM benchmark) SELECT doc_id, item_id, CASE WHEN t = u THEN 'exact' ELSE 'contains' END AS kind FROM d, b WHERE t = u OR (length(u) >= 80 AND length(t) >= 24 AND (contains(t, u) OR contains(u, t)))"),
@@ -237,5 +256,7 @@ ALL = {
     "agreement": (agreement, "WITH a AS (SELECT suite, type, agree, CASE WHEN type = 'choice' THEN coalesce(answer = gold OR lower(trim(answer)) = lower(trim(gold)) OR (len(list_filter(options, lambda o: lower(o.description) = lower(trim(answer)))) = 1 AND coalesce(list_filter(options, lambda o: lower(o.description) = lower(trim(answer)))[1].key = gold, false)), false) WHEN type = 'noul' THEN coalesce(lower(trim(answer)) = lower(trim(gold)), false) ELSE coalesce(answer = gold, false) END AS ok FROM verify) SELECT suite, type, count(*) FILTER (WHERE ok) AS agrees, count(*) FILTER (WHERE agree) AS recorded FROM a GROUP BY ALL"),
     "adapted_items": (adapted_items, "SELECT 'choice' AS qtype, lang, suite AS gold, count(*) AS n FROM benchmark GROUP BY ALL UNION ALL SELECT 'noul', lang, 'true', count(*) FROM benchmark GROUP BY lang"),
     "event_windows": (event_windows, "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY ALL"),
+    "streamed_events": (streamed_events, "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY ALL"),
+    "permissive_licences": (permissive_licences, "SELECT upper(suite) || ', ' || type AS licence, count(*) AS n FROM verify WHERE suite IN ('topic', 'intent', 'safety') AND type = 'choice' GROUP BY ALL"),
     "event_sessions": (event_sessions, "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS events FROM h GROUP BY user_id, k"),
 }

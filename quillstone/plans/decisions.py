@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import probability as P
 from quillstone.operators import decide as D
+from quillstone.plans.text import _families_sql
 from quillstone.session import table
 
 QUESTIONS = {
@@ -138,7 +139,7 @@ ALL = {
     "calibrated_answers": (calibrated_answers, None),
     "consensus_answers": (consensus_answers, "WITH " + _qs() + f", a AS (SELECT *, {_LS('logits')} AS l1, list_transform(logits, lambda x: x * x) AS sq FROM z), b AS (SELECT *, {_LS('sq')} AS l2 FROM a), c AS (SELECT *, list_transform(l1, lambda x, i: 0.7 * x + 0.3 * l2[i]) AS f FROM b), pp AS (SELECT *, {_soft('f')} AS p FROM c) SELECT state_id, qid, CASE WHEN qtype = 'choice' THEN labels[list_position(p, list_max(p))] END AS choice, round({_R4('list_max(p)')}, 3) AS confidence FROM pp"),
     "selective_answers": (selective_answers, f"{_DEC}, an AS ({_ANS}) SELECT qid, count(*) FILTER (WHERE escalate) AS escalated, count(*) AS n FROM an GROUP BY qid"),
-    "routed_requests": (routed_requests, None),
+    "routed_requests": (routed_requests, f"WITH f AS ({_families_sql()}), r AS (SELECT suite, CASE WHEN count(*) = count(family) AND min(family) = max(family) THEN min(family) END AS family FROM verify v JOIN f ON f.item_id = v.item_id GROUP BY suite) SELECT suite, family, CASE WHEN family IN ('emotion', 'sentiment') THEN 'moods' WHEN family IN ('topic', 'intent') THEN 'themes' END AS adapter FROM r"),
     "prompt_layout": (prompt_layout, None),
     "gathered_decisions": (gathered_decisions, f"{_SUB} SELECT state_id, string_agg(qid, ',' ORDER BY qpos) AS questions, max(CASE WHEN qid = 'mood' THEN labels[list_position(p, list_max(p))] END) AS mood FROM pp GROUP BY state_id"),
 }

@@ -64,6 +64,16 @@ def difficulty_shares(s: SparkSession, d: str) -> DataFrame:
     return q.select("suite", "n", F.round("trivial", 9).alias("trivial"), F.round("confidently_wrong", 9).alias("confidently_wrong"))
 
 
+def joined_predictions(s: SparkSession, d: str) -> DataFrame:
+    """Evaluation items with the prediction of each model beside them; a missing one is wrong."""
+    items = table(s, d, "verify").where("split in ('dev', 'test')").select("id", "suite").distinct()
+    p = _preds(s, d).groupBy(F.col("item").alias("id"), "suite")
+    wide = p.pivot("model", ["base", "multilingual"]).agg(F.max((F.col("pred") == F.col("gold")).cast("int")))
+    j = items.join(wide, ["id", "suite"], "left")
+    right = lambda c: F.sum(F.coalesce(c, F.lit(0))).cast("bigint")
+    return j.groupBy("suite").agg(F.count(F.lit(1)).alias("items"), right(F.col("base")).alias("base"), right(F.col("multilingual")).alias("multilingual"))
+
+
 def paired_runs(s: SparkSession, d: str) -> DataFrame:
     return _pairs(s, d).groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.count("gold").alias("with_gold"))
 
@@ -208,6 +218,7 @@ ALL = {
     "calibration_metrics": (calibration_metrics, _Z + ", b AS (SELECT suite, least(14, floor(list_max(p) * 15)) AS bin, count(*) AS n, sum(ok) AS ok, sum(list_max(p)) AS c, sum(-ln(greatest(p[g], 1e-12))) AS nll, sum(list_sum(list_transform(p, lambda x, i: pow(x - (i = g)::INT, 2)))) AS b FROM q GROUP BY ALL) SELECT suite, sum(n)::BIGINT AS n, round(sum(ok) / sum(n), 6) AS accuracy, round(sum(nll) / sum(n), 6) AS nll, round(sum(b) / sum(n), 6) AS brier, round(sum(abs(c - ok)) / sum(n), 6) AS ece FROM b GROUP BY suite"),
     "coverage_curve": (coverage_curve, _Z + ", t(threshold) AS (VALUES (0.0::DOUBLE), (0.2), (0.3), (0.4), (0.5), (0.7), (0.9)) SELECT threshold::DOUBLE AS threshold, count(*) FILTER (WHERE c >= threshold) AS kept, count(*) FILTER (WHERE c < threshold) AS escalated, round(count(*) FILTER (WHERE c >= threshold) / count(*), 9) AS coverage, round(avg(ok) FILTER (WHERE c >= threshold), 9) AS accuracy FROM q, t GROUP BY threshold"),
     "difficulty_shares": (difficulty_shares, _Z + " SELECT suite, count(*) AS n, round(count(*) FILTER (WHERE ok = 1 AND c >= 0.4) / count(*), 9) AS trivial, round(count(*) FILTER (WHERE ok = 0 AND c >= 0.4) / count(*), 9) AS confidently_wrong FROM q GROUP BY suite"),
+    "joined_predictions": (joined_predictions, f"WITH {_P}, w AS (SELECT item AS id, suite, max((pred = gold)::INT) FILTER (WHERE model = 'base') AS b, max((pred = gold)::INT) FILTER (WHERE model = 'multilingual') AS m FROM p GROUP BY ALL), i AS (SELECT DISTINCT id, suite FROM verify WHERE split IN ('dev', 'test')) SELECT i.suite, count(*) AS items, coalesce(sum(b), 0)::BIGINT AS base, coalesce(sum(m), 0)::BIGINT AS multilingual FROM i LEFT JOIN w ON w.id = i.id AND w.suite = i.suite GROUP BY i.suite"),
     "paired_runs": (paired_runs, f"WITH {_J} SELECT problem, count(*) AS n, count(gold) AS with_gold FROM j GROUP BY problem"),
     "paired_cells": (paired_cells, f"WITH {_J} SELECT suite, lang, {_CELL}, {_CH}, round(avg(x), 9) AS base, round(avg(y), 9) AS other, round(avg(y - x), 9) AS d, round({_SE}, 9) AS se FROM r GROUP BY ALL"),
     "mcnemar_by_suite": (mcnemar_by_suite, None),
