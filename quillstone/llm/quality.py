@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,7 @@ FLOORS = [0.3, 0.5, 0.01, 0.015, 0.3, 0.04, 0.25, 0.3, 0.1, 0.1, 0.02, 0.1]
 _SETS = {k: frozenset(looks(v) if k in UNSPACED else looks(v).split()) for k, v in COMMON.items()}
 _CJK = "぀-ヿ㐀-鿿"
 _WORD = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+")
-_ALPHA = re.compile(r"[^\W\d_]")
+_DIGIT = re.compile(r"\d")
 _END = ".!?。！？…:;»\"”)"
 _SENTENCE = re.compile(r"[.!?。！？…]+(?=[\s\"»”)]|$)|[。！？]")
 
@@ -71,12 +72,12 @@ def document_stats(text: str | None, label: str | None = None) -> tuple[str, int
         solid = len("".join(t.split()))
         return language_code_py(label) or "en", 0, [0.0, 0.0, float(solid > 0), *[0.0] * (len(STATS) - 3)]
     best, hits = "", 0
-    distinct = set(words)
+    counts = Counter(words)
+    distinct = counts.keys()
     for lang, s in _SETS.items():
-        if not distinct.isdisjoint(s):
-            h = sum(w in s for w in words)
-            if h > hits:
-                best, hits = lang, h
+        h = sum(map(counts.__getitem__, distinct & s))
+        if h > hits:
+            best, hits = lang, h
     own = language_code_py(label)
     if hits < 0.02 * n or not best:
         best = own if own in _SETS else best or "en"
@@ -84,8 +85,7 @@ def document_stats(text: str | None, label: str | None = None) -> tuple[str, int
     solid = "".join(t.split())
     chars = len(solid)
     letters = sum(map(len, words))
-    digits = sum(c.isdigit() for c in solid)
-    alpha = letters - sum(c.isdigit() for w in words for c in w)
+    digits = len(_DIGIT.findall(solid))
     lines = [x.strip() for x in t.split("\n")]
     lines = [x for x in lines if x]
     punctuated = sum(x[-1] in _END for x in lines) / len(lines)
@@ -102,14 +102,14 @@ def document_stats(text: str | None, label: str | None = None) -> tuple[str, int
     square = sum(g * g for g in gaps) / n  # mean length of the stretch a word stands in
     sentences = [x for x in _SENTENCE.split(t) if x and x.strip()]
     units = lines if len(lines) > len(sentences) else sentences
-    counts = [len(_WORD.findall(x)) for x in units]
+    lengths = [len(_WORD.findall(x)) for x in units] if best in UNSPACED else [len(x.split()) for x in units]
     # words in short units against all words: one short list in prose weighs little
-    short = sum(k for k in counts if k <= (8 if best in UNSPACED else 4)) / n
+    short = sum(k for k in lengths if k <= (8 if best in UNSPACED else 4)) / n
     raw = t.encode("utf-8", "replace")
     packed = len(zlib.compress(raw, 1))
     return best, n, [
         math.log(n), letters / n, (chars - letters) / chars, digits / chars, punctuated, c / n, math.log1p(square),
-        math.log(n / max(1, len(sentences))), math.log(len(distinct)) - 0.75 * math.log(n), math.log(packed / (len(raw) + 20)), alpha / chars, short,
+        math.log(n / max(1, len(sentences))), math.log(len(distinct)) - 0.75 * math.log(n), math.log(packed / (len(raw) + 20)), (letters - digits) / chars, short,
     ]
 
 
