@@ -22,7 +22,7 @@ SEED = 20260927
 
 
 def latest_log(s: SparkSession, d: str) -> DataFrame:
-    r = table(s, d, "report").select("item_id", "src", "status", "attempts", "created_at", "received_at").distinct()
+    r = table(s, d, "report").select("item_id", "src", "status", "attempts", "created_at", "received_at")
     return Q.latest(r, ["item_id"], ["created_at", "received_at", "attempts", "status", "src"]).select("item_id", "status", "attempts")
 
 
@@ -37,8 +37,8 @@ def acceptance_rates(s: SparkSession, d: str) -> DataFrame:
 
 
 def acceptance_tree(s: SparkSession, d: str) -> DataFrame:
-    last = Q.latest(table(s, d, "report").select("item_id", "task", "domain", "status", "created_at", "received_at", "attempts").distinct(), ["item_id"], ["created_at", "received_at", "attempts", "status", "domain", "task"])
-    return last.groupBy("task", "domain").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("status") == "ok").alias("accepted"), F.round(L.P.total(F.array(F.avg((F.col("status") == "ok").cast("double")))), 9).alias("rate"))
+    last = Q.latest(table(s, d, "report").select("item_id", "task", "domain", "status", "created_at", "received_at", "attempts"), ["item_id"], ["created_at", "received_at", "attempts", "status", "domain", "task"])
+    return last.groupBy("task", "domain").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("status") == "ok").alias("accepted"), F.round(F.avg((F.col("status") == "ok").cast("double")), 9).alias("rate"))
 
 
 def rejection_reasons(s: SparkSession, d: str) -> DataFrame:
