@@ -70,76 +70,91 @@ def bitmaps(start: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefix_join(index: list[str], probe: list[str], t: float = THRESHOLD, chunk: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (i, j) with Jaccard(index[i], probe[j]) >= t over shingle sets, and that similarity; exact.
+class PrefixIndex:
+    """The inverted index of the prefixes of some texts.
 
     Two sets of sizes a and b need ``o = t / (1 + t) * (a + b)`` common shingles. In an order from rare to
     frequent, their first ``a - o + 1`` and ``b - o + 1`` shingles then have one in common.
     """
-    si, hi = shingles(index)
-    by_size = np.argsort(np.diff(si), kind="stable")  # texts of allowed sizes are a stretch of every posting list
-    si, hi = shingles([index[i] for i in by_size])
-    sp, hp = shingles(probe)
-    ni, np_ = np.diff(si), np.diff(sp)
-    blank_i, blank_p = np.flatnonzero(ni == 0), np.flatnonzero(np_ == 0)
-    out = [(np.repeat(by_size[blank_i], len(blank_p)), np.tile(blank_p, len(blank_i)), np.ones(len(blank_i) * len(blank_p)))]
-    if not len(hi) or not len(hp):
-        return out[0]
-    vocab, token, df = np.unique(hi, return_inverse=True, return_counts=True)
-    rank = np.empty(len(vocab), dtype=np.int64)  # rare in this block first
-    rank[np.argsort(df, kind="stable")] = np.arange(len(vocab))
-    reach = lambda n: n - np.ceil(t * n - 1e-9).astype(np.int64) + 1  # noqa: E731  the longest prefix that any partner asks for
-
-    def ranked(n: np.ndarray, start: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Prefix shingles in order of rank: their ranks, texts and positions."""
+
+    def __init__(self, texts: list[str], t: float = THRESHOLD):
+        self.t, self.n = t, len(texts)
+        start, _ = shingles(texts)
+        self.by_size = np.argsort(np.diff(start), kind="stable")  # texts of allowed sizes are a stretch of every posting list
+        self.start, self.hashes = shingles([texts[i] for i in self.by_size])
+        self.size = np.diff(self.start)
+        self.vocab, token, df = np.unique(self.hashes, return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(self.vocab), dtype=np.int64)  # rare in this block first
+        self.rank[np.argsort(df, kind="stable")] = np.arange(len(self.vocab))
+        r, post, at = self._prefixes(self.size, self.start, self.rank[token])
+        by = np.argsort(r, kind="stable")  # postings by rank, within one rank by size
+        self.post, self.at = post[by].astype(np.int32), at[by].astype(np.int32)
+        self.keys = r[by] * np.int64(self.n + 1) + self.post
+        self.maps = bitmaps(self.start, self.hashes)
+
+    def _prefixes(self, n: np.ndarray, start: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the longest prefix that any partner asks for: ranks, texts and positions, rare first."""
+        span = np.int64(len(self.vocab) + 2)
         owner = np.repeat(np.arange(len(n)), n)
-        r = np.sort(owner * np.int64(len(vocab) + 2) + r + 1) - owner * np.int64(len(vocab) + 2) - 1
+        r = np.sort(owner * span + r + 1) - owner * span - 1
         pos = np.arange(len(r)) - np.repeat(start[:-1], n)
-        inside = pos < np.repeat(reach(n), n)
+        inside = pos < np.repeat(n - np.ceil(self.t * n - 1e-9).astype(np.int64) + 1, n)
         return r[inside], owner[inside], pos[inside]
 
-    r, post, at = ranked(ni, si, rank[token])
-    by = np.argsort(r, kind="stable")  # postings by rank, within one rank by size
-    post, at = post[by].astype(np.int32), at[by].astype(np.int32)
-    posting_key = r[by] * np.int64(len(index) + 1) + post
-    # shingles unknown to the block come first and meet nothing
-    place = np.minimum(np.searchsorted(vocab, hp), len(vocab) - 1)
-    r, who, pos = ranked(np_, sp, np.where(vocab[place] == hp, rank[place], -1))
-    known = r >= 0
-    r, who, pos = r[known], who[known], pos[known]
-    least, most = np.searchsorted(ni, np.ceil(t * np_ - 1e-9)), np.searchsorted(ni, np.floor(np_ / t + 1e-9), side="right")
-    lo = np.searchsorted(posting_key, r * np.int64(len(index) + 1) + least[who])
-    hi_ = np.searchsorted(posting_key, r * np.int64(len(index) + 1) + most[who])
-    maps, own = bitmaps(si, hi), bitmaps(sp, hp)
-    bound = np.searchsorted(who, np.arange(0, len(probe) + chunk, chunk))
-    factor = t / (1 + t)
-    for k in range(len(bound) - 1):
-        part = slice(bound[k], bound[k + 1])
-        n = hi_[part] - lo[part]
-        some = n > 0
-        if not some.any():
-            continue
-        n, first = n[some], lo[part][some]
-        flat = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-        x = np.repeat(who[part][some], n)
-        y = post[flat]
-        o = np.ceil(factor * (ni[y] + np_[x]) - 1e-9)
-        near = (at[flat] <= ni[y] - o) & (np.repeat(pos[part][some], n) <= np_[x] - o)
-        seen = np.zeros(chunk * len(index), dtype=bool)
-        seen[(x[near] - k * chunk) * len(index) + y[near]] = True
-        pair = np.flatnonzero(seen)
-        j, i = pair // len(index) + k * chunk, pair % len(index)
-        a, b = ni[i], np_[j]
-        o = np.ceil(factor * (a + b) - 1e-9)
-        # the bitmaps bound the overlap from above
-        can = np.bitwise_count(maps[i] ^ own[j]).sum(axis=1, dtype=np.int64) <= a + b - 2 * o
-        i, j, o = i[can], j[can], o[can]
-        if len(i):
-            both = np.fromiter((np.intersect1d(hi[si[u] : si[u + 1]], hp[sp[v] : sp[v + 1]], assume_unique=True).size for u, v in zip(i, j)), dtype=np.int64, count=len(i))
-            good = both >= o
-            i, j, both = i[good], j[good], both[good]
-            out.append((by_size[i], j, both / (ni[i] + np_[j] - both)))
-    return tuple(np.concatenate(c) for c in zip(*out))  # type: ignore[return-value]
+    def probe(self, texts: list[str], chunk: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All (i, j) with Jaccard(indexed[i], texts[j]) >= t, and that similarity; exact."""
+        t, size, count = self.t, self.size, self.n
+        start, hashes = shingles(texts)
+        n = np.diff(start)
+        blank, empty = np.flatnonzero(size == 0), np.flatnonzero(n == 0)
+        out = [(np.repeat(self.by_size[blank], len(empty)), np.tile(empty, len(blank)), np.ones(len(blank) * len(empty)))]
+        if not len(self.hashes) or not len(hashes):
+            return out[0]
+        place = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
+        # shingles unknown to the block come first and meet nothing
+        r, who, pos = self._prefixes(n, start, np.where(self.vocab[place] == hashes, self.rank[place], -1))
+        known = r >= 0
+        r, who, pos = r[known], who[known], pos[known]
+        least, most = np.searchsorted(size, np.ceil(t * n - 1e-9)), np.searchsorted(size, np.floor(n / t + 1e-9), side="right")
+        lo = np.searchsorted(self.keys, r * np.int64(count + 1) + least[who])
+        hi = np.searchsorted(self.keys, r * np.int64(count + 1) + most[who])
+        own = bitmaps(start, hashes)
+        bound = np.searchsorted(who, np.arange(0, len(texts) + chunk, chunk))
+        overlap = lambda a, b: np.ceil(t / (1 + t) * (a + b) - 1e-9)
+        for k in range(len(bound) - 1):
+            part = slice(bound[k], bound[k + 1])
+            m = hi[part] - lo[part]
+            some = m > 0
+            if not some.any():
+                continue
+            m, first = m[some], lo[part][some]
+            flat = np.arange(m.sum()) + np.repeat(first - (np.cumsum(m) - m), m)
+            x, y = np.repeat(who[part][some], m), self.post[flat]
+            o = overlap(size[y], n[x])
+            near = (self.at[flat] <= size[y] - o) & (np.repeat(pos[part][some], m) <= n[x] - o)
+            seen = np.zeros(chunk * count, dtype=bool)
+            seen[(x[near] - k * chunk) * count + y[near]] = True
+            pair = np.flatnonzero(seen)
+            j, i = pair // count + k * chunk, pair % count
+            o = overlap(size[i], n[j])
+            # the bitmaps bound the overlap from above
+            can = np.bitwise_count(self.maps[i] ^ own[j]).sum(axis=1, dtype=np.int64) <= size[i] + n[j] - 2 * o
+            i, j, o = i[can], j[can], o[can]
+            if len(i):
+                sets = ((self.hashes[self.start[u] : self.start[u + 1]], hashes[start[v] : start[v + 1]]) for u, v in zip(i, j))
+                both = np.fromiter((np.intersect1d(p, q, assume_unique=True).size for p, q in sets), dtype=np.int64, count=len(i))
+                good = both >= o
+                i, j, both = i[good], j[good], both[good]
+                out.append((self.by_size[i], j, both / (size[i] + n[j] - both)))
+        return tuple(np.concatenate(c) for c in zip(*out))  # type: ignore[return-value]
+
+
+def prefix_join(index: list[str], probe: list[str], t: float = THRESHOLD, batch: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (i, j) with Jaccard(index[i], probe[j]) >= t over shingle sets, and that similarity; exact."""
+    own = PrefixIndex(index, t)
+    parts = [own.probe(probe[c : c + batch]) for c in range(0, len(probe), batch)]
+    shift = range(0, len(probe), batch)
+    return tuple(np.concatenate(x) for x in zip(*((i, j + c, s) for c, (i, j, s) in zip(shift, parts)))) if parts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))  # type: ignore[return-value]
 
 
 def split_pairs(df: DataFrame, eval_suites: DataFrame, id_col: str = "item_id", split: str = "split", suite: str = "suite", instructions: str = "instructions", state: str = "state", suite_of: str = "suite", t: float = THRESHOLD, block: int = 8192, probe_block: int = 16384) -> DataFrame:
