@@ -11,6 +11,7 @@ from quillstone.functions import text as X
 from quillstone.operators import adapters as A
 from quillstone.operators import contam as C
 from quillstone.operators import dedup as D
+from quillstone.operators import pairing as J
 from quillstone.operators import policies as L
 from quillstone.operators import quality as Q
 from quillstone.operators import sampling as S
@@ -186,6 +187,23 @@ def adapted_items(s: SparkSession, d: str) -> DataFrame:
     return i.groupBy("qtype", "lang", best.alias("gold")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def half_offset_pairs(s: SparkSession, d: str) -> DataFrame:
+    b = table(s, d, "benchmark").select("suite", "item_id")
+    return J.half_offset_pairs(b, ["suite"], ["item_id"], "item_id")
+
+
+def foreign_contexts(s: SparkSession, d: str) -> DataFrame:
+    b = table(s, d, "benchmark").select("suite", F.col("item_id").alias("question"), F.col("item_id").alias("passage"))
+    return J.foreign_contexts(b, "suite", "question", "passage", ["passage"])
+
+
+def source_classes(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "documents").select("source")
+    t = table(s, d, "mix_targets").select("source")
+    a = J.source_accounting(v.withColumnRenamed("source", "src"), "src", t.where("source like 'r%'"), t)
+    return a.groupBy("class").agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("n"))
+
+
 def event_windows(s: SparkSession, d: str) -> DataFrame:
     w = B.windowed_metrics(table(s, d, "events"), "ts", ["event_type"], "value", "1 day")
     return w.select("start", "event_type", "n", F.round("total", 4).alias("total"), "least", "most")
@@ -255,6 +273,9 @@ ALL = {
     "valid_items": (valid_items, f"WITH a AS (SELECT suite, coalesce(trim(state) <> '' AND type IN ('choice', 'score', 'noul') AND len(options) >= 2 AND len(list_filter(options, lambda o: o.key = gold)) = 1, false) AS ok, {sql_norm('state')} AS t FROM verify) SELECT suite, count(*) FILTER (WHERE ok) AS valid, count(*) FILTER (WHERE NOT ok) AS invalid, count(*) FILTER (WHERE length(t) <= 12 OR len(string_split(t, ' ')) <= 2) AS trivial FROM a GROUP BY suite"),
     "agreement": (agreement, "WITH a AS (SELECT suite, type, agree, CASE WHEN type = 'choice' THEN coalesce(answer = gold OR lower(trim(answer)) = lower(trim(gold)) OR (len(list_filter(options, lambda o: lower(o.description) = lower(trim(answer)))) = 1 AND coalesce(list_filter(options, lambda o: lower(o.description) = lower(trim(answer)))[1].key = gold, false)), false) WHEN type = 'noul' THEN coalesce(lower(trim(answer)) = lower(trim(gold)), false) ELSE coalesce(answer = gold, false) END AS ok FROM verify) SELECT suite, type, count(*) FILTER (WHERE ok) AS agrees, count(*) FILTER (WHERE agree) AS recorded FROM a GROUP BY ALL"),
     "adapted_items": (adapted_items, "SELECT 'choice' AS qtype, lang, suite AS gold, count(*) AS n FROM benchmark GROUP BY ALL UNION ALL SELECT 'noul', lang, 'true', count(*) FROM benchmark GROUP BY lang"),
+    "half_offset_pairs": (half_offset_pairs, "WITH r AS (SELECT suite, item_id, row_number() OVER (PARTITION BY suite ORDER BY item_id) - 1 AS i, count(*) OVER (PARTITION BY suite) AS n FROM benchmark) SELECT x.suite, x.item_id AS a, y.item_id AS b FROM r x JOIN r y ON x.suite = y.suite AND y.i = (x.i + x.n // 2) % x.n WHERE x.n > 1"),
+    "foreign_contexts": (foreign_contexts, "WITH f AS (SELECT suite, min(item_id) AS c, row_number() OVER (ORDER BY suite) AS k, count(*) OVER () AS n FROM benchmark GROUP BY suite) SELECT b.item_id AS question, g.c AS context FROM benchmark b JOIN f ON f.suite = b.suite JOIN f g ON g.k = f.k % f.n + 1"),
+    "source_classes": (source_classes, "WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT CASE WHEN source IN (SELECT source FROM mix_targets WHERE source LIKE 'r%') THEN 'chosen' WHEN source IN (SELECT source FROM mix_targets) THEN 'other' ELSE 'unknown' END AS class, count(*) AS sources, sum(n)::BIGINT AS n FROM c GROUP BY ALL"),
     "event_windows": (event_windows, "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY ALL"),
     "streamed_events": (streamed_events, "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY ALL"),
     "permissive_licences": (permissive_licences, "SELECT upper(suite) || ', ' || type AS licence, count(*) AS n FROM verify WHERE suite IN ('topic', 'intent', 'safety') AND type = 'choice' GROUP BY ALL"),

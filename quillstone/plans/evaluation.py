@@ -10,6 +10,7 @@ from quillstone.functions.languages import language_code
 from quillstone.operators import decide as D
 from quillstone.operators import evals as E
 from quillstone.operators import paired as R
+from quillstone.operators import pairing as J
 from quillstone.operators import quality as Q
 from quillstone.plans.decisions import _soft
 from quillstone.plans.text import _CODE, _TOK
@@ -121,6 +122,17 @@ def seed_comparison(s: SparkSession, d: str) -> DataFrame:
     return out.select(F.round("mean_difference", 9).alias("mean_difference"), "wins", "losses", "ties", F.round("p_sign", 9).alias("p_sign"))
 
 
+def evaluation_records(s: SparkSession, d: str) -> DataFrame:
+    cells = E.accuracy(_preds(s, d).where("model = 'base'"), ["suite", "lang"]).select("suite", "lang", "accuracy")
+    r = J.evaluation_records(cells, table(s, d, "verify").select("suite"), ["accuracy"])
+    return r.select("kind", "suite", "lang", F.round("accuracy", 9).alias("accuracy"))
+
+
+def difference_intervals(s: SparkSession, d: str) -> DataFrame:
+    c = J.difference_interval(R.paired_cells(_pairs(s, d), ["suite"]))
+    return c.select("suite", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
+
+
 def suite_mismatch(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "verify").select("suite").distinct()
     c = table(s, d, "categories_multilingual").select("suite").where("suite is not null").distinct()
@@ -227,6 +239,8 @@ ALL = {
     "promotion_verdict": (promotion_verdict, None),
     "pooled_difference": (pooled_difference, f"WITH {_J}, c AS (SELECT suite, lang, avg(y - x) AS d, {_SE} AS se FROM r GROUP BY ALL), w AS (SELECT *, 1.0::DOUBLE / count(*) OVER () AS wr, 1.0::DOUBLE / count(*) OVER (PARTITION BY suite) / (SELECT count(DISTINCT suite) FROM c) AS ws FROM c) SELECT 'rows' AS weights, count(*) AS cells, round(sum(wr * d), 9) AS d, round(sqrt(sum(pow(wr * se, 2))), 9) AS se FROM w UNION ALL SELECT 'suites', count(*), round(sum(ws * d), 9), round(sqrt(sum(pow(ws * se, 2))), 9) FROM w"),
     "seed_comparison": (seed_comparison, None),
+    "evaluation_records": (evaluation_records, f"WITH {_P}, c AS (SELECT suite, lang, avg(coalesce(pred = gold, false)::INT) AS a FROM p WHERE gold IS NOT NULL AND model = 'base' GROUP BY ALL) SELECT 'cell' AS kind, suite, lang, round(a, 9) AS accuracy FROM c UNION ALL SELECT 'macro', suite, 'macro', round(avg(a), 9) FROM c GROUP BY suite UNION ALL SELECT DISTINCT 'skipped', suite, NULL, NULL::DOUBLE FROM verify WHERE suite NOT IN (SELECT suite FROM c)"),
+    "difference_intervals": (difference_intervals, f"WITH {_J}, c AS (SELECT suite, {_CELL}, avg(y - x) AS d, {_SE} AS se FROM r GROUP BY suite), h AS (SELECT *, sqrt(pow(1.96 * se, 2) + CASE WHEN lost + gained = 0 THEN pow(1 - pow(0.025, 1.0 / n), 2) ELSE 0 END) AS w FROM c) SELECT suite, round(d - w, 9) AS lo, round(d + w, 9) AS hi FROM h"),
     "suite_mismatch": (suite_mismatch, "SELECT DISTINCT suite, 'items' AS only_in FROM verify WHERE suite NOT IN (SELECT suite FROM categories_multilingual WHERE suite IS NOT NULL) UNION ALL SELECT DISTINCT suite, 'metrics' FROM categories_multilingual WHERE suite IS NOT NULL AND suite NOT IN (SELECT suite FROM verify WHERE suite IS NOT NULL)"),
     "latency_percentiles": (latency_percentiles, "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95_linear FROM events WHERE value IS NOT NULL GROUP BY event_type"),
     "floor_percentile": (floor_percentile, "SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) WHERE r = floor(0.95 * (n - 1))"),
