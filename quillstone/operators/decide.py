@@ -162,12 +162,23 @@ class Scorer(Protocol):
 class LexicalScorer:
     """The number of distinct words of each option that the state has; deterministic and model-free."""
 
+    def prepare(self, states: DataFrame) -> DataFrame:
+        """The words of each state, once per state and not once per question."""
+        return states.withColumn("_have", words(F.col("state")))
+
     def logits(self, df: DataFrame) -> DataFrame:
-        have = words(F.col("state"))
+        have = F.col("_have") if "_have" in df.columns else words(F.col("state"))
         one = lambda o: F.size(F.array_intersect(words(o), F.col("_have"))).cast("double")
         return df.withColumn("_have", have).withColumn("logits", F.transform("options", one)).drop("_have")
 
 
+def score(states: DataFrame, questions: DataFrame, scorer: Scorer | None = None) -> DataFrame:
+    """Every state with every question and its ``logits``."""
+    scorer = scorer or LexicalScorer()
+    prepare = getattr(scorer, "prepare", None)
+    return scorer.logits(expand(prepare(states) if prepare else states, questions))
+
+
 class FunctionScorer:
     """A Python function over Arrow batches: ``f(states, options) -> list of score lists``."""
 
@@ -299,7 +310,7 @@ def decide(states: DataFrame, questions: DataFrame, scorer: Scorer | None = None
     ``states`` has ``key`` and ``state``; null states have no answers.
     """
     scorer = scorer or LexicalScorer()
-    rows = scorer.logits(expand(states.where(F.col("state").isNotNull()), questions))
+    rows = score(states.where(F.col("state").isNotNull()), questions, scorer)
     if n > 1:
         rows = ensemble(rows, scorer, [key, "qpos"], n, margin)
     if calibrated:

@@ -17,7 +17,6 @@ from quillstone.session import cut
 
 GRAM, NEAR = 5, 0.8
 PERMUTATIONS, ROWS = 96, 6
-_PRIME = (1 << 31) - 1
 
 
 def keep_first(df: DataFrame, keys: Sequence[Column], order: Sequence[str]) -> DataFrame:
@@ -53,14 +52,14 @@ def gram_hashes(texts: Sequence[str], n: int = GRAM) -> list[np.ndarray]:
 
 
 def minhash(grams: Sequence[np.ndarray], permutations: int = PERMUTATIONS, seed: int = 17) -> np.ndarray:
-    """Signatures by linear permutations modulo 2^31 - 1."""
+    """Signatures by multiply-shift hashing of the gram hashes."""
     rng = np.random.default_rng(seed)
-    a = rng.integers(1, _PRIME, permutations, dtype=np.uint64)[:, None]
-    b = rng.integers(0, _PRIME, permutations, dtype=np.uint64)[:, None]
+    a = rng.integers(1, 1 << 63, permutations, dtype=np.uint64)[:, None] | np.uint64(1)
+    b = rng.integers(0, 1 << 63, permutations, dtype=np.uint64)[:, None]
     out = np.zeros((len(grams), permutations), dtype=np.uint64)
     for i, g in enumerate(grams):
         if len(g):
-            out[i] = ((a * (g % np.uint64(_PRIME)) + b) % np.uint64(_PRIME)).min(axis=1)
+            out[i] = (a * g + b).min(axis=1) >> np.uint64(24)
     return out
 
 

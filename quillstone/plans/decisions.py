@@ -24,7 +24,7 @@ def _states(s: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
-    return D.LexicalScorer().logits(D.expand(_states(s, d), D.question_frame(s, QUESTIONS)))
+    return D.score(_states(s, d), D.question_frame(s, QUESTIONS))
 
 
 def decide_answers(s: SparkSession, d: str) -> DataFrame:
