@@ -92,9 +92,9 @@ def shared_shingles(s: SparkSession, d: str) -> DataFrame:
 
 
 def nested_overlap(s: SparkSession, d: str) -> DataFrame:
-    dev = table(s, d, "verify").where("split = 'dev'").select(F.explode(X.nested_strings(F.col("state"))).alias("text"))
+    held = table(s, d, "verify").where("split in ('dev', 'test')").select(F.explode(X.nested_strings(F.col("state"))).alias("text"))
     train = table(s, d, "verify").where("split = 'train'").select("item_id", "state")
-    return C.nested_overlap(train, "item_id", "state", dev, "text")
+    return C.nested_overlap(train, "item_id", "state", held, "text")
 
 
 def capped_seeds(s: SparkSession, d: str) -> DataFrame:
