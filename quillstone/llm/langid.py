@@ -42,9 +42,14 @@ LEAST_WORDS, LEAST_LETTERS, LEAST_UNSPACED = 4, 12, 6
 THRESHOLDS = (0.95, 0.99)
 
 _END = re.compile(r"(?<=[.!?…])[\"»”')\]]*\s+|(?<=[。！？])[」』”]*|\n+")
+#: Sentence ends that need no white space behind them; found before the full-width ones become ASCII.
+_WIDE_END = re.compile(r"[！？]+[」』”’）]*|(?<=[぀-ヿ㐀-鿿])(?:．+|[!?]+(?=[぀-ヿ㐀-鿿]))")
 _CODE = re.compile(r"\S*\d\S*")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿]")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_CYRILLIC = re.compile(r"[\u0400-\u04ff]")
+#: Cyrillic capitals that look like Latin ones although their small letters don't.
+_CAPITALS = str.maketrans("BHKMT", "внкмт")
 _LATIN = re.compile(r"[A-Za-z\u00c0-\u024f\u0400-\u04ff]+")
 _QUOTED = re.compile(r"[«„“\"(「『][^«»„“”\"()「」『』]{1,24}[»“”\")」』]")
 
@@ -65,11 +70,12 @@ def segments(state: str | None) -> list[str]:
     """The sentences of a state, in order; of a JSON object or array those of its string values."""
     if not state:
         return []
-    t = looks(state)
+    visible = lambda x: looks(_WIDE_END.sub("\\g<0>\n", x))
+    t = visible(state)
     texts = [t]
     if t.lstrip()[:1] in ("{", "["):
         try:
-            texts = list(strings(json.loads(t, strict=False)))
+            texts = [visible(x) for x in strings(json.loads(t, strict=False))]  # what was escaped in JSON shows only now
         except (ValueError, RecursionError):
             pass
     return [s for x in texts for s in (y.strip() for y in _END.split(x)) if s]
@@ -78,8 +84,9 @@ def segments(state: str | None) -> list[str]:
 def clean(segment: str) -> str:
     """What counts as language: lower-cased, without codes, quoted words and names; empty if that is no sentence.
 
-    Names are taken to be capitalised words after the first of a sentence; German nouns go with them. Of two
-    kinds of script, with and without spaces between words, the lesser one goes.
+    Names are taken to be capitalised words after the first of a sentence; German nouns go with them. Where most
+    letters are capitals nothing tells names, and every word counts. Of two kinds of script, with and without
+    spaces between words, the lesser one goes.
     """
     s = _QUOTED.sub(" ", segment)
     unspaced = _UNSPACED.findall(s)
@@ -87,7 +94,13 @@ def clean(segment: str) -> str:
         if len(unspaced) < LEAST_UNSPACED:
             return ""
         return f" {' '.join(_LETTERS.findall(_LATIN.sub(' ', s)))} "
-    words = [w for i, w in enumerate(_LETTERS.findall(_CODE.sub(" ", _UNSPACED.sub(" ", s)))) if not i or not w[0].isupper()]
+    whole = _LETTERS.findall(_CODE.sub(" ", _UNSPACED.sub(" ", s)))
+    words = [w for i, w in enumerate(whole) if not i or not w[0].isupper()]
+    if sum(map(len, words[1:])) * 2 < sum(map(len, whole)):  # else most letters are small
+        t = "".join(whole)
+        if sum(map(str.isupper, t)) > sum(map(str.islower, t)):
+            russian = len(_CYRILLIC.findall(t)) * 4 >= len(t)
+            words = [w.translate(_CAPITALS) for w in whole] if russian else whole
     if len(words) < LEAST_WORDS or sum(map(len, words)) < LEAST_LETTERS:
         return ""
     return f" {' '.join(words).lower()} "

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.languages import language_code_py
 from quillstone.llm.langid import clean, document_languages, fit, segment_languages, segments, train_language_model, unnamed_languages
 from quillstone.llm.leaks import Passages, leaks, offsets, stream
+from quillstone.llm.looks import looks
 from quillstone.llm.mixing import Mixture, min_cost_flow
 from quillstone.llm.quality import STATS, document_quality, document_stats
 from quillstone.llm.sampling import CategorySample, calibrate
@@ -285,3 +286,18 @@ def test_statistics():
 def test_token_count_column(spark):
     df = spark.createDataFrame([("a b",), (None,), ("",)], "t string")
     assert [r["n"] for r in df.select(token_count(F.col("t"), tokenizer_path("byte_bpe_50k.tiktoken")).alias("n")).collect()] == [2, 0, 0]
+
+
+def test_sentences_in_capitals_and_full_width_ends(spark, data):
+    small = "после звонка в клинику никто не нашёл мой билет, поэтому я ещё жду."
+    assert clean(looks(small.upper())) == clean(looks(small))
+    assert clean("AFTER THE KETTLE ARRIVED, NOBODY ANSWERED.") == " after the kettle arrived nobody answered "
+    assert clean("OPEN Q12-3 OK") == "" and clean("My friend Zelmo Fapu has the lamp of BIG CALZU") == " my friend has the lamp of "
+    assert segments("本当ですか？はい！！そうです。「なぜ？」と聞いた!次です．終わり") == ["本当ですか?", "はい!!", "そうです。", "「なぜ?」", "と聞いた!", "次です.", "終わり"]
+    assert segments('{"a": "\\u306f\\u3044\\uff01\\u6b21", "b": "３．５ is less. Ｙｅｓ"}') == ["はい!", "次", "3.5 is less.", "Yes"]
+    v = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/verify.parquet")
+    m = train_language_model(v, rows_per_language=120)
+    en, de = "I would like to return the lamp to the library.", "Ehrlich gesagt, das Gerät schaltet sich ab, weil niemand geantwortet hat."
+    rows = [(1, f"{en} {de.upper()}", "en"), (2, en.upper(), None), (3, en.upper(), "en"), (4, "図書館に電灯を返したいと思います！诊所没有人找得到我的包裹。", "ja")]
+    segs = segment_languages(spark.createDataFrame(rows, "item_id bigint, state string, lang string"), m)
+    assert {tuple(r) for r in unnamed_languages(segs).collect()} == {(1, "de"), (2, "en"), (4, "zh")}
