@@ -11,6 +11,8 @@ import numpy as np
 from quillstone.llm.looks import looks
 
 K = 5
+#: Texts that are sorted together: their numbers take 16 bits, which leaves 48 for the hashes in every batch.
+SLICE = 1 << 16
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -61,6 +63,10 @@ def shingles(texts: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
     A non-empty text shorter than ``k`` has itself as its one shingle; an empty text has none.
     """
     n = len(texts)
+    if n > SLICE:
+        parts = [shingles(texts[c : c + SLICE], k) for c in range(0, n, SLICE)]
+        sizes = np.concatenate([np.diff(s) for s, _ in parts])
+        return np.append(np.int64(0), np.cumsum(sizes)), np.concatenate([h for _, h in parts])
     lens = np.fromiter(map(len, texts), dtype=np.int64, count=n)
     if not n or not lens.sum():
         return np.zeros(n + 1, dtype=np.int64), np.zeros(0, dtype=np.uint64)
@@ -95,6 +101,8 @@ def jaccard(a: list[str], b: list[str], k: int = K) -> np.ndarray:
     n = len(a)
     if not n:
         return np.zeros(0)
+    if n > SLICE:
+        return np.concatenate([jaccard(a[c : c + SLICE], b[c : c + SLICE], k) for c in range(0, n, SLICE)])
     start, h = shingles([*a, *b], k)
     size = np.diff(start)
     owner = np.repeat(np.arange(2 * n) % n, size).astype(np.uint64)

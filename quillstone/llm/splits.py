@@ -2,7 +2,7 @@
 
 Rows are compared only under the same instructions. Copies collapse first. Within one set of
 instructions, evaluation texts are cut into blocks, by the size of their shingle sets if there are
-several, and every training text goes to the blocks whose sizes the length filter allows. A block holds
+several and by hash where too many sizes tie, and every training text goes to the blocks whose sizes the length filter allows. A block holds
 an inverted index of the prefixes of its evaluation texts: shingles are ordered from rare to frequent *in
 that block*, so a prefix is made of the rarest shingles of a text. A training text probes the index
 with its own prefix; the length filter picks a stretch of each posting list, the position filter drops
@@ -183,31 +183,42 @@ def split_pairs(df: DataFrame, eval_suites: DataFrame, id_col: str = "item_id",
     return pairs.join(ev, ["ih", "th_e"]).join(tr, ["ih", "th_t"]).select("eval_id", "train_id", "similarity").distinct()
 
 
-def block_join(sizes: DataFrame, docs: DataFrame, t: float, block: int, probe_block: int) -> DataFrame:
-    """(ih, th_e, th_t, similarity) of the documents of role 1 (indexed) and role 0 (probing).
+def placed_blocks(sizes: DataFrame, docs: DataFrame, t: float, block: int, probe_block: int) -> DataFrame:
+    """(ih, band, sub, part, _role, th, text): the documents at every block that they take part in.
 
-    ``sizes`` holds (_role, ih, th, n) of each document, ``docs`` their texts besides.
+    Bands are cut at quantiles of the set sizes of role 1; a band that still has more than ``block`` of them, as
+    where sizes tie, is spread over ``sub`` by hash. Documents of role 0 go to all subs of a band, spread over
+    ``part``.
     """
     steps = 64
-    edges = [i / steps for i in range(1, steps)]
+    edges = ", ".join(f"{i / steps}D" for i in range(1, steps))
     is_eval = F.col("_role") == 1
-    groups = sizes.groupBy("ih").agg(
-        F.sum(is_eval.cast("long")).alias("e"), F.sum((~is_eval).cast("long")).alias("p"),
-        F.percentile_approx(F.when(is_eval, F.col("n")), edges, 1000).alias("q"),
-    ).where("e > 0 and p > 0")
+    band = lambda n: F.expr(f"size(filter(cuts, c -> c < {n}))")
+    hist = cut(sizes.groupBy("ih", "n").agg(F.sum(is_eval.cast("long")).alias("e"), F.sum((~is_eval).cast("long")).alias("p")))
+    groups = hist.groupBy("ih").agg(F.sum("e").alias("e"), F.sum("p").alias("p"), F.expr(f"percentile(n, array({edges}), e)").alias("q")).where("e > 0 and p > 0")
     groups = groups.withColumns({"blocks": F.ceil(F.col("e") / block).cast("int"), "parts": F.ceil(F.col("p") / probe_block).cast("int")})
     groups = groups.withColumn("bands", F.least(F.col("blocks"), F.lit(steps)))
-    groups = groups.withColumn("subs", F.ceil(F.col("blocks") / F.col("bands")).cast("int"))
-    cuts = "case when bands <= 1 then cast(array() as array<int>) else array_distinct(transform(sequence(1, bands - 1), i -> element_at(q, cast(ceil(i * 64 / bands) as int)))) end"
-    groups = groups.withColumn("cuts", F.expr(cuts)).select("ih", "subs", "parts", "cuts")
-    placed = docs.join(groups, "ih")
-    band = lambda n: F.expr(f"size(filter(cuts, c -> c < {n}))")
+    cuts = "case when bands <= 1 then cast(array() as array<double>) else array_distinct(transform(sequence(1, bands - 1), i -> element_at(q, cast(ceil(i * 64 / bands) as int)))) end"
+    groups = groups.withColumn("cuts", F.expr(cuts)).select("ih", "parts", "cuts")
+    filled = hist.where("e > 0").join(groups, "ih").groupBy("ih", band("n").alias("band")).agg(F.ceil(F.sum("e") / block).cast("int").alias("of"))
+    subs = filled.groupBy("ih").agg(F.map_from_entries(F.collect_list(F.struct("band", "of"))).alias("subs"))
+    placed = docs.join(groups.join(subs, "ih"), "ih")
     lo = F.when(is_eval, band("n")).otherwise(band(f"floor(n * {t} - 1e-6)"))
     hi = F.when(is_eval, band("n")).otherwise(band(f"ceil(n / {t} + 1e-6)"))
     salt = lambda of: F.pmod(F.xxhash64("th", F.lit(7)), of).cast("int")
-    placed = placed.withColumns({"band": F.explode(F.sequence(lo, hi)), "_sub": salt(F.col("subs")), "_part": salt(F.col("parts"))})
-    placed = placed.withColumn("sub", F.explode(F.when(is_eval, F.array("_sub")).otherwise(F.sequence(F.lit(0), F.col("subs") - 1))))
+    placed = placed.withColumns({"band": F.explode(F.sequence(lo, hi)), "_part": salt(F.col("parts"))})
+    placed = placed.withColumn("of", F.expr("try_element_at(subs, band)")).where("of is not null")  # no evaluation text in the band otherwise
+    placed = placed.withColumn("sub", F.explode(F.when(is_eval, F.array(salt(F.col("of")))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))))
     placed = placed.withColumn("part", F.explode(F.when(is_eval, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("_part"))))
+    return placed.select("ih", "band", "sub", "part", "_role", "th", "text")
+
+
+def block_join(sizes: DataFrame, docs: DataFrame, t: float, block: int, probe_block: int) -> DataFrame:
+    """(ih, th_e, th_t, similarity) of the documents of role 1 (indexed) and role 0 (probing).
+
+    ``sizes`` holds (_role, ih, th, n) of each document, ``docs`` their texts besides.
+    """
+    placed = placed_blocks(sizes, docs, t, block, probe_block)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         e, p = g[g["_role"] == 1], g[g["_role"] == 0]
@@ -216,7 +227,7 @@ def block_join(sizes: DataFrame, docs: DataFrame, t: float, block: int, probe_bl
         i, j, s = prefix_join(e["text"].tolist(), p["text"].tolist(), t)
         return pd.DataFrame({"ih": np.full(len(i), g["ih"].iloc[0]), "th_e": e["th"].to_numpy()[i], "th_t": p["th"].to_numpy()[j], "similarity": s})
 
-    return placed.select("ih", "band", "sub", "part", "_role", "th", "text").groupBy("ih", "band", "sub", "part").applyInPandas(run, "ih bigint, th_e bigint, th_t bigint, similarity double")
+    return placed.groupBy("ih", "band", "sub", "part").applyInPandas(run, "ih bigint, th_e bigint, th_t bigint, similarity double")
 
 
 def ordered(pairs: DataFrame, a: str, b: str, id_col: str) -> DataFrame:

@@ -14,7 +14,7 @@ from quillstone.llm.lookalikes import consistent, look_classes, look_pairs
 from quillstone.llm.looks import looks, sql_looks
 from quillstone.llm.neardup import band_keys, near_groups, near_pairs, prob_minhash, sketch
 from quillstone.llm.shingles import jaccard, letters, plain, shingles
-from quillstone.llm.splits import ordered, prefix_join, split_pairs
+from quillstone.llm.splits import ordered, placed_blocks, prefix_join, split_pairs
 
 OPTIONS = "array<struct<key:string,description:string>>"
 
@@ -176,3 +176,26 @@ def test_prob_minhash_estimates():
     assert (both[0] == single[0]).all() and (both[2] == single[0]).all() and not both[1].any()
     keys = band_keys(both, np.array([1, 1, 2], dtype=np.uint64))
     assert (keys[0] != keys[2]).all() and (sketch(both)[0] == sketch(both)[2]).all()
+
+
+def test_more_texts_than_owner_bits():
+    """Hashes don't depend on how many texts share a batch."""
+    many = [f"{i:05x}" for i in range(70_000)]
+    start, h = shingles(many)
+    assert (np.diff(start) == 1).all() and (h[:100] == shingles(many[:100])[1]).all() and (h[-100:] == shingles(many[-100:])[1]).all()
+    i, j, s = prefix_join(many, many[::1000])
+    assert sorted(zip(i.tolist(), j.tolist())) == [(1000 * k, k) for k in range(70)] and (s == 1).all()
+    assert (jaccard(many, many) == 1).all() and jaccard(many, many[1:] + ["x"]).max() == 0
+
+
+def test_blocks_are_bounded_where_sizes_tie(spark):
+    """Texts of one set size are spread over blocks, and every pair still meets exactly once."""
+    rows = [(1, 1, i, f"{i:05d}", 1) for i in range(2000)] + [(1, 1, 5000 + i, "x" * 40 + str(i), 20 + i % 9) for i in range(300)] + [(0, 1, 10_000 + i, f"{i:05d}", 1) for i in range(500)] + [(0, 1, 20_000, "none of these", 9), (1, 2, 1, "alone", 1)]
+    docs = spark.createDataFrame(rows, "_role int, ih bigint, th bigint, text string, n int")
+    placed = placed_blocks(docs.drop("text"), docs, 0.8, 100, 200).cache()
+    assert placed.where("_role = 1").groupBy("ih", "band", "sub", "part").count().agg(F.max("count")).first()[0] < 180
+    assert placed.where("_role = 1").select("ih", "th").distinct().count() == 2300
+    a, b = (placed.where(f"_role = {r} and length(text) = 5").select("ih", "band", "sub", "part", F.col("th").alias(x)) for r, x in ((1, "e"), (0, "t")))
+    met = a.join(b, ["ih", "band", "sub", "part"])
+    assert met.count() == met.select("e", "t").distinct().count() == 2000 * 500
+    assert placed.where("_role = 1").groupBy("th").agg(F.countDistinct("band", "sub").alias("k")).where("k > 1").isEmpty()
