@@ -1,7 +1,8 @@
 """Visually identical text with different characters.
 
-Look-alike-mapped values are grouped under the accent-sensitive collation UNICODE, the least raw form
-of a class becomes its canonical member, and that is joined back.
+Look-alike-mapped values are grouped under the accent-sensitive collation UNICODE. The least SHA-256 of the
+raw forms of a class is its id, which is joined back; the consistent form of a text is its visible form, which
+the members of a class share, so no member's text needs to be joined.
 
 Comparing whole texts under a collation is dear, so it is confined to rows that can have a partner:
 a hash that is the same for texts that look the same (:func:`_bucket`) and a hash of the raw characters
@@ -14,7 +15,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from quillstone.llm.looks import looks, looks_batch, sql_looks
 from quillstone.llm.shingles import hash_text
@@ -80,11 +81,15 @@ def consistent(df: DataFrame, id_col: str = "item_id", state: str = "state", opt
     def form(s: pd.Series) -> pd.Series:
         return s.map(lambda x: looks(x) if x is not None else None)
 
-    plain_state = F.when(F.col(state).rlike(r"[^\x00-\x7f\r]"), form(F.col(state))).otherwise(F.replace(F.col(state), F.lit("\r\n"), F.lit("\n")))
-    flat = F.to_json(F.struct(F.col(options).alias("o")))
-    kind = df.schema[options].dataType.simpleString()
-    plain_opts = F.when(flat.rlike(r"[^\x00-\x7f]"), F.from_json(form(flat), f"struct<o:{kind}>")["o"]).otherwise(F.col(options))
-    rows = df.select(F.col(id_col), F.col(state).alias("_s"), F.col(options).alias("_o"), plain_state.alias("state"), plain_opts.alias("options"))
+    @F.pandas_udf(ArrayType(StringType()))
+    def forms(fields: pd.Series) -> pd.Series:
+        return fields.map(lambda x: [looks(v) if v is not None else None for v in x] if x is not None else None)
+
+    src = df.select(F.col(id_col), F.col(state).alias("_s"), F.col(options).alias("_o"))
+    src = src.withColumn("_f", forms(F.flatten(F.transform("_o", lambda o: F.array(o["key"], o["description"])))))
+    plain_state = F.when(F.col("_s").rlike(r"[^\x00-\x7f\r]"), form(F.col("_s"))).otherwise(F.replace(F.col("_s"), F.lit("\r\n"), F.lit("\n")))
+    plain_opts = F.transform("_o", lambda o, i: F.when(o.isNotNull(), o.withField("key", F.get("_f", 2 * i)).withField("description", F.get("_f", 2 * i + 1))))
+    rows = src.select(F.col(id_col), "_s", "_o", plain_state.alias("state"), plain_opts.alias("options"))
     rows = rows.withColumn("changed", ~(F.col("state").eqNullSafe(F.col("_s")) & options_text(F.col("options")).eqNullSafe(options_text(F.col("_o"))))).drop("_s", "_o")
     named = look_classes(df, id_col, state, options).groupBy(id_col).agg(F.min("class_id").alias("class_id"))
     return rows.join(named, id_col, "left").select(id_col, "state", "options", "class_id", "changed")

@@ -199,3 +199,14 @@ def test_blocks_are_bounded_where_sizes_tie(spark):
     met = a.join(b, ["ih", "band", "sub", "part"])
     assert met.count() == met.select("e", "t").distinct().count() == 2000 * 500
     assert placed.where("_role = 1").groupBy("th").agg(F.countDistinct("band", "sub").alias("k")).where("k > 1").isEmpty()
+
+
+def test_consistent_options_field_by_field(spark):
+    """Characters whose visible form is special in JSON keep the options; nulls and other fields stay as they are."""
+    options = [("ａ＂b", "c＼d"), ("x y", " \u0085"), ("k", None), (None, "one\r\ntwo"), None]
+    df = spark.createDataFrame([(1, "s", options), (2, "s", [("plain", "one\r\ntwo")]), (3, "s", None), (4, "s", [])], f"item_id bigint, state string, options {OPTIONS}")
+    got = {r["item_id"]: r for r in consistent(df).collect()}
+    assert [o and tuple(o) for o in got[1]["options"]] == [('a"b', "c\\d"), ("x\ny", "\n\n"), ("k", None), (None, "one\ntwo"), None]
+    assert got[1]["changed"] and [tuple(o) for o in got[2]["options"]] == [("plain", "one\ntwo")]
+    assert got[3]["options"] is None and got[4]["options"] == [] and not got[4]["changed"]
+    assert consistent(df).schema["options"].dataType == df.schema["options"].dataType
