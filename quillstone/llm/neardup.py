@@ -27,13 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.shingles import hash_text, jaccard, letters, mix, plain, shingles
+from quillstone.operators.dedup import sketch_least
 from quillstone.operators.graph import components
 from quillstone.session import cut
 
 THRESHOLD = 0.8
 REGISTERS, ROWS = 144, 6
-#: Least number of equal sketch bits of 128: 0.9 of them are expected at a similarity of 0.8.
-SKETCH_BITS, SKETCH_LEAST = 128, 101
+#: A pair at the threshold may share no band with this probability. Of 128 sketch bits, 101 must be equal at a threshold of 0.8.
+SKETCH_BITS, LOSS = 128, 0.001
+
+
+def rows_for(t: float) -> int:
+    """Rows of a band for the threshold ``t``: the most that keep a pair at ``t`` but with probability ``LOSS``; 6 at 0.8."""
+    return max([r for r in range(1, REGISTERS + 1) if (1 - t**r) ** (REGISTERS // r) <= LOSS], default=1)
 
 
 def prob_minhash(start: np.ndarray, elements: np.ndarray, weights: np.ndarray | None = None, registers: int = REGISTERS, seed: int = 1) -> np.ndarray:
@@ -120,7 +126,7 @@ def near_duplicates(df: DataFrame, id_col: str = "item_id", instructions: str =
             start, h = shingles(k["text"].tolist())
             size = np.diff(start)
             sig = prob_minhash(start, h)
-            key = band_keys(sig, np.array([hash_text(i) for i in k["ih"]], dtype=np.int64).view(np.uint64))
+            key = band_keys(sig, np.array([hash_text(i) for i in k["ih"]], dtype=np.int64).view(np.uint64), rows_for(t))
             sk = sketch(sig).view(np.int64)
             some = np.flatnonzero(size > 0)
             m = key.shape[1]
@@ -133,7 +139,7 @@ def near_duplicates(df: DataFrame, id_col: str = "item_id", instructions: str =
     once = banded.repartition("key").groupBy("key", "class").agg(*(F.first(c).alias(c) for c in ("n", "s0", "s1")))
     a = once.select("key", *(F.col(c).alias(f"{c}_a") for c in ("class", "n", "s0", "s1")))
     b = once.select("key", *(F.col(c).alias(f"{c}_b") for c in ("class", "n", "s0", "s1")))
-    near = f"class_a < class_b and least(n_a, n_b) >= {t} * greatest(n_a, n_b) - 1e-9 and bit_count(s0_a ^ s0_b) + bit_count(s1_a ^ s1_b) <= {SKETCH_BITS - SKETCH_LEAST}"
+    near = f"class_a < class_b and least(n_a, n_b) >= {t} * greatest(n_a, n_b) - 1e-9 and bit_count(s0_a ^ s0_b) + bit_count(s1_a ^ s1_b) <= {SKETCH_BITS - sketch_least(t, SKETCH_BITS, 1e-4)}"
     cand = cut(a.join(b, "key").where(near).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct())
     need = cand.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     one = named.join(need, "class", "left_semi").groupBy("class").agg(F.min("_id").alias("_id")).select("_id")

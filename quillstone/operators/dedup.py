@@ -16,7 +16,28 @@ from quillstone.operators.graph import components
 from quillstone.session import cut
 
 GRAM, NEAR = 5, 0.8
-PERMUTATIONS, ROWS = 96, 6
+#: Registers of a signature, and the probability with which a pair at the threshold may be lost by banding, and by the sketch.
+PERMUTATIONS, LOSS = 192, 1e-9
+
+
+def band_rows(t: float) -> int:
+    """The most rows of a band with which a pair at ``t`` shares none of the bands with a probability of ``LOSS`` at most."""
+    return max([r for r in range(1, PERMUTATIONS + 1) if (1 - t**r) ** (PERMUTATIONS // r) <= LOSS], default=1)
+
+
+def band_count(t: float, rows: int) -> int:
+    """The fewest bands of so many rows that keep a pair at ``t`` but with a probability of ``LOSS``, as far as registers go."""
+    return PERMUTATIONS // rows if t >= 1 else min(PERMUTATIONS // rows, math.ceil(math.log(LOSS) / math.log1p(-(t**rows))))
+
+
+def sketch_least(t: float, bits: int = PERMUTATIONS, loss: float = LOSS) -> int:
+    """So many bits of two sketches are equal for a pair at ``t``, but with a probability of ``loss``."""
+    p, tail = (1 + t) / 2, 0.0
+    for k in range(bits + 1):
+        tail += math.comb(bits, k) * p**k * (1 - p) ** (bits - k)
+        if tail > loss:
+            return k
+    return bits
 
 
 def keep_first(df: DataFrame, keys: Sequence[Column], order: Sequence[str]) -> DataFrame:
@@ -66,9 +87,12 @@ def minhash(grams: Sequence[np.ndarray], permutations: int = PERMUTATIONS, seed:
 def near_links(df: DataFrame, id_col: str, text: str, t: float = NEAR) -> DataFrame:
     """(a, b, similarity) with a < b: class representatives whose 5-grams reach ``t``, by banded MinHash and verification.
 
-    16 bands of 6 rows find a pair at 0.8 with probability 0.992 and one at 0.9 with more than 0.9999. Copies are
-    represented by their least id (:func:`text_classes` has the membership); buckets have no cap.
+    The rows of a band follow from ``t`` (40 bands of 4 rows at 0.8), and so does the number of equal bits that
+    sketches of one bit per register must have: each loses a pair at ``t`` with a probability of 1e-9 at most.
+    Copies are represented by their least id (:func:`text_classes` has the membership); buckets have no cap.
     """
+    depth, least = band_rows(t), sketch_least(t)
+    words = [f"s{i}" for i in range(PERMUTATIONS // 64)]
     rows = df.select(F.col(id_col).alias("_id"), norm(F.col(text)).alias("_t")).where("_t <> ''")
     reps = rows.groupBy(F.xxhash64("_t").alias("_a"), F.xxhash64(F.lit(1), "_t").alias("_b")).agg(F.min("_id").alias("_id"), F.first("_t").alias("_t")).select("_id", "_t")
     reps = cut(reps)
@@ -77,21 +101,27 @@ def near_links(df: DataFrame, id_col: str, text: str, t: float = NEAR) -> DataFr
         for b in batches:
             g = gram_hashes(b["_t"].tolist())
             s = minhash(g)
-            m = PERMUTATIONS // ROWS
+            m = band_count(t, depth)
             key = np.empty((len(b), m), dtype=np.uint64)
             for k in range(m):
                 h = np.full(len(b), k + 1, dtype=np.uint64)
-                for r in range(ROWS):
-                    h = (h ^ s[:, k * ROWS + r]) * np.uint64(0x9E3779B97F4A7C15)
+                for r in range(depth):
+                    h = (h ^ s[:, k * depth + r]) * np.uint64(0x9E3779B97F4A7C15)
                     h ^= h >> np.uint64(29)
                 key[:, k] = h
-            yield pd.DataFrame({"key": key.reshape(-1).view(np.int64), "_id": np.repeat(b["_id"].to_numpy(), m), "n": np.repeat(np.array([len(x) for x in g], dtype="int32"), m)})
+            sketch = np.packbits((s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
+            out = {"key": key.reshape(-1).view(np.int64), "_id": np.repeat(b["_id"].to_numpy(), m), "n": np.repeat(np.array([len(x) for x in g], dtype="int32"), m)}
+            yield pd.DataFrame(out | {w: np.repeat(sketch[:, i], m) for i, w in enumerate(words)})
 
     kind = dict(reps.dtypes)["_id"]
-    keyed = reps.mapInPandas(bands, f"key bigint, _id {kind}, n int").repartition("key")
-    a, b = (keyed.select("key", F.col("_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    cand = a.join(b, "key").where(f"a < b and least(n_a, n_b) >= {t} * greatest(n_a, n_b) - 1e-9").select("a", "b").distinct()
-    both = cand.join(reps.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a").join(reps.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b")
+    keyed = reps.mapInPandas(bands, f"key bigint, _id {kind}, n int, {', '.join(f'{w} bigint' for w in words)}").repartition("key")
+    a, b = (keyed.select("key", F.col("_id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(w).alias(f"{w}_{x}") for w in words)) for x in "ab")
+    unequal = " + ".join(f"bit_count({w}_a ^ {w}_b)" for w in words)
+    cand = a.join(b, "key").where(f"a < b and least(n_a, n_b) >= {t} * greatest(n_a, n_b) - 1e-9 and {unequal} <= {PERMUTATIONS - least}").select("a", "b").distinct()
+    cand = cut(cand)
+    need = cand.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    texts = cut(reps.join(need, "_id", "left_semi"))
+    both = cand.join(texts.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:

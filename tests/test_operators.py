@@ -232,3 +232,22 @@ def test_adapters(spark):
     assert A.drop_constant(many, ["src"]).count() == 0
     c = A.conversation_state(spark.createDataFrame([(1, 2, "user", "b"), (1, 1, "system", "a")], "c int, t int, r string, x string"), "c", "t", "r", "x").first()
     assert c["state"] == "system: a\nuser: b"
+
+
+def test_near_links_at_other_thresholds(spark):
+    """No pair at the threshold is lost, whatever the threshold; pairs of 60 % are no chance hits."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    rows = []
+    for i in range(150):
+        w = [word() for _ in range(40)]
+        v = list(w)
+        for k in rng.sample(range(40), 6):
+            v[k] = word()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    grams = {i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t in rows}
+    for t in (0.6, 0.8):
+        want = {(i, i + 1) for i in range(0, 300, 2) if len(grams[i] & grams[i + 1]) >= t * len(grams[i] | grams[i + 1])}
+        assert {(r["a"], r["b"]) for r in U.near_links(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", t).collect()} == want
+        assert (len(want) > 100) == (t == 0.6)
+    assert U.band_rows(0.8) == 4 and U.sketch_least(0.8) > U.sketch_least(0.6)
