@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,10 +28,12 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g",
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``. Only a local session may do without and gets a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillstone-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -41,6 +44,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers that :func:`small` broadcasts at most.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``rows`` rows by count; beyond that the join shuffles. For narrow, cut tables."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
