@@ -1,13 +1,12 @@
 """Visually identical text with different characters.
 
-Look-alike-mapped values are grouped under the accent-sensitive collation UNICODE. The least SHA-256 of the
-raw forms of a class is its id, which is joined back; the consistent form of a text is its visible form, which
-the members of a class share, so no member's text needs to be joined.
-
-Comparing whole texts under a collation is dear, so it is confined to rows that can have a partner:
-a hash that is the same for texts that look the same (:func:`_bucket`) and a hash of the raw characters
-are computed first, and only buckets with two raw forms reach the mapping and the collation in SQL.
-Copies are collapsed before every shuffle of texts, so a group of copies costs one row per map task.
+Look-alike-mapped values are grouped under the accent-sensitive collation UNICODE. Of each class the least member in
+code point order is canonical; it is joined back, and :func:`consistent` puts it out for all members. All of this is SQL.
+
+Comparing whole texts under a collation is dear, so it is confined to rows that can have a partner: a first pass
+hashes the mapped text without accents, which is the same for whatever the collation may find equal, and the raw
+characters; only spellings whose hash has another spelling reach the collation, which then decides. Sorting goes by
+that hash first, so that the collator compares within it only. Copies are one spelling.
 """
 
 from __future__ import annotations
@@ -15,12 +14,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import ArrayType, StringType
 
-from quillstone.llm.looks import looks, looks_batch, sql_looks
-from quillstone.llm.shingles import hash_text
+from quillstone.llm.looks import looks, sql_bare, sql_looks
+from quillstone.session import cut, small
 
-_CELL, _ITEM = "", ""  # private-use characters: unlike controls, no collation ignores them
+_CELL, _ITEM = "\ue000", "\ue001"  # private-use characters: unlike controls, no collation ignores them
 
 
 def options_text(options: Column) -> Column:
@@ -29,14 +28,35 @@ def options_text(options: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(options, one), _ITEM), F.lit(""))
 
 
-def _raw(*cols: Column) -> Column:
-    return F.sha2(F.concat_ws(_ITEM + _CELL, *cols), 256)
+def _raw(s: Column, o: Column) -> dict[str, Column]:
+    """Two hashes of the raw characters."""
+    return {"_r1": F.xxhash64(s, o), "_r2": F.xxhash64(F.lit(1), s, o)}
+
 
+def _mapped(s: Column, o: Column) -> Column:
+    return F.concat(sql_looks(s), F.lit(_ITEM + _CELL), sql_looks(o))
 
-@F.pandas_udf(LongType())
-def _bucket(state: pd.Series, options: pd.Series) -> pd.Series:
-    """A hash that is the same for texts that look the same."""
-    return pd.Series([hash_text(a + _ITEM + b) for a, b in zip(looks_batch(state), looks_batch(options))], dtype="int64")
+
+def _members(df: DataFrame, id_col: str, state: str, options: str) -> DataFrame:
+    """(_id, _r1, _r2, class_id, _rep): rows that look like another spelling, with the id of a canonical row; materialised."""
+    rows = df.where(F.col(state).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(state).alias("_s"), options_text(F.col(options)).alias("_o"))
+    both = F.col("_s"), F.col("_o")
+    keyed = cut(rows.select("_id", F.xxhash64(sql_bare(_mapped(*both))).alias("_b"), *(c.alias(k) for k, c in _raw(*both).items())))
+    raw = F.struct("_r1", "_r2")
+    mixed = keyed.groupBy("_b").agg(F.min(raw).alias("lo"), F.max(raw).alias("hi")).where("lo < hi").select("_b")
+    chosen = cut(keyed.join(mixed, "_b", "left_semi"))
+    one = cut(chosen.groupBy("_r1", "_r2").agg(F.min("_id").alias("_id")).select("_id").distinct())
+    # texts again, one row per spelling
+    forms = rows.join(small(one), "_id", "left_semi").withColumns(_raw(*both)).groupBy("_r1", "_r2").agg(F.first("_s").alias("_s"), F.first("_o").alias("_o"))
+    mapped = _mapped(*both)
+    forms = cut(forms.select("_r1", "_r2", "_s", "_o", F.xxhash64(sql_bare(mapped)).alias("_b"), mapped.alias("_m")))
+    looked = forms.withColumn("_look", F.collate("_m", "UNICODE"))
+    classes = looked.groupBy("_b", "_look").agg(F.min(F.struct("_s", "_o", "_r1", "_r2")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    named = looked.join(classes, ["_b", "_look"]).select("_r1", "_r2", F.col("c._r1").alias("_c1"), F.col("c._r2").alias("_c2"))
+    members = cut(chosen.join(named, ["_r1", "_r2"]))
+    reps = members.where("_r1 = _c1 and _r2 = _c2").groupBy("_c1", "_c2").agg(F.min("_id").alias("_rep"))
+    class_id = F.concat(F.lpad(F.lower(F.hex("_c1")), 16, "0"), F.lpad(F.lower(F.hex("_c2")), 16, "0"))
+    return cut(members.join(reps, ["_c1", "_c2"]).select("_id", "_r1", "_r2", class_id.alias("class_id"), "_rep"))
 
 
 def look_classes(df: DataFrame, id_col: str = "item_id", state: str = "state", options: str = "options") -> DataFrame:
@@ -46,17 +66,15 @@ def look_classes(df: DataFrame, id_col: str = "item_id", state: str = "state", o
     spellings apart, and every class has at least two. Rows with a null id or state take no part; null options
     count as none; repeated rows stay one row per id. An empty table gives an empty result.
     """
-    rows = df.where(F.col(state).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(state), F.lit("")).alias("_s"), options_text(F.col(options)).alias("_o"))
-    rows = rows.withColumn("_raw", _raw(F.col("_s"), F.col("_o"))).withColumn("_b", _bucket("_s", "_o"))
-    keyed = rows.select("_id", "_raw", "_b")
-    mixed = keyed.groupBy("_b").agg(F.min("_raw").alias("lo"), F.max("_raw").alias("hi")).where("lo < hi").select("_b")
-    # texts again, only for buckets with two spellings; copies collapse to one row per spelling
-    forms = rows.join(mixed, "_b", "left_semi").groupBy("_raw").agg(F.first("_s").alias("_s"), F.first("_o").alias("_o"))
-    mapped = F.concat(sql_looks(F.col("_s")), F.lit(_ITEM + _CELL), sql_looks(F.col("_o")))
-    forms = forms.select("_raw", F.collate(mapped, "UNICODE").alias("_look"))
-    classes = forms.groupBy("_look").agg(F.min("_raw").alias("class_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    named = forms.join(classes, "_look").select("_raw", "class_id")
-    return keyed.join(named, "_raw").select(F.col("_id").alias(id_col), F.col("_raw").alias("raw"), "class_id")
+    m = _members(df, id_col, state, options)
+    return m.select(F.col("_id").alias(id_col), F.concat_ws(" ", "_r1", "_r2").alias("raw"), "class_id")
+
+
+def look_summary(df: DataFrame, id_col: str = "item_id", state: str = "state", options: str = "options") -> DataFrame:
+    """(class_id, canonical id, spellings, records), one row per class of :func:`look_classes`; no pairs are built."""
+    m = _members(df, id_col, state, options).distinct()
+    per = m.groupBy("class_id", "_rep", "_r1", "_r2").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("class_id", F.col("_rep").alias(id_col)).agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("records"))
 
 
 def look_pairs(df: DataFrame, id_col: str = "item_id", state: str = "state", options: str = "options") -> DataFrame:
@@ -68,28 +86,40 @@ def look_pairs(df: DataFrame, id_col: str = "item_id", state: str = "state", opt
     return a.join(b, on).select(f"{id_col}_a", f"{id_col}_b").distinct()
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _visible(fields: pd.Series) -> pd.Series:
+    return fields.map(lambda x: [looks(v) if v is not None else None for v in x] if x is not None else None)
+
+
 def consistent(df: DataFrame, id_col: str = "item_id", state: str = "state", options: str = "options") -> DataFrame:
     """Every row with both fields in one consistent form.
 
-    Returns (id, state, options, class_id, changed): ``state`` and the keys and descriptions in ``options``
-    are in visible form with composed accents; rows that look the same therefore have equal fields. ``class_id``
-    names the class of rows that look the same without being the same, null for all others. A null state
-    stays null, null descriptions stay null, null options stay null.
+    Returns (id, state, options, class_id, changed): a row that looks like another spelling has the fields of the canonical
+    member of its class, every other row its own; both are put out in visible form with composed accents, so that single
+    characters are consistent across texts, too. ``class_id`` is null for rows without such a partner. A null state
+    stays null, null options stay null and so do null descriptions, except in a class whose canonical member has empty ones.
+    Rows with null ids have their own form; repeated rows stay as many.
     """
-
-    @F.pandas_udf(StringType())
-    def form(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: looks(x) if x is not None else None)
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def forms(fields: pd.Series) -> pd.Series:
-        return fields.map(lambda x: [looks(v) if v is not None else None for v in x] if x is not None else None)
-
-    src = df.select(F.col(id_col), F.col(state).alias("_s"), F.col(options).alias("_o"))
-    src = src.withColumn("_f", forms(F.flatten(F.transform("_o", lambda o: F.array(o["key"], o["description"])))))
-    plain_state = F.when(F.col("_s").rlike(r"[^\x00-\x7f\r]"), form(F.col("_s"))).otherwise(F.replace(F.col("_s"), F.lit("\r\n"), F.lit("\n")))
-    plain_opts = F.transform("_o", lambda o, i: F.when(o.isNotNull(), o.withField("key", F.get("_f", 2 * i)).withField("description", F.get("_f", 2 * i + 1))))
-    rows = src.select(F.col(id_col), "_s", "_o", plain_state.alias("state"), plain_opts.alias("options"))
-    rows = rows.withColumn("changed", ~(F.col("state").eqNullSafe(F.col("_s")) & options_text(F.col("options")).eqNullSafe(options_text(F.col("_o"))))).drop("_s", "_o")
-    named = look_classes(df, id_col, state, options).groupBy(id_col).agg(F.min("class_id").alias("class_id"))
-    return rows.join(named, id_col, "left").select(id_col, "state", "options", "class_id", "changed")
+    members = _members(df, id_col, state, options).distinct()
+    text = options_text(F.col("_o"))
+    src = df.select(F.col(id_col).alias("_id"), F.col(state).alias("_s"), F.col(options).alias("_o")).withColumns(_raw(F.col("_s"), text))
+    reps = cut(members.select(F.col("_rep").alias("_id"), "class_id").distinct())
+    # a canonical row by id may have a repeated id; its spelling is that of the class
+    ends = cut(members.select("_id", "_r1", "_r2", "class_id"))
+    canon = src.join(small(reps.select("_id")), "_id", "left_semi").join(ends.where(F.col("class_id") == F.concat(F.lpad(F.lower(F.hex("_r1")), 16, "0"), F.lpad(F.lower(F.hex("_r2")), 16, "0"))), ["_id", "_r1", "_r2"])
+    canon = canon.groupBy("class_id").agg(F.first(F.struct("_s", "_o")).alias("c"))
+    keys = ["_id", "_r1", "_r2"]
+    # narrow keys travel, not the texts of all rows
+    inside = src.join(small(ends), keys).join(canon, "class_id").select("_id", "_s", "_o", "class_id", F.col("c._s").alias("s"), F.col("c._o").alias("o"))
+    outside = src.join(small(ends.select(keys)), keys, "left_anti").select("_id", "_s", "_o", F.lit(None).cast("string").alias("class_id"), F.col("_s").alias("s"), F.col("_o").alias("o"))
+    rows = inside.unionByName(outside)
+    flat = F.concat(F.array("s"), F.coalesce(F.flatten(F.transform("o", lambda x: F.array(x["key"], x["description"]))), F.array().cast("array<string>")))
+    ascii_only = ~F.coalesce(F.array_join(flat, ""), F.lit("")).rlike(r"[^\x00-\x7f]|\r\n")
+    rows = rows.withColumn("_f", _visible(F.when(~ascii_only, flat)))
+    own = lambda i, x: F.when(F.col("_f").isNull(), x).otherwise(F.get("_f", i))
+    new = rows.select(
+        "_id", "_s", "_o", own(F.lit(0), F.col("s")).alias("state"),
+        F.transform("o", lambda x, i: F.when(x.isNotNull(), x.withField("key", own(2 * i + 1, x["key"])).withField("description", own(2 * i + 2, x["description"])))).alias("options"), "class_id",
+    )
+    changed = ~(F.col("state").eqNullSafe(F.col("_s")) & options_text(F.col("options")).eqNullSafe(options_text(F.col("_o"))))
+    return new.select(F.col("_id").alias(id_col), "state", "options", "class_id", changed.alias("changed"))

@@ -121,17 +121,37 @@ def looks(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
+@functools.cache
+def _small_letters() -> dict[int, str]:
+    """Small letters of which only the capital looks like a Latin one, and the small letter of that."""
+    return {ord(a.lower()): b.lower() for a, b in LOOKALIKES.items() if a.isupper() and len(a.lower()) == 1 and a.lower() not in LOOKALIKES}
+
+
+def caseless(text: str) -> str:
+    """The visible form without letter case: a text in capitals equals the same one in small letters.
+
+    Capitals may look like Latin ones where their small letters don't (Cyrillic); both become the Latin small letter.
+    """
+    t = looks(text).casefold()
+    return t if t.isascii() else looks(t.translate(_small_letters()))
+
+
 def looks_batch(texts) -> list[str]:
     """:func:`looks` of many texts; null counts as empty. ASCII texts pass without a table lookup."""
     return [looks(t) if t else "" for t in texts]
 
 
+_MARK = "\ufdd0"  # a noncharacter
+
+
 @functools.cache
-def _sql_parts() -> tuple[str, str, list[tuple[str, str]]]:
+def _sql_parts() -> tuple[list[tuple[str, str]], str, list[tuple[str, str]]]:
+    """Characters that become one other, those that vanish, and those that become several."""
     t = table()
     single = sorted((chr(k), v) for k, v in t.items() if len(v) == 1)
-    gone = sorted(chr(k) for k, v in t.items() if not v)
-    return "".join(a for a, _ in single) + "".join(gone), "".join(b for _, b in single), sorted((chr(k), v) for k, v in t.items() if len(v) > 1)
+    # what differs by canonical equivalence only is left for the comparison
+    several = sorted((chr(k), v) for k, v in t.items() if len(v) > 1 and unicodedata.normalize("NFD", chr(k)) != unicodedata.normalize("NFD", v))
+    return single, "".join(sorted(chr(k) for k, v in t.items() if not v)), several
 
 
 def sql_looks(col: Column) -> Column:
@@ -140,10 +160,31 @@ def sql_looks(col: Column) -> Column:
     ``translate`` maps and deletes single characters inside the JVM. Composed and combining accents are
     left for the comparison: under the collation UNICODE they are equal.
     """
-    before, after, several = _sql_parts()
-    many = "[" + "".join(a for a, _ in several) + "]"
-    wide = col
-    for a, b in several:
-        wide = F.replace(wide, F.lit(a), F.lit(b))
-    col = F.when(col.rlike(many), wide).otherwise(col)
-    return F.translate(F.replace(col, F.lit("\r\n"), F.lit("\n")), before, after)
+    single, gone, several = _sql_parts()
+    before, after = "".join(a for a, _ in single), "".join(b for _, b in single)
+    text = F.replace(col, F.lit("\r\n"), F.lit("\n"))
+    # one pass for all; characters that become several are rare and leave a mark
+    fast = F.translate(text, before + "".join(a for a, _ in several) + gone, after + _MARK * len(several))
+    # one loop over a literal array: a chain of calls would be a method too large to compile
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several))
+    wide = F.aggregate(pairs, text, lambda t, p: F.replace(t, p["a"], p["b"]))
+    mapped = F.when(F.instr(fast, _MARK) > 0, F.translate(wide, before + gone, after)).otherwise(fast)
+    return F.when(col.rlike(r"[^\x00-\x7f]|\r\n"), mapped).otherwise(col)
+
+
+@functools.cache
+def _bare_parts() -> tuple[str, str]:
+    """Letters and what is left of them without accents; marks come last and have nothing."""
+    base, marks = {}, []
+    for cp in [*range(0xC0, 0x3400), *range(0xA640, 0xD7A4), *range(0xF900, 0xFFF0), *range(0x10000, 0x20000), *range(0x2F800, 0x2FA20)]:
+        c = chr(cp)
+        if unicodedata.combining(c) or 0x1161 <= cp <= 0x11FF:
+            marks.append(c)
+        elif (first := unicodedata.normalize("NFD", c)[0]) != c:
+            base[c] = first
+    return "".join(base) + "".join(marks), "".join(base.values())
+
+
+def sql_bare(col: Column) -> Column:
+    """A coarser form: without accents. Texts that are canonically equivalent have the same one, so it may find what to compare."""
+    return F.when(col.rlike(r"[^\x00-\x7f]"), F.translate(col, *_bare_parts())).otherwise(col)

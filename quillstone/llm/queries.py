@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.languages import CODES
 from quillstone.llm.langid import document_languages, segment_languages, train_language_model, unnamed_languages
 from quillstone.llm.leaks import leaks
-from quillstone.llm.lookalikes import consistent, look_pairs
+from quillstone.llm.lookalikes import consistent, look_pairs, look_summary
 from quillstone.llm.mixing import Mixture
 from quillstone.llm.neardup import near_groups, near_pairs
 from quillstone.llm.quality import document_quality
@@ -48,6 +48,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return look_pairs(table(spark, d, "verify"))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return look_summary(table(spark, d, "verify"))
+
+
 def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
     return consistent(table(spark, d, "verify"))
 
@@ -130,7 +134,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_statistics(spark, d).where("not is_prose").select("doc_id")
 
 
-_ALL = [p1_found, p1_report, p1_sample, p2_token_budget, p3_found, p3_consistent, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_segments, p6_documents, p7_found, p7_leaks, p8_found, p8_report, p8_selection, p9_found, p9_statistics]
+_ALL = [p1_found, p1_report, p1_sample, p2_token_budget, p3_found, p3_classes, p3_consistent, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_segments, p6_documents, p7_found, p7_leaks, p8_found, p8_report, p8_selection, p9_found, p9_statistics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
