@@ -1,14 +1,14 @@
 """Evaluation texts leaking into training text: one Aho-Corasick automaton over the evaluation passages.
 
-Both sides are reduced to their letters and digits as they look, lower-cased, so that spacing, line
+Both sides are reduced to their letters and digits as they look, without case, so that spacing, line
 breaks and punctuation do not matter. A leak is a run of ``words`` consecutive words of an item (``chars``
-letters and digits in languages without spaces). The automaton holds every aligned block of half that
-length: any such run contains a whole block, so one scan of a document meets every leak, and each
-hit is then extended in both directions to the full run, counted in words of the item and mapped back
-to offsets in the original text.
+letters and digits where most letters belong to scripts without spaces). Any such run contains a whole aligned
+block of half that length; the automaton holds the first ``ANCHOR`` characters of every block, one scan of a document
+meets every leak, and each hit is extended in both directions to the full run, counted in words of the
+item and mapped back to offsets in the original text. Words are cut at blanks and at punctuation.
 
-The evaluation side is read to the driver in chunks of at most ``chunk_chars`` characters; each chunk
-is one automaton and one scan. The test data fit one chunk many times over.
+An automaton is built from at most ``chunk_chars`` characters of passages, which bounds a worker's memory; a
+larger evaluation side is spread over several by a hash of the id. Only one chunk at a time is with the driver.
 """
 
 from __future__ import annotations
@@ -22,22 +22,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.looks import looks
+from quillstone.llm.looks import caseless
 
 WORDS, CHARS = 18, 60
-UNSPACED = ("ja", "zh", "th")
+ANCHOR = 24
 _OTHER = re.compile(r"[\W_]+")
+#: Letters of scripts that are written without spaces: kana, Han, Thai, Lao, Khmer, Burmese.
+_UNSPACED = re.compile("[぀-ヿ㐀-鿿豈-﫿฀-໿က-႟ក-៿]")
 
 
 def stream(text: str | None) -> str:
-    """The letters and digits of a text as they look, lower-cased."""
-    return _OTHER.sub("", looks(text or "").lower())
+    """The letters and digits of a text as they look, without case."""
+    return _OTHER.sub("", caseless(text or ""))
 
 
 def word_stream(text: str | None) -> tuple[str, list[int]]:
     """The stream of a text and the position in it where each word starts, closed by its length."""
-    words = [w for w in (_OTHER.sub("", x) for x in looks(text or "").lower().split()) if w]
     starts, n = [], 0
+    words = [w for w in _OTHER.split(caseless(text or "")) if w]
     for w in words:
         starts.append(n)
         n += len(w)
@@ -63,17 +65,17 @@ def offsets(text: str, lo: int, hi: int) -> tuple[int, int]:
 
 
 class Passages:
-    """The automaton of a set of items: (id, text, unit starts) with the unit run that counts as a leak."""
+    """The automaton of a set of items (id, text) with the unit run that counts as a leak."""
 
-    def __init__(self, items: list[tuple[int, str, str | None]], words: int = WORDS, chars: int = CHARS):
+    def __init__(self, items: list[tuple[int, str]], words: int = WORDS, chars: int = CHARS):
         import ahocorasick
 
         self.items: list[tuple[int, str, list[int], int]] = []
         at: dict[str, list[tuple[int, int]]] = {}
-        for key, text, lang in items:
+        for key, text in items:
             s, starts = word_stream(text)
             least = words
-            if (lang or "")[:2].lower() in UNSPACED:
+            if len(_UNSPACED.findall(s)) * 2 > len(s):
                 starts, least = list(range(len(s) + 1)), chars
             half = max(1, least // 2)
             if len(starts) - 1 < least:
@@ -81,7 +83,8 @@ class Passages:
             k = len(self.items)
             self.items.append((key, s, starts, least))
             for u in range(0, len(starts) - half, half):
-                at.setdefault(s[starts[u] : starts[u + half]], []).append((k, starts[u]))
+                lo = starts[u]
+                at.setdefault(s[lo : min(lo + ANCHOR, starts[u + half])], []).append((k, lo))
         self.auto = ahocorasick.Automaton()
         for block, places in at.items():
             self.auto.add_word(block, (len(block), places))
@@ -95,49 +98,41 @@ class Passages:
             return []
         s = stream(text)
         best: dict[int, tuple[int, int, int]] = {}
-        done: set[tuple[int, int, int]] = set()
+        done: dict[tuple[int, int], int] = {}  # the end of the last run on each diagonal
         for end, (size, places) in self.auto.iter(s):
             for k, p in places:
-                key, t, starts, least = self.items[k]
-                q = end - size + 1
-                diagonal = q - p
-                lo = p
-                # the same diagonal may be met by several blocks of one run
-                if any((k, diagonal) == (a, b) and p < c for a, b, c in done if a == k and b == diagonal):
+                t, starts, least = self.items[k][1:]
+                diagonal = end - size + 1 - p
+                if p < done.get((k, diagonal), 0):  # another block of a run that was met before
                     continue
+                lo, hi = p, p + size
                 while lo > 0 and lo + diagonal > 0 and t[lo - 1] == s[lo - 1 + diagonal]:
                     lo -= 1
-                hi = p + size
                 while hi < len(t) and hi + diagonal < len(s) and t[hi] == s[hi + diagonal]:
                     hi += 1
-                done.add((k, diagonal, hi))
+                done[k, diagonal] = hi
                 units = bisect_right(starts, hi) - 1 - bisect_left(starts, lo)
                 if units >= least and units > best.get(k, (0, 0, 0))[0]:
                     best[k] = (units, lo + diagonal, hi + diagonal)
         return [(self.items[k][0], *v) for k, v in best.items()]
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", item_lang: str = "lang", words: int = WORDS, chars: int = CHARS, chunk_chars: int = 20_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, chars: int = CHARS, chunk_chars: int = 4_000_000) -> DataFrame:
     """(item_id, doc_id, units, start, end): items of which a run stands in a document, with its place.
 
-    ``units`` counts words (letters and digits in unspaced languages) of the longest run; ``start`` and
+    ``units`` counts words (letters and digits in unspaced scripts, whatever a label says) of the longest run; ``start`` and
     ``end`` are code point offsets into the original text. Null and empty texts leak nothing, null ids take no part; an item
     shorter than a run cannot leak; repeated rows count once; empty tables give an empty result.
+    No passage is cut, whatever its length.
     """
-    rows = items.select(F.col(item_id).cast("bigint"), F.col(item_text), F.col(item_lang)).where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).distinct()
-    chunks: list[list[tuple]] = [[]]
-    size = 0
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (r[0], r[1], r[2] or "")):
-        if size + len(r[1]) > chunk_chars and chunks[-1]:
-            chunks.append([])
-            size = 0
-        chunks[-1].append(tuple(r))
-        size += len(r[1])
+    rows = items.select(F.col(item_id).cast("bigint").alias("_i"), F.col(item_text).alias("_t")).where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).distinct()
+    total = rows.agg(F.sum(F.length("_t"))).first()[0] or 0
+    chunks = -(-total // chunk_chars) or 1
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("bigint").alias("_d"), F.col(doc_text).alias("_t")).where(F.col(doc_text).isNotNull() & F.col(doc_id).isNotNull())
 
     def one(chunk: list[tuple]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(chunk)
+        shared = spark.sparkContext.broadcast(chunk)  # about chunk_chars characters
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             passages = Passages(shared.value, words, chars)
@@ -147,7 +142,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: s
 
         return source.mapInPandas(run, "item_id bigint, doc_id bigint, units int, start int, end int")
 
-    out = one(chunks[0])
-    for c in chunks[1:]:
-        out = out.unionByName(one(c))
+    parts = [one([tuple(r) for r in rows.where(F.pmod(F.xxhash64("_i"), F.lit(chunks)) == c).toLocalIterator()]) for c in range(chunks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out.groupBy("item_id", "doc_id").agg(F.max_by(F.struct("units", "start", "end"), F.struct("units", -F.col("start"))).alias("m")).select("item_id", "doc_id", "m.*")
