@@ -1,14 +1,16 @@
 """Samples that match target category proportions: exponential tilting, then the pivotal method.
 
-Inclusion probabilities ``d * exp(lambda . x)`` are calibrated to category totals by Newton iterations on
-the dual. Rows of one category share ``x``, so the moments of all rows are category counts, aggregated
-once and distributedly; each iteration then works on the category table. Probabilities stay within 1:
-what a category lacks is a gap. Floors raise a target before calibration.
+Expected rows per category are ``start * exp(lambda . x)`` within bounds, calibrated by Newton iterations on the
+dual to the margins of the targets: the total, each language and each value of ``gold``. Rows of one category
+share ``x``, so the moments of all rows are category counts, aggregated once and distributedly; each iteration
+works on the category table. Lower bounds are what a category needs as far as it has it (floors included), upper
+bounds what there is: a category whose calibration saturates below its target is a gap, and what it lacks goes to the
+same language and the same ``gold`` elsewhere, so that the sample has its full size whenever rows suffice.
 
 The pivotal method draws with exactly these probabilities: two undecided rows of a category meet, one
 takes over as much probability as fits and the other is decided. Every task does this over its own
-rows and leaves at most one undecided row per category; those few meet again in a second step. Random
-numbers are hashes of row ids and a seed.
+rows and leaves at most one undecided row per category; those few meet again per category, and the last one of each
+category meets those of the others, so that the size is exact, too. Random numbers are hashes of row ids and a seed.
 """
 
 from __future__ import annotations
@@ -22,38 +24,49 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.languages import language_code
 from quillstone.llm.shingles import mix
+from quillstone.session import cut
 
 
-def calibrate(counts: np.ndarray, features: np.ndarray, totals: np.ndarray, base: float, steps: int = 60) -> np.ndarray:
-    """Probability per cell, ``base * exp(features @ lambda)`` within 1, whose feature totals are ``totals``.
+def calibrate(start: np.ndarray, features: np.ndarray, totals: np.ndarray, low: np.ndarray, high: np.ndarray, soft: np.ndarray | None = None, steps: int = 200) -> np.ndarray:
+    """Rows per category, ``start * exp(features @ lambda)`` within [low, high], whose feature totals are ``totals``.
 
-    ``counts`` rows per cell. Cells that reach 1 stay there and leave the equations.
+    Newton's method with step halving on the dual, whose gradient is the difference of totals and whose Hessian is made
+    of the categories that no bound holds. ``soft`` gives a feature whose total may be out of reach a small quadratic
+    price on its multiplier: its total is then met as far as the bounds and the other features allow.
     """
-    counts, totals = counts.astype(float), totals.astype(float)
-    p = np.zeros(len(counts))
-    full = np.zeros(len(counts), dtype=bool)
-    while True:
-        free = ~full & (counts > 0)
-        need = totals - features[full].T @ counts[full]
-        live = (features[free] > 0).any(axis=0) & (need > 0)
-        lam = np.zeros(int(live.sum()))
-        x, n = features[np.ix_(free, live)], counts[free]
-        touched = (features[free] * ~live).sum(axis=1) == 0
-        for _ in range(steps):
-            q = base * np.exp(np.clip(x @ lam, -60, 60))
-            gradient = x.T @ (n * q) - need[live]
-            if not len(lam) or np.abs(gradient).max() < 1e-10 * max(1.0, need.max()):
-                break
-            hessian = (x * (n * q)[:, None]).T @ x
-            step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
-            lam -= np.clip(step, -2, 2)
-        q = base * np.exp(np.clip(x @ lam, -60, 60)) * (x.any(axis=1) & touched if len(lam) else False)
-        p[free] = q
-        over = np.flatnonzero(free)[q > 1 + 1e-12]
-        if not len(over):
-            return np.minimum(p, 1.0)
-        full[over] = True
-        p[over] = 1.0
+    start, totals = np.asarray(start, dtype=float), np.asarray(totals, dtype=float)
+    price = np.zeros(features.shape[1]) if soft is None else np.asarray(soft, dtype=float)
+    some = (start > 0) & (high > 0)
+    begin = np.log(np.where(some, start, 1.0))
+    lo, hi = (np.log(np.maximum(np.where(some, x, 1.0), 1e-300)) for x in (np.minimum(low, high), high))
+
+    def rows(lam: np.ndarray) -> np.ndarray:
+        return np.where(some, np.exp(np.clip(begin + features @ lam, lo, hi)), 0.0)
+
+    def dual(lam: np.ndarray) -> float:
+        e = begin + features @ lam
+        inner = np.clip(e, lo, hi)
+        return float((np.where(some, np.exp(inner) * (1 + e - inner), 0.0)).sum() - totals @ lam + (price * lam * lam).sum() / 2)
+
+    lam = np.zeros(features.shape[1])
+    scale = max(1.0, float(np.abs(totals).max(initial=0.0)))
+    for _ in range(steps):
+        x, e = rows(lam), begin + features @ lam
+        gradient = features.T @ x - totals + price * lam
+        if np.abs(gradient).max(initial=0.0) < 1e-9 * scale:
+            break
+        free = np.where((e > lo) & (e < hi), x, 0.0)
+        # a little of the bounded categories keeps the system solvable where bounds hold all of a feature
+        hessian = (features.T * (free + 1e-6 * scale / max(1, len(x)))) @ features + np.diag(price)
+        step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+        step *= min(1.0, 4.0 / max(1e-12, float(np.abs(step).max())))
+        now, size, slope = dual(lam), 1.0, float(gradient @ step)
+        while size > 1e-6 and dual(lam - size * step) > now - 1e-4 * size * slope:
+            size /= 2
+        if size <= 1e-6:
+            break
+        lam = lam - size * step
+    return rows(lam)
 
 
 class _Pivot:
@@ -123,8 +136,22 @@ class CategorySample:
         self.floor = np.array([best[c][1] for c in self.cats], dtype=float)
         self.names = [best[c][2] for c in self.cats]
         self.target = np.maximum(self.floor, self.share * self.size)
-        base = self.size / total if total else 0.0
-        self.p = calibrate(self.have, np.eye(len(self.cats)), np.minimum(self.target, self.have), max(base, 1e-12)) if len(self.cats) else np.zeros(0)
+        self.planned = self._plan() if len(self.cats) else np.zeros(0)
+        self.p = np.divide(self.planned, self.have, out=np.zeros(len(self.cats)), where=self.have > 0)
+
+    def _plan(self) -> np.ndarray:
+        """Rows to draw of each category."""
+        have, target = self.have, self.target
+        need = np.minimum(have, target)
+        if need.sum() > self.size:  # floors ask for more than there is room for: categories above theirs give way
+            need = np.where(have < target, have, np.minimum(have, self.floor))
+        by = [np.array([c[k] == v for c in self.cats], dtype=float) for k in (0, 1) for v in sorted({c[k] for c in self.cats})]
+        features = np.column_stack([np.ones(len(self.cats)), *by])
+        totals = features.T @ self.share * self.size
+        totals[0] = max(min(self.size, have.sum()), need.sum())
+        soft = np.full(len(totals), 0.1 * max(1, self.size))
+        soft[0] = 0.0
+        return calibrate(np.maximum(target, 1e-6), features, totals, need, have, soft)
 
     def sample(self) -> DataFrame:
         """(id, lang, gold) of the rows drawn."""
@@ -135,31 +162,47 @@ class CategorySample:
             for cat, row, prob, x in zip(pdf["_c"].tolist(), pdf["_id"].tolist(), pdf["_p"].tolist(), u.tolist()):
                 pivot.add(cat, row, prob, x)
 
+        def undecided(pivot: _Pivot) -> pd.DataFrame:
+            return pd.DataFrame([(r, c, q) for c, (r, q) in pivot.open.items()], columns=["_id", "_c", "_p"])
+
         def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pivot = _Pivot()
             for b in batches:
                 draw(b.assign(_p=p[b["_c"].to_numpy()]), pivot)
                 yield pd.DataFrame({"_id": pivot.taken, "_c": -1, "_p": 1.0})
                 pivot.taken = []
-            yield pd.DataFrame([(r, c, q) for c, (r, q) in pivot.open.items()], columns=["_id", "_c", "_p"])
+            yield undecided(pivot)
 
-        def second(g: pd.DataFrame) -> pd.DataFrame:
+        def second(g: pd.DataFrame) -> pd.DataFrame:  # a row per task
             pivot = _Pivot()
             draw(g.sort_values("_id"), pivot)
+            return pd.concat([pd.DataFrame({"_id": pivot.taken, "_c": -1, "_p": 1.0}), undecided(pivot)])
+
+        def last(g: pd.DataFrame) -> pd.DataFrame:  # a row per category
+            pivot = _Pivot()
+            draw(g.sort_values("_c").assign(_c=0), pivot)
             for row, q in pivot.open.values():  # the fraction of a row that is left
                 if _uniform(np.array([row]), seed + 1)[0] < q:
                     pivot.taken.append(row)
             return pd.DataFrame({"_id": pivot.taken})
 
-        step = self.keyed.where("_c is not null and _id is not null").mapInPandas(first, "_id bigint, _c int, _p double").persist()
-        ids = step.where("_c < 0").select("_id").unionByName(step.where("_c >= 0").groupBy("_c").applyInPandas(second, "_id bigint"))
+        kind = "_id bigint, _c int, _p double"
+        step = cut(self.keyed.where("_c is not null and _id is not null").mapInPandas(first, kind))
+        rest = cut(step.where("_c >= 0").groupBy("_c").applyInPandas(second, kind))
+        ids = step.where("_c < 0").select("_id").unionByName(rest.where("_c < 0").select("_id")).unionByName(rest.where("_c >= 0").groupBy().applyInPandas(last, "_id bigint"))
         return self.rows.join(ids, "_id", "left_semi").select(F.col("_id").alias(self.id_col), "lang", "gold")
 
     def report(self) -> DataFrame:
-        """(lang, gold, share, min_rows, target, available, sampled, share_reached, met) per target category."""
+        """(lang, gold, share, min_rows, target, available, planned, sampled, share_reached, met) per target category.
+
+        ``planned`` is what calibration gives, ``share_reached`` the share among the rows drawn. A category is not met
+        where all its rows are taken and its target is still above them.
+        """
         drawn = {(r["lang"], r["gold"]): r["n"] for r in self.sample().groupBy("lang", "gold").agg(F.count(F.lit(1)).alias("n")).collect()} if len(self.cats) else {}
+        whole = sum(drawn.values())
         out = []
         for i, c in enumerate(self.cats):
-            n = drawn.get(c, 0)
-            out.append((self.names[i], c[1], float(self.share[i]), int(self.floor[i]), float(self.target[i]), int(self.have[i]), n, n / self.size if self.size else 0.0, bool(self.have[i] >= self.target[i] - 1e-9)))
-        return self.spark.createDataFrame(out, "lang string, gold string, share double, min_rows int, target double, available bigint, sampled bigint, share_reached double, met boolean")
+            n, planned = drawn.get(c, 0), float(self.planned[i])
+            saturated = planned >= self.have[i] - 1e-6
+            out.append((self.names[i], c[1], float(self.share[i]), int(self.floor[i]), float(self.target[i]), int(self.have[i]), planned, n, n / whole if whole else 0.0, not (saturated and planned < self.target[i] - 1e-6)))
+        return self.spark.createDataFrame(out, "lang string, gold string, share double, min_rows int, target double, available bigint, planned double, sampled bigint, share_reached double, met boolean")
