@@ -48,11 +48,11 @@ def letters(text: str | None) -> str:
     return "".join(c for c in looks(text or "").lower() if c.isalnum())
 
 
-def hash_text(text: str) -> int:
-    """A signed 64-bit hash of a text that is the same in every process."""
+def hash_text(text: str, seed: int = 0) -> int:
+    """A signed 64-bit hash of a text that is the same in every process; hashes of two seeds are independent."""
     import xxhash
 
-    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -83,14 +83,13 @@ def shingles(texts: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
     for i in range(k):
         h += codes[i : len(codes) - k + 1 + i] * np.uint64(_odd(i))
     h = mix(h)[at]
-    bits = max(1, int(n - 1).bit_length())
-    keyed = np.sort((owner.astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits)))
+    # 16 bits of owner and 48 of hash in every call, so a text has the same hashes whatever stands beside it
+    keyed = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
     keep = np.ones(len(keyed), dtype=bool)
     keep[1:] = keyed[1:] != keyed[:-1]
     keyed = keyed[keep]
-    who = (keyed >> np.uint64(64 - bits)).astype(np.int64)
-    # the low bits are the part of the hash that sorted; batches of other sizes keep other widths, so cut to 48
-    hashes = (keyed << np.uint64(bits)) >> np.uint64(16)
+    who = (keyed >> np.uint64(48)).astype(np.int64)
+    hashes = keyed & np.uint64((1 << 48) - 1)
     start = np.zeros(n + 1, dtype=np.int64)
     np.cumsum(np.bincount(who, minlength=n), out=start[1:])
     return start, hashes
