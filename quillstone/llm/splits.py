@@ -1,15 +1,16 @@
 """Same or near-same records across splits: an exact prefix-filter join of evaluation and training rows.
 
 Rows are compared only under the same instructions. Copies collapse first. Within one set of
-instructions, evaluation texts are cut into blocks, by the size of their shingle sets if there are
-several and by hash where too many sizes tie, and every training text goes to the blocks whose sizes the length filter allows. A block holds
+instructions, evaluation texts are cut into blocks of a bounded number of shingles, by the size of their shingle sets and by
+hash where too many sizes tie, and every training text goes to the blocks whose sizes the length filter allows. A block holds
 an inverted index of the prefixes of its evaluation texts: shingles are ordered from rare to frequent *in
 that block*, so a prefix is made of the rarest shingles of a text. A training text probes the index
 with its own prefix; the length filter picks a stretch of each posting list, the position filter drops
 matches that come too late for the overlap required, parity bitmaps bound the overlap of what is left
-from above, and the rest is verified on whole sets. Every filter is exact; nothing is sampled or capped.
+from above, and the rest is verified on whole sets. Every filter is exact; nothing is sampled or capped, and
+small and large groups have the same plan: a small one is a single block.
 
-Memory per task is bounded by ``block`` evaluation and ``probe_block`` training texts, whatever the size
+Memory per task is bounded by the shingles of ``block`` and ``probe_block``, whatever the size
 of a group, and a hot group of equal instructions is spread over many tasks.
 """
 
@@ -26,13 +27,13 @@ from quillstone.llm.shingles import hash_text, letters, plain, shingles
 from quillstone.session import cut
 
 THRESHOLD = 0.8
-_STATE = "_id bigint, _role int, ih bigint, th bigint, text string, n int"
+_STATE = "_id bigint, _role int, ih bigint, th bigint, th2 bigint, text string, n int"
 
 
-def keyed_states(df: DataFrame, id_col: str, role: str, instructions: str, state: str, sizes: bool = True) -> DataFrame:
-    """(_id, _role, ih, th, text, n): hashes of instructions and state as they look, the text and its set size.
+def keyed_states(df: DataFrame, id_col: str, role: str, instructions: str, state: str) -> DataFrame:
+    """(_id, _role, ih, th, th2, text, n): hashes of instructions and state as they look, the text and its set size.
 
-    Rows whose id or state is null take no part; null instructions equal empty ones.
+    Rows whose id or state is null take no part; null instructions equal empty ones. Two hashes tell texts apart.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,8 +45,8 @@ def keyed_states(df: DataFrame, id_col: str, role: str, instructions: str, state
                     if len(seen) > 10_000:
                         seen.clear()
                     seen[i] = hash_text(letters(i))
-            n = np.diff(shingles(text)[0]) if sizes else np.zeros(len(text))
-            yield pd.DataFrame({"_id": b["_id"], "_role": b["_role"], "ih": [seen[i] for i in b["_i"]], "th": [hash_text(t) for t in text], "text": text, "n": n.astype("int32")})
+            n = np.diff(shingles(text)[0])
+            yield pd.DataFrame({"_id": b["_id"], "_role": b["_role"], "ih": [seen[i] for i in b["_i"]], "th": [hash_text(t) for t in text], "th2": [hash_text(t, 1) for t in text], "text": text, "n": n.astype("int32")})
 
     rows = df.where(F.col(state).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.col(role).cast("int").alias("_role"), F.coalesce(F.col(instructions), F.lit("")).alias("_i"), F.col(state).alias("_s"))
     return rows.mapInPandas(run, _STATE)
@@ -157,7 +158,11 @@ def prefix_join(index: list[str], probe: list[str], t: float = THRESHOLD, batch:
     return tuple(np.concatenate(x) for x in zip(*((i, j + c, s) for c, (i, j, s) in zip(shift, parts)))) if parts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))  # type: ignore[return-value]
 
 
-def split_pairs(df: DataFrame, eval_suites: DataFrame, id_col: str = "item_id", split: str = "split", suite: str = "suite", instructions: str = "instructions", state: str = "state", suite_of: str = "suite", t: float = THRESHOLD, block: int = 8192, probe_block: int = 16384) -> DataFrame:
+#: Shingles of the evaluation and of the training texts that meet in one task.
+BLOCK, PROBE_BLOCK = 3_000_000, 6_000_000
+
+
+def split_pairs(df: DataFrame, eval_suites: DataFrame, id_col: str = "item_id", split: str = "split", suite: str = "suite", instructions: str = "instructions", state: str = "state", suite_of: str = "suite", t: float = THRESHOLD, block: int = BLOCK, probe_block: int = PROBE_BLOCK) -> DataFrame:
     """Pairs of a training row and an evaluation row with the same instructions and similar states.
 
     Returns (eval_id, train_id, similarity), each pair once. Evaluation rows are those of split dev or
@@ -168,37 +173,31 @@ def split_pairs(df: DataFrame, eval_suites: DataFrame, id_col: str = "item_id",
     suites = eval_suites.select(F.col(suite_of).alias("_su")).where(F.col("_su").isNotNull()).distinct().withColumn("_listed", F.lit(True))
     role = F.when(F.col("_sp") == "train", 0).when(F.col("_sp").isin("dev", "test") & F.col("_listed"), 1)
     rows = rows.where(F.col("_sp").isin("train", "dev", "test")).join(suites, "_su", "left").withColumn("_r", role).where(F.col("_r").isNotNull())
-    members = cut(keyed_states(rows, "_id", "_r", "_in", "_st", sizes=False).select("_id", "_role", "ih", "th"))
-    keys = members.select("_role", "ih", "th").distinct()
-    most = keys.where("_role = 1").groupBy("ih").count().agg(F.max("count")).first()[0] or 0
-    wide = most > block  # then blocks go by set size, and sizes are needed
-
-    def docs(sizes: bool) -> DataFrame:
-        return keyed_states(rows, "_id", "_r", "_in", "_st", sizes).groupBy("_role", "ih", "th").agg(F.first("text").alias("text"), F.first("n").alias("n"))
-
-    keys = docs(True).select("_role", "ih", "th", "n") if wide else keys.withColumn("n", F.lit(0))
-    pairs = block_join(keys, docs(wide), t, block, probe_block)
-    ev = members.where("_role = 1").select(F.col("_id").alias("eval_id"), "ih", F.col("th").alias("th_e"))
-    tr = members.where("_role = 0").select(F.col("_id").alias("train_id"), "ih", F.col("th").alias("th_t"))
-    return pairs.join(ev, ["ih", "th_e"]).join(tr, ["ih", "th_t"]).select("eval_id", "train_id", "similarity").distinct()
+    text = ["ih", "th", "th2"]
+    members = cut(keyed_states(rows, "_id", "_r", "_in", "_st").select("_id", "_role", *text, "n"))
+    docs = keyed_states(rows, "_id", "_r", "_in", "_st").groupBy("_role", *text).agg(F.first("text").alias("text"), F.first("n").alias("n"))
+    pairs = block_join(members.select("_role", *text, "n").distinct(), docs, t, block, probe_block)
+    ev = members.where("_role = 1").select(F.col("_id").alias("eval_id"), "ih", F.col("th").alias("th_e"), F.col("th2").alias("th2_e"))
+    tr = members.where("_role = 0").select(F.col("_id").alias("train_id"), "ih", F.col("th").alias("th_t"), F.col("th2").alias("th2_t"))
+    return pairs.join(ev, ["ih", "th_e", "th2_e"]).join(tr, ["ih", "th_t", "th2_t"]).select("eval_id", "train_id", "similarity").distinct()
 
 
-def placed_blocks(sizes: DataFrame, docs: DataFrame, t: float, block: int, probe_block: int) -> DataFrame:
-    """(ih, band, sub, part, _role, th, text): the documents at every block that they take part in.
+def placed_blocks(sizes: DataFrame, docs: DataFrame, t: float, block: int, probe_block: int, steps: int = 64) -> DataFrame:
+    """(ih, band, sub, part, _role, th, th2, text): the documents at every block that they take part in.
 
-    Bands are cut at quantiles of the set sizes of role 1; a band that still has more than ``block`` of them, as
-    where sizes tie, is spread over ``sub`` by hash. Documents of role 0 go to all subs of a band, spread over
+    Bands are cut at quantiles of the set sizes of role 1 (``steps`` to choose from), weighted by shingles; a band that still has more than
+    ``block`` of them, as where sizes tie, is spread over ``sub`` by hash. Documents of role 0 go to all subs of a band, spread over
     ``part``.
     """
-    steps = 64
     edges = ", ".join(f"{i / steps}D" for i in range(1, steps))
     is_eval = F.col("_role") == 1
     band = lambda n: F.expr(f"size(filter(cuts, c -> c < {n}))")
-    hist = cut(sizes.groupBy("ih", "n").agg(F.sum(is_eval.cast("long")).alias("e"), F.sum((~is_eval).cast("long")).alias("p")))
+    weight = F.greatest(F.col("n"), F.lit(1)).cast("long")
+    hist = cut(sizes.groupBy("ih", "n").agg(F.sum(F.when(is_eval, weight).otherwise(0)).alias("e"), F.sum(F.when(is_eval, 0).otherwise(weight)).alias("p")))
     groups = hist.groupBy("ih").agg(F.sum("e").alias("e"), F.sum("p").alias("p"), F.expr(f"percentile(n, array({edges}), e)").alias("q")).where("e > 0 and p > 0")
     groups = groups.withColumns({"blocks": F.ceil(F.col("e") / block).cast("int"), "parts": F.ceil(F.col("p") / probe_block).cast("int")})
     groups = groups.withColumn("bands", F.least(F.col("blocks"), F.lit(steps)))
-    cuts = "case when bands <= 1 then cast(array() as array<double>) else array_distinct(transform(sequence(1, bands - 1), i -> element_at(q, cast(ceil(i * 64 / bands) as int)))) end"
+    cuts = f"case when bands <= 1 then cast(array() as array<double>) else array_distinct(transform(sequence(1, bands - 1), i -> element_at(q, cast(ceil(i * {steps} / bands) as int)))) end"
     groups = groups.withColumn("cuts", F.expr(cuts)).select("ih", "parts", "cuts")
     filled = hist.where("e > 0").join(groups, "ih").groupBy("ih", band("n").alias("band")).agg(F.ceil(F.sum("e") / block).cast("int").alias("of"))
     subs = filled.groupBy("ih").agg(F.map_from_entries(F.collect_list(F.struct("band", "of"))).alias("subs"))
@@ -210,24 +209,25 @@ def placed_blocks(sizes: DataFrame, docs: DataFrame, t: float, block: int, probe
     placed = placed.withColumn("of", F.expr("try_element_at(subs, band)")).where("of is not null")  # no evaluation text in the band otherwise
     placed = placed.withColumn("sub", F.explode(F.when(is_eval, F.array(salt(F.col("of")))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))))
     placed = placed.withColumn("part", F.explode(F.when(is_eval, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("_part"))))
-    return placed.select("ih", "band", "sub", "part", "_role", "th", "text")
+    return placed.select("ih", "band", "sub", "part", "_role", "th", "th2", "text")
 
 
 def block_join(sizes: DataFrame, docs: DataFrame, t: float, block: int, probe_block: int) -> DataFrame:
-    """(ih, th_e, th_t, similarity) of the documents of role 1 (indexed) and role 0 (probing).
+    """(ih, th_e, th2_e, th_t, th2_t, similarity) of the documents of role 1 (indexed) and role 0 (probing).
 
-    ``sizes`` holds (_role, ih, th, n) of each document, ``docs`` their texts besides.
+    ``sizes`` holds (_role, ih, th, th2, n) of each document, ``docs`` their texts besides.
     """
     placed = placed_blocks(sizes, docs, t, block, probe_block)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         e, p = g[g["_role"] == 1], g[g["_role"] == 0]
         if e.empty or p.empty:
-            return pd.DataFrame({"ih": [], "th_e": [], "th_t": [], "similarity": []})
+            return pd.DataFrame({"ih": [], "th_e": [], "th2_e": [], "th_t": [], "th2_t": [], "similarity": []})
         i, j, s = prefix_join(e["text"].tolist(), p["text"].tolist(), t)
-        return pd.DataFrame({"ih": np.full(len(i), g["ih"].iloc[0]), "th_e": e["th"].to_numpy()[i], "th_t": p["th"].to_numpy()[j], "similarity": s})
+        pick = lambda x, c, at: x[c].to_numpy()[at]
+        return pd.DataFrame({"ih": np.full(len(i), g["ih"].iloc[0]), "th_e": pick(e, "th", i), "th2_e": pick(e, "th2", i), "th_t": pick(p, "th", j), "th2_t": pick(p, "th2", j), "similarity": s})
 
-    return placed.groupBy("ih", "band", "sub", "part").applyInPandas(run, "ih bigint, th_e bigint, th_t bigint, similarity double")
+    return placed.groupBy("ih", "band", "sub", "part").applyInPandas(run, "ih bigint, th_e bigint, th2_e bigint, th_t bigint, th2_t bigint, similarity double")
 
 
 def ordered(pairs: DataFrame, a: str, b: str, id_col: str) -> DataFrame:
