@@ -143,44 +143,101 @@ def near_classes(df: DataFrame, id_col: str, text: str, t: float = NEAR) -> Data
     return out.select(id_col, F.coalesce("component", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
 
 
-def greedy_keep(ids: DataFrame, links: DataFrame, id_col: str, a: str = "a", b: str = "b", rounds: int = 1000) -> DataFrame:
+def _greedy_dropped(early: np.ndarray, late: np.ndarray) -> list:
+    """The ends dropped by going through the ids of these edges in ascending order."""
+    by = np.argsort(late, kind="stable")
+    gone: set = set()
+    for e, x in zip(early[by].tolist(), late[by].tolist()):  # whether an id is kept is known before it is an earlier end
+        if x not in gone and e not in gone:
+            gone.add(x)
+    return list(gone)
+
+
+def greedy_keep(ids: DataFrame, links: DataFrame, id_col: str, a: str = "a", b: str = "b", local_edges: int = 1_000_000, rounds: int = 16) -> DataFrame:
     """The ids kept by going through them in ascending order and dropping those linked to a kept earlier one.
 
-    A fixed point over edges: an id is dropped as soon as an earlier neighbour is kept, kept as soon as all
-    earlier neighbours are dropped; ids without links never enter the rounds.
+    Connected components decide for themselves: each one of at most ``local_edges`` edges is solved in one task. Larger ones
+    go through ``rounds`` of a fixed point over edges (an id is kept as soon as no undecided earlier neighbour is left, and drops
+    its later neighbours), which take decided ids away, and are split into components again, until nothing is left.
     """
     e = cut(links.select(F.least(a, b).alias("early"), F.greatest(a, b).alias("late")).where("early <> late").distinct())
+    kind = dict(e.dtypes)["late"]
     dropped = None
-    for _ in range(rounds):
-        late = e.select(F.col("late").alias("early")).distinct()
-        free = e.select("early").distinct().join(late, "early", "left_anti")  # no earlier neighbour left: kept
-        out = cut(e.join(free, "early", "left_semi").select(F.col("late").alias(id_col)).distinct())
-        if out.isEmpty():
-            break
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({id_col: _greedy_dropped(g["early"].to_numpy(), g["late"].to_numpy())})
+
+    while not e.isEmpty():
+        tagged = cut(e.join(components(e, "early", "late").withColumnRenamed("node", "early"), "early"))
+        fits = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= local_edges).select("component")
+        out = cut(tagged.join(fits, "component", "left_semi").groupBy("component").applyInPandas(solve, f"{id_col} {kind}"))
         dropped = out if dropped is None else dropped.union(out)
-        gone = out.select(F.col(id_col).alias("x"))
-        rest = e.join(free, "early", "left_anti").join(gone, F.col("late") == F.col("x"), "left_anti").join(gone, F.col("early") == F.col("x"), "left_anti")
-        e = cut(rest)
+        e = cut(tagged.join(fits, "component", "left_anti").select("early", "late"))
+        for _ in range(rounds):
+            if e.isEmpty():
+                break
+            late = e.select(F.col("late").alias("early")).distinct()
+            free = e.select("early").distinct().join(late, "early", "left_anti")  # no earlier neighbour left: kept
+            out = cut(e.join(free, "early", "left_semi").select(F.col("late").alias(id_col)).distinct())
+            dropped = dropped.union(out)
+            gone = out.select(F.col(id_col).alias("x"))
+            e = cut(e.join(free, "early", "left_anti").join(gone, F.col("late") == F.col("x"), "left_anti").join(gone, F.col("early") == F.col("x"), "left_anti"))
     return ids if dropped is None else ids.join(dropped, id_col, "left_anti")
 
 
-def cosine_links(df: DataFrame, id_col: str, vector: str, t: float = 0.92, group: Sequence[str] = (), pivots: int = 2) -> DataFrame:
+def cosine_links(df: DataFrame, id_col: str, vector: str, t: float = 0.92, group: Sequence[str] = (), rows: int = 4096) -> DataFrame:
     """(a, b, cosine) with a < b of the same group and cosine at least ``t``; exact.
 
-    Angles obey the triangle inequality: two vectors within acos(t) of each other have angles to any pivot that
-    differ by no more. Rows are binned by their angle to each pivot in steps of acos(t), and meet only the bins next
-    to theirs. Null and zero vectors take no part. Pivots are the unit vectors of the first dimensions.
+    Angles obey the triangle inequality: two vectors within acos(t) of each other have angles to any pivot that differ by no
+    more. Within a group, rows are cut into shells by their angle to the mean direction, and by hash into tiles of about ``rows``
+    rows; tiles of shells within reach meet, and two tiles are compared by one matrix product in one task. Null and zero
+    vectors take no part.
     """
-    step = math.acos(t) if t < 1 else 1e-3
-    u = df.select(F.col(id_col).alias("_id"), *group, P.unit(F.col(vector)).alias("_v")).where((F.size(vector) > 0) & (P.norm2(F.col(vector)) > 0))
-    cell = [F.floor(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.get("_v", F.lit(i))))) / step).cast("int") for i in range(pivots)]
-    u = u.withColumns({f"_c{i}": F.coalesce(c, F.lit(0)) for i, c in enumerate(cell)})
-    home = u.select(*group, *(f"_c{i}" for i in range(pivots)), F.col("_id").alias("a"), F.col("_v").alias("va"))
-    away = u.select(*group, *(f"_c{i}" for i in range(pivots)), F.col("_id").alias("b"), F.col("_v").alias("vb"))
-    for i in range(pivots):
-        away = away.withColumn(f"_c{i}", F.explode(F.array(*(F.col(f"_c{i}") + d for d in (-1, 0, 1)))))
-    pairs = home.join(away, [*group, *(f"_c{i}" for i in range(pivots))]).where("a < b").withColumn("cosine", P.dot(F.col("va"), F.col("vb")))
-    return pairs.where(F.col("cosine") >= t).select(*group, "a", "b", "cosine")
+    by = list(group)
+    src = df.where((F.size(vector) > 0) & (P.norm2(F.col(vector)) > 0))
+    u = cut(src.select(F.col(id_col).alias("_id"), *by, (F.to_json(F.struct(*by)) if by else F.lit("")).alias("_g"), P.unit(F.col(vector)).alias("_v")))
+    kinds = dict(u.dtypes)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            for key, g in b.groupby("_g"):
+                total[key] = total.get(key, 0) + np.array(g["_v"].tolist(), dtype=float).sum(axis=0)
+        yield pd.DataFrame({"_g": list(total), "m": list(total.values())})
+
+    mean = u.select("_g", "_v").mapInPandas(sums, "_g string, m array<double>").select("_g", F.posexplode("m").alias("p", "x")).groupBy("_g", "p").agg(F.sum("x").alias("x"))
+    mean = mean.groupBy("_g").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda z: z["x"]).alias("_m"))
+    angle = F.coalesce(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), P.dot(F.col("_v"), P.unit(F.col("_m")))))), F.lit(0.0))
+    turned = cut(u.join(mean, "_g").withColumn("_a", angle).drop("_m"))
+    n = turned.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_a", [i / 64 for i in range(1, 64)], 4096).alias("q"))
+    step = F.greatest(F.lit(1), F.floor(64 * rows / F.col("n")))  # as many shells as there are tiles, 64 at most
+    shells = n.select("_g", F.array_distinct(F.filter("q", lambda x, i: (i + 1) % step == 0)).alias("cuts"))
+    placed = turned.join(shells, "_g").withColumn("_s", F.size(F.filter("cuts", lambda c: c < F.col("_a")))).drop("cuts")
+    size = cut(placed.groupBy("_g", "_s").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_of"), F.min("_a").alias("lo"), F.max("_a").alias("hi")))
+    tiles = size.withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).drop("_of")
+    reach = math.acos(min(1.0, max(-1.0, t))) + 1e-9
+    x, y = (tiles.select("_g", *(F.col(c).alias(f"{c}{k}") for c in ("_s", "_t", "lo", "hi"))) for k in (1, 2))
+    # one row per tile: their pairs are the products to be made
+    grid = cut(x.join(y, "_g").where(F.struct("_s1", "_t1") <= F.struct("_s2", "_t2")).where(f"lo2 - hi1 <= {reach}").select("_g", "_s1", "_t1", "_s2", "_t2").withColumn("_pair", F.monotonically_increasing_id()))
+    ends = grid.select("_g", "_pair", F.lit(0).alias("_side"), F.col("_s1").alias("_s"), F.col("_t1").alias("_t")).union(grid.select("_g", "_pair", F.lit(1), "_s2", "_t2"))
+    met = placed.join(size.select("_g", "_s", "_of"), ["_g", "_s"]).withColumn("_t", F.pmod(F.xxhash64("_id"), F.col("_of")).cast("int")).join(ends, ["_g", "_s", "_t"]).select("_pair", "_side", "_id", *by, "_v")
+
+    def products(g: pd.DataFrame) -> pd.DataFrame:
+        p, q = g[g["_side"] == 0], g[g["_side"] == 1]
+        if p.empty or q.empty:
+            return pd.DataFrame({c: [] for c in [*by, "a", "b", "cosine"]})
+        v, w = np.array(p["_v"].tolist()), np.array(q["_v"].tolist())
+        i, j = np.nonzero(v @ w.T >= t - 1e-9)
+        a, b, cos = p["_id"].to_numpy()[i], q["_id"].to_numpy()[j], np.einsum("ij,ij->i", v[i], w[j])
+        ok = (a != b) & (cos >= t)
+        out = pd.DataFrame({"a": np.where(a < b, a, b)[ok], "b": np.where(a < b, b, a)[ok], "cosine": cos[ok]})
+        for c in by:
+            out[c] = g[c].iloc[0]
+        return out[[*by, "a", "b", "cosine"]]
+
+    keys = "".join(f"{c} {kinds[c]}, " for c in by)
+    links = met.groupBy("_pair").applyInPandas(products, f"{keys}a {kinds['_id']}, b {kinds['_id']}, cosine double")
+    return links.groupBy(*by, "a", "b").agg(F.max("cosine").alias("cosine"))  # a tile that meets itself has both orders
 
 
 def neighbour_share(df: DataFrame, id_col: str, vector: str, t: float, group: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,23 +65,66 @@ def fixed_histogram(df: DataFrame, value: str, bounds: Sequence[float], by: Sequ
     return df.groupBy(*by).agg(*aggs).select(*by, F.inline(rows))
 
 
+def order_statistics(df: DataFrame, value: str, by: Sequence[str], positions: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """(by, n, one column per name): the values at 0-based positions of each group's sorted values; exact.
+
+    ``positions`` maps names to expressions of the group size. Values are counted first, then cut into ranges at approximate
+    quantiles; only the ranges that hold a position are sorted, so no task holds a group. Null values take no part.
+    """
+    keys = list(by)
+    per = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    per = per.withColumn("_g", F.to_json(F.struct(*keys)) if keys else F.lit(""))
+    size = per.groupBy("_g").agg(F.sum("_c").alias("n"), F.percentile_approx("_v", [i / 256 for i in range(1, 256)], 4096).alias("_cuts"))
+    placed = per.join(size, "_g").withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    counts = placed.groupBy("_g", "_b").agg(F.sum("_c").alias("_m"), F.first("n").alias("n"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    want = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), f(F.col("n")).cast("bigint").alias("at")) for k, f in positions.items())))
+    held = counts.withColumn("_base", before).withColumn("w", want).where("w.at >= _base and w.at < _base + _m").select("_g", "_b", "_base", F.col("w.name").alias("name"), F.col("w.at").alias("at"))
+    inner = placed.join(held.select("_g", "_b").distinct(), ["_g", "_b"], "left_semi")
+    inner = inner.withColumn("_end", F.sum("_c").over(Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = inner.join(held, ["_g", "_b"]).where("at >= _base + _end - _c and at < _base + _end")
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in positions))
+
+
+def _linear(q: float) -> dict[str, Callable[[Column], Column]]:
+    """The two positions between which a percentile is interpolated."""
+    return {f"lo{q}": lambda n: F.floor(F.lit(q) * (n - 1)), f"hi{q}": lambda n: F.ceil(F.lit(q) * (n - 1))}
+
+
+def _between(q: float) -> Column:
+    at = F.lit(q) * (F.col("n") - 1)
+    return F.col(f"`lo{q}`") + (at - F.floor(at)) * (F.col(f"`hi{q}`") - F.col(f"`lo{q}`"))
+
+
 def latency_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Count, mean, nearest-rank and interpolated percentiles, and the floor-index percentile ``x[0.95 (n - 1)]``."""
-    v = F.col(value)
-    return df.where(v.isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.expr(f"percentile_disc(0.5) within group (order by {value})").alias("p50"),
-        F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"),
-        F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.95).alias("p95_linear"),
-    )
+    """Count, mean, extremes, nearest-rank percentiles (p50, p95) and interpolated ones (median, p95_linear)."""
+    keys = list(by)
+    nearest = lambda q: lambda n: F.ceil(F.lit(q) * n) - 1
+    at = order_statistics(df, value, keys, {"min": lambda n: F.lit(0), "max": lambda n: n - 1, "p50": nearest(0.5), "p95": nearest(0.95)} | _linear(0.5) | _linear(0.95))
+    at = at.select(*(F.col(k).alias(f"_k_{k}") for k in keys), "n", "min", "max", "p50", "p95", _between(0.5).alias("median"), _between(0.95).alias("p95_linear"))
+    mean = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("mean"))
+    same = [mean[k].eqNullSafe(at[f"_k_{k}"]) for k in keys] or [F.lit(True)]
+    return mean.join(at, same).select(*keys, "n", "mean", "min", "max", "p50", "p95", "median", "p95_linear")
+
+
+def throughput_summary(df: DataFrame, ts: str, value: str, size: str, limit: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, kind, n, mean, ..., per_second): latencies of short and long requests apart (``size`` up to ``limit`` or above), and how many end a second."""
+    rows = df.withColumn("kind", F.when(F.col(size) <= limit, "short").otherwise("long"))
+    keys = [*by, "kind"]
+    span = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.max(ts).cast("double") - F.min(ts).cast("double")).alias("_s"))
+    rate = span.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.when(F.col("_s") > 0, F.col("_n") / F.col("_s")).alias("per_second"))
+    out = latency_summary(rows, value, keys)
+    return out.join(rate, [out[k].eqNullSafe(rate[f"_k_{k}"]) for k in keys]).drop(*(f"_k_{k}" for k in keys))
 
 
 def floor_index_percentile(df: DataFrame, value: str, q: float, by: Sequence[str] = ()) -> DataFrame:
     """The value at position floor(q * (n - 1)) of the sorted values."""
-    keys = list(by) or [F.lit(1)]
-    r = F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return df.where(F.col(value).isNotNull()).select(*by, value, r.alias("_r"), n.alias("_n")).where(F.col("_r") == F.floor(F.lit(q) * (F.col("_n") - 1))).select(*by, F.col(value).alias("value"))
+    return order_statistics(df, value, by, {"value": lambda n: F.floor(F.lit(q) * (n - 1))}).drop("n")
+
+
+def rounded_index_percentile(df: DataFrame, value: str, q: float, by: Sequence[str] = ()) -> DataFrame:
+    """The value at position min(n - 1, floor(q * n)) of the sorted values."""
+    return order_statistics(df, value, by, {"value": lambda n: F.least(n - 1, F.floor(F.lit(q) * n))}).drop("n")
 
 
 def drift(df: DataFrame, ts: str, value: str, seconds: int = 3600, tolerance: float = 1.5) -> DataFrame:
@@ -90,7 +133,9 @@ def drift(df: DataFrame, ts: str, value: str, seconds: int = 3600, tolerance: fl
     span = F.expr(f"interval {seconds} seconds")
     rows = df.crossJoin(F.broadcast(ends))  # one row
     first, last = F.col(ts) <= F.col("a") + span, F.col(ts) >= F.col("b") - span
-    m = rows.agg(F.percentile(F.when(first, F.col(value)), 0.5).alias("first_median"), F.percentile(F.when(last, F.col(value)), 0.5).alias("last_median"), F.percentile(F.when(first, F.col(value)), 0.95).alias("first_p95"), F.percentile(F.when(last, F.col(value)), 0.95).alias("last_p95"))
+    tagged = rows.select(F.col(value).alias("v"), F.explode(F.array_compact(F.array(F.when(first, "first"), F.when(last, "last")))).alias("end"))
+    at = order_statistics(tagged, "v", ["end"], _linear(0.5) | _linear(0.95)).select("end", _between(0.5).alias("median"), _between(0.95).alias("p95"))
+    m = at.agg(*(F.max(F.when(F.col("end") == e, F.col(k))).alias(f"{e}_{k}") for k in ("median", "p95") for e in ("first", "last")))
     return m.withColumn("median_ok", F.col("last_median") <= F.col("first_median") * tolerance).withColumn("p95_ok", F.col("last_p95") <= F.col("first_p95") * tolerance)
 
 

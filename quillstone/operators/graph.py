@@ -13,7 +13,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Each round links every neighbourhood to its least member (large star, then small star), which halves
     path lengths; lineage is cut once per round in the shared folder. Self-loops and repeated edges are
-    harmless, null ends are dropped; an empty table gives an empty result.
+    harmless, null ends are dropped; an empty table gives an empty result. Raises if ``rounds`` do not suffice: an
+    unfinished result is never returned.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -29,5 +30,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     root = e.groupBy("u").agg(F.min("v").alias("component"))
     return root.select(F.col("u").alias("node"), "component").union(root.select(F.col("component").alias("node"), "component").distinct())

@@ -3,36 +3,59 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.session import cut
+
 
 def seeded(seed: int | str, *cols: str | Column) -> Column:
     """A hexadecimal rank: SHA-256 of the seed and columns on lines."""
     return F.sha2(F.concat_ws("\n", F.lit(str(seed)), *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols)), 256)
 
 
+def same(left: DataFrame, right: DataFrame, columns: Sequence[str], prefix: str = "_k_") -> Column:
+    """Equality of columns with their prefixed counterparts; nulls are equal."""
+    return reduce(lambda x, y: x & y, (left[c].eqNullSafe(right[f"{prefix}{c}"]) for c in columns))
+
+
+def keyed(df: DataFrame, columns: Sequence[str], prefix: str = "_k_") -> DataFrame:
+    """The same rows with prefixed key columns, for :func:`same`."""
+    return df.select(*(F.col(c).alias(f"{prefix}{c}") if c in columns else F.col(c) for c in df.columns))
+
+
+def running(df: DataFrame, by: Sequence[str], rank: str, id_col: str, weight: Column | None = None, name: str = "_r") -> DataFrame:
+    """Adds the running sum of a weight (of 1 by default, hence the position) of each group in the order of a hexadecimal hash.
+
+    Sums per 4096 hash buckets come first, so that no task sorts more than a bucket of a group, however large the group is.
+    """
+    rows = df.withColumns({"_w": F.lit(1) if weight is None else weight, "_b": F.conv(F.substring(rank, 1, 3), 16, 10).cast("int")})
+    per = rows.groupBy(*by, "_b").agg(F.sum("_w").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = keyed(per.select(*by, "_b", before.alias("_base")), [*by, "_b"])
+    inner = rows.withColumn("_in", F.sum("_w").over(Window.partitionBy(*by, "_b").orderBy(rank, id_col).rowsBetween(Window.unboundedPreceding, 0)))
+    return inner.join(base, same(inner, base, [*by, "_b"])).withColumn(name, F.col("_in") + F.col("_base")).select(*df.columns, name)
+
+
 def cap_share(df: DataFrame, group: Sequence[str], key: str, share: float, id_col: str, seed: int | str, salt: str = "", trim_only_key: bool = False) -> DataFrame:
     """Keeps of each key at most max(1, floor(share * n)) rows of its group, the least in seeded order.
 
     A group with one key is left alone unless ``trim_only_key``. Sizes are counted before the cap; null keys are a key.
     """
-    per = df.groupBy(*group, key).agg(F.count(F.lit(1)).alias("_c"))
-    size = per.groupBy(*group).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    by = [*group, key]
+    per = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
+    size = keyed(per.groupBy(*group).agg(F.sum("_all").alias("_n"), F.count(F.lit(1)).alias("_k")), group)
     limit = F.greatest(F.lit(1), F.floor(F.col("_n") * share + 1e-9))
-    plan = per.join(size, list(group)).select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate([*group, key])), F.when((F.col("_k") == 1) & F.lit(not trim_only_key), F.col("_c")).otherwise(F.least(F.col("_c"), limit)).alias("_keep"), F.col("_c").alias("_all"))
-    on = None
-    for i, c in enumerate([*group, key]):
-        t = F.col(c).eqNullSafe(F.col(f"_g{i}"))
-        on = t if on is None else on & t
-    rows = df.join(plan, on).drop(*(f"_g{i}" for i in range(len(group) + 1)))
-    free = rows.where(F.col("_keep") >= F.col("_all"))
+    keep = F.when((F.col("_k") == 1) & F.lit(not trim_only_key), F.col("_all")).otherwise(F.least(F.col("_all"), limit))
+    plan = keyed(per.join(size, same(per, size, group)).select(*by, keep.alias("_keep"), "_all"), by)
+    rows = df.join(plan, same(df, plan, by)).select(*df.columns, "_keep", "_all")
     # only groups that lose rows are ranked
     tight = rows.where(F.col("_keep") < F.col("_all")).withColumn("_h", seeded(seed, F.concat(F.lit(salt), F.concat_ws("/", *group)), id_col))
-    rank = F.row_number().over(Window.partitionBy(*group, key).orderBy("_h", id_col))
-    return free.select(df.columns).unionByName(tight.withColumn("_r", rank).where(F.col("_r") <= F.col("_keep")).select(df.columns))
+    kept = running(tight, by, "_h", id_col).where(F.col("_r") <= F.col("_keep"))
+    return rows.where(F.col("_keep") >= F.col("_all")).select(df.columns).unionByName(kept.select(df.columns))
 
 
 def per_group(df: DataFrame, group: Sequence[str], n: int, id_col: str, seed: int | str) -> DataFrame:
@@ -55,10 +78,12 @@ def round_robin(df: DataFrame, buckets: Sequence[str], n: int, id_col: str, seed
 
 
 def indexed(df: DataFrame, order: Sequence[str], name: str = "_i") -> DataFrame:
-    """Adds 0-based positions in a total order: ranges are sorted in parallel, their sizes give the offsets."""
+    """Adds 0-based positions in a total order: ranges are sorted in parallel, their sizes give the offsets.
+
+    The sorted ranges are written to the shared folder, so offsets fit the rows whatever is lost later.
+    """
     spark = df.sparkSession
-    parts = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    parts = parts.persist()
+    parts = cut(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("lo")).orderBy("_part").collect()
     total, rows = 0, []
     for r in sizes:
@@ -117,10 +142,9 @@ def temperature_budget(df: DataFrame, by: Sequence[str], n: str, budget: int, t:
 
 def resample(df: DataFrame, plan: DataFrame, by: Sequence[str], id_col: str, seed: int) -> DataFrame:
     """Rows repeated as a budget plan says: every row ``passes`` times, the least ``rest`` once more; adds ``pass``."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(seeded(seed, id_col), id_col))
-    rows = df.withColumn("_r", rank).join(plan.select(*by, "passes", "rest"), list(by))
+    rows = running(df.join(plan.select(*by, "passes", "rest"), list(by)).withColumn("_h", seeded(seed, id_col)), by, "_h", id_col)
     times = F.col("passes") + (F.col("_r") <= F.col("rest")).cast("int")
-    return rows.where(times > 0).withColumn("pass", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_r", "passes", "rest")
+    return rows.where(times > 0).withColumn("pass", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_r", "_h", "passes", "rest")
 
 
 def split_dev(df: DataFrame, source: str, key: Column, share: float, seed: int | str) -> DataFrame:
@@ -128,22 +152,24 @@ def split_dev(df: DataFrame, source: str, key: Column, share: float, seed: int |
 
     A key is dev in all sources or in none.
     """
-    keyed = df.withColumn("_key", F.sha2(key, 256))
-    per = keyed.groupBy(source, "_key").agg(F.count(F.lit(1)).alias("_c")).withColumn("_h", seeded(seed, "_key"))
-    w = Window.partitionBy(source)
-    run = F.sum("_c").over(w.orderBy("_h", "_key").rowsBetween(Window.unboundedPreceding, 0))
-    dev = per.withColumn("_run", run).withColumn("_n", F.sum("_c").over(w)).where(F.col("_run") <= F.floor(F.col("_n") * share)).select("_key").distinct().withColumn("_dev", F.lit(True))
-    return keyed.join(dev, "_key", "left").withColumn("split", F.when(F.col("_dev"), "dev").otherwise("train")).drop("_key", "_dev")
-
-
-def drop_leaked(df: DataFrame, n_dev: int, order: str, key: Column) -> DataFrame:
-    """The first ``n_dev`` rows are dev; later rows with the key of a dev row are dropped. Adds ``split``."""
-    rows = df.withColumn("_key", key)
-    dev = rows.orderBy(order).limit(n_dev).withColumn("split", F.lit("dev"))
-    last = dev.agg(F.max(order).alias("_last"))
-    train = rows.crossJoin(F.broadcast(last)).where((F.col(order) > F.col("_last")) | F.col("_last").isNull()).drop("_last")  # one row
-    kept = train.join(dev.select("_key").distinct(), "_key", "left_anti").withColumn("split", F.lit("train"))
-    return dev.unionByName(kept.select(dev.columns)).drop("_key")
+    rows = df.withColumn("_key", F.sha2(key, 256))
+    per = rows.groupBy(source, "_key").agg(F.count(F.lit(1)).alias("_c")).withColumn("_h", seeded(seed, "_key"))
+    size = keyed(per.groupBy(source).agg(F.sum("_c").alias("_n")), [source])
+    run = running(per, [source], "_h", "_key", F.col("_c"), "_run")
+    dev = run.join(size, same(run, size, [source])).where(F.col("_run") <= F.floor(F.col("_n") * share)).select("_key").distinct().withColumn("_dev", F.lit(True))
+    return rows.join(dev, "_key", "left").withColumn("split", F.when(F.col("_dev"), "dev").otherwise("train")).drop("_key", "_dev")
+
+
+def drop_leaked(df: DataFrame, n_dev: int, order: Sequence[str], key: Column) -> DataFrame:
+    """The first ``n_dev`` rows in a total order are dev; later rows with the key of a dev row are dropped. Adds ``split``.
+
+    Every row is either among the first or later: positions are counted, so ties and null orders lose none; null keys match none.
+    """
+    rows = indexed(df.withColumn("_key", key), [F.col(c).asc_nulls_last() for c in order], "_i")
+    dev = rows.where(F.col("_i") < n_dev)
+    train = rows.where(F.col("_i") >= n_dev).join(dev.select("_key").distinct(), "_key", "left_anti")
+    tagged = lambda d, x: d.select(*df.columns, F.lit(x).alias("split"))
+    return tagged(dev, "dev").unionByName(tagged(train, "train"))
 
 
 def common_keys(df: DataFrame, key: str, part: str, parts: int, label: str | None = None) -> DataFrame:

@@ -147,7 +147,7 @@ def dev_split(s: SparkSession, d: str) -> DataFrame:
 
 def leak_free_split(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "verify").select("item_id", "state")
-    return S.drop_leaked(v, 300, "item_id", X.norm(F.col("state"))).select("item_id", "split")
+    return S.drop_leaked(v, 300, ["item_id"], X.norm(F.col("state"))).select("item_id", "split")
 
 
 def parallel_suites(s: SparkSession, d: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import io
 import json
 import os
+import posixpath
+import re
 import tempfile
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -75,25 +78,73 @@ def read_columns(spark: SparkSession, path: str, columns: Sequence[str], where:
     return (df.where(where) if where else df).select(*columns)
 
 
-def _workbook(data: bytes) -> list[list[str | None]]:
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+_SHEETS, _LINKS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_CELL_AT = re.compile(r"([A-Z]+)\d*$")
+
+
+def _text(node: ElementTree.Element) -> str:
+    """The text of a string item, formatted runs joined; phonetic guides are not part of it."""
+    parts = [node.findtext(f"{{{_SHEETS}}}t") or ""]
+    parts += [run.findtext(f"{{{_SHEETS}}}t") or "" for run in node.findall(f"{{{_SHEETS}}}r")]
+    return "".join(parts)
+
+
+def _column(ref: str | None, last: int) -> int:
+    """0-based column of a cell reference; a cell without one stands right of the last."""
+    at = _CELL_AT.match((ref or "").upper())
+    return int(functools.reduce(lambda n, c: n * 26 + ord(c) - 64, at[1], 0)) - 1 if at else last + 1
+
+
+def _first_sheet(z: zipfile.ZipFile) -> str | None:
+    """The part of the sheet that the workbook lists first, found through its relations."""
+    try:
+        sheet = ElementTree.fromstring(z.read("xl/workbook.xml")).find(f".//{{{_SHEETS}}}sheet")
+        links = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    except KeyError:
+        return next((n for n in z.namelist() if n.startswith("xl/worksheets/") and n.endswith(".xml")), None)
+    if sheet is None:
+        return None
+    target = links.get(sheet.get(f"{{{_LINKS}}}id"), "")
+    return posixpath.normpath(posixpath.join("xl", target) if not target.startswith("/") else target.lstrip("/"))
+
+
+def workbook_rows(data: bytes) -> Iterator[list[str | None]]:
+    """The rows of the first sheet, cells as text, one at a time; absent cells are null, absent rows are empty lists.
+
+    Booleans read TRUE and FALSE, numbers as they are stored, formulas by their stored result; errors are null.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
+        part = _first_sheet(z)
+        if part is None:
+            return
+        shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in s.iter(f"{{{ns['m']}}}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
-        sheet = ElementTree.fromstring(z.read(sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))[0]))
-    rows = []
-    for r in sheet.iter(f"{{{ns['m']}}}row"):
-        cells: dict[int, str | None] = {}
-        for c in r.findall("m:c", ns):
-            col = 0
-            for ch in (x for x in c.get("r", "A1") if x.isalpha()):
-                col = col * 26 + ord(ch.upper()) - 64
-            v = c.find("m:v", ns)
-            inline = "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t"))
-            cells[col - 1] = shared[int(v.text)] if c.get("t") == "s" and v is not None else v.text if v is not None else inline or None
-        rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-    return rows
+            with z.open("xl/sharedStrings.xml") as f:
+                for _, node in ElementTree.iterparse(f):
+                    if node.tag == f"{{{_SHEETS}}}si":
+                        shared.append(_text(node))
+                        node.clear()
+        done = 0
+        with z.open(part) as f:
+            for _, row in ElementTree.iterparse(f):
+                if row.tag != f"{{{_SHEETS}}}row":
+                    continue
+                number = int(row.get("r", done + 1))
+                yield from ([] for _ in range(number - done - 1))
+                done = number
+                out: list[str | None] = []
+                for cell in row:
+                    kind, value = cell.get("t", "n"), cell.findtext(f"{{{_SHEETS}}}v")
+                    if kind == "inlineStr":
+                        inline = cell.find(f"{{{_SHEETS}}}is")
+                        value = None if inline is None else _text(inline)
+                    elif value is not None:
+                        value = {"s": lambda v: shared[int(v)], "b": lambda v: "FALSE" if v == "0" else "TRUE", "e": lambda v: None}.get(kind, str)(value)
+                    at = _column(cell.get("r"), len(out) - 1)
+                    out += [None] * (at + 1 - len(out))
+                    out[at] = value
+                yield out
+                row.clear()
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
@@ -103,7 +154,7 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, c in zip(b["path"], b["content"]):
-                rows = _workbook(bytes(c))
+                rows = list(workbook_rows(bytes(c)))
                 yield pd.DataFrame({"path": p, "row": range(len(rows)), "cells": rows})
 
     return files.mapInPandas(run, "path string, row int, cells array<string>")

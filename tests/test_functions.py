@@ -1,5 +1,7 @@
 import math
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import probability as P
 from quillstone.functions import text as X
 from quillstone.functions.languages import language_code, language_code_py
-from quillstone.operators import paired as R
+from quillstone.functions import tails as T
 
 
 def one(spark, value, f, kind="string"):
@@ -108,16 +110,24 @@ def test_rounding_and_temperatures(spark):
 
 
 def test_exact_tests():
-    assert R.mcnemar(0, 0) == 1.0
-    assert R.mcnemar(1, 5) == pytest.approx(2 * (1 + 6) / 64)
-    assert R.upper_half(10, 0) == 1.0 and R.upper_half(4, 5) == 0.0
-    for n in range(1, 12):
-        for k in range(n + 2):
-            assert R.upper_half(n, k) == pytest.approx(sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n)
-            assert R.upper_tail(n, k, 0.3) == pytest.approx(sum(math.comb(n, i) * 0.3**i * 0.7 ** (n - i) for i in range(k, n + 1)))
-    assert R.gammaincc(0.5, 0.5) == pytest.approx(math.erfc(math.sqrt(0.5)), abs=1e-12)
-    assert R.gammaincc(0.5, 8.0) == pytest.approx(math.erfc(math.sqrt(8.0)), rel=1e-9)
-    assert R.gammaincc(1.0, 3.0) == pytest.approx(math.exp(-3), rel=1e-12)
-    assert R.least_significant_loss(100, 0) is None
-    assert R.least_significant_loss(100, 10) == pytest.approx(0.08)
-    assert R.zero_event_half_width(0) == 1.0 and 0.03 < R.zero_event_half_width(100) < 0.04
+    """Against whole-number sums, and hand-computed cases of a one-sided and two-sided paired test."""
+    for n in (1, 2, 7, 30, 400):
+        k = np.arange(n + 2)
+        want = [sum(math.comb(n, i) for i in range(j, n + 1)) / 2**n for j in k.tolist()]
+        assert T.binomial_tail(n, k) == pytest.approx(want, rel=1e-11)
+    for p in (0.01, 0.3, 0.97):
+        assert T.binomial_tail(12, np.arange(14), p) == pytest.approx([sum(math.comb(12, i) * p**i * (1 - p) ** (12 - i) for i in range(k, 13)) for k in range(14)], rel=1e-11)
+    assert [float(T.binomial_tail(b + c, b)) for b, c in ((0, 0), (0, 5), (5, 0), (1, 0), (4, 1), (80, 20))] == pytest.approx([1, 1, 1 / 32, 1 / 2, 6 / 32, sum(math.comb(100, k) for k in range(21)) / 2**100])
+    assert T.sign_test([0, 1, 5, 3], [0, 5, 1, 3]) == pytest.approx([1, 14 / 64, 14 / 64, 1])
+    began = time.time()
+    big = T.sign_test(np.array([500_000, 499_000, 490_000]), np.array([500_000, 501_000, 510_000]))
+    # the normal approximation with a continuity correction is good to a few digits here
+    assert big[:2] == pytest.approx([1, math.erfc((1000 - 0.5) / math.sqrt(500_000))], rel=1e-3) and 0 < big[2] < 1e-80 and time.time() - began < 1
+    assert T.chi_square_tail([1, 1, 2, 3, 4, 2, 0, 1.5], [1.0, 16.0, 6.0, 0.0, 5.0, -1, 1, 1])[:5] == pytest.approx([math.erfc(math.sqrt(0.5)), math.erfc(math.sqrt(8.0)), math.exp(-3), 1.0, math.exp(-2.5) * 3.5], rel=1e-12)
+    assert np.isnan(T.chi_square_tail([2, 0, 1.5], [-1.0, 1, 1])).all() and float(T.chi_square_tail(300, 300)) == pytest.approx(0.4891, abs=1e-3)
+    assert T.least_significant_loss(100, 0, 0.05) is None and T.least_significant_loss(100, 3, 0.05) is None
+    assert T.least_significant_loss(100, 10, 0.05) == pytest.approx(0.08)
+    for d in range(5, 60):
+        k = next(k for k in range(d + 1) if sum(math.comb(d, i) for i in range(k, d + 1)) / 2**d <= 0.05)
+        assert T.least_significant_loss(200, d, 0.05) == pytest.approx((2 * k - d) / 200)
+    assert T.zero_event_half_width(0) == 1.0 and T.zero_event_half_width(100) == pytest.approx(1 - 0.025 ** (1 / 100))
