@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,22 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Bytes that a task of a large exchange should read.
+TASK_BYTES = 8_000_000
+
+
+@contextmanager
+def partitions_for(spark: SparkSession, size: int) -> Iterator[None]:
+    """Within, exchanges have enough partitions for ``size`` bytes in all, and never fewer than configured; for eager work such as :func:`cut`."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, max(int(before), -(-size // TASK_BYTES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
