@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.shingles import hash_text, letters, plain, shingles
-from quillstone.session import cut
+from quillstone.session import cut, partitions_for
 
 THRESHOLD = 0.8
 _STATE = "_id bigint, _role int, ih bigint, th bigint, th2 bigint, text string, n int"
 
 
-def keyed_states(df: DataFrame, id_col: str, role: str, instructions: str, state: str) -> DataFrame:
-    """(_id, _role, ih, th, th2, text, n): hashes of instructions and state as they look, the text and its set size.
+def keyed_states(df: DataFrame, id_col: str, role: str, instructions: str, state: str, sizes: bool = True) -> DataFrame:
+    """(_id, _role, ih, th, th2, text, n): hashes of instructions and state as they look, the text and its set size (0 unless ``sizes``).
 
     Rows whose id or state is null take no part; null instructions equal empty ones. Two hashes tell texts apart.
     """
@@ -45,7 +45,7 @@ def keyed_states(df: DataFrame, id_col: str, role: str, instructions: str, state
                     if len(seen) > 10_000:
                         seen.clear()
                     seen[i] = hash_text(letters(i))
-            n = np.diff(shingles(text)[0])
+            n = np.diff(shingles(text)[0]) if sizes else np.zeros(len(text))
             yield pd.DataFrame({"_id": b["_id"], "_role": b["_role"], "ih": [seen[i] for i in b["_i"]], "th": [hash_text(t) for t in text], "th2": [hash_text(t, 1) for t in text], "text": text, "n": n.astype("int32")})
 
     rows = df.where(F.col(state).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.col(role).cast("int").alias("_role"), F.coalesce(F.col(instructions), F.lit("")).alias("_i"), F.col(state).alias("_s"))
@@ -175,8 +175,11 @@ def split_pairs(df: DataFrame, eval_suites: DataFrame, id_col: str = "item_id",
     rows = rows.where(F.col("_sp").isin("train", "dev", "test")).join(suites, "_su", "left").withColumn("_r", role).where(F.col("_r").isNotNull())
     text = ["ih", "th", "th2"]
     members = cut(keyed_states(rows, "_id", "_r", "_in", "_st").select("_id", "_role", *text, "n"))
-    docs = keyed_states(rows, "_id", "_r", "_in", "_st").groupBy("_role", *text).agg(F.first("text").alias("text"), F.first("n").alias("n"))
-    pairs = block_join(members.select("_role", *text, "n").distinct(), docs, t, block, probe_block)
+    once = members.groupBy("_role", *text).agg(F.first("n").alias("n"))
+    # the join finds both sides partitioned by its keys: texts travel once
+    docs = keyed_states(rows, "_id", "_r", "_in", "_st", sizes=False).groupBy("_role", *text).agg(F.first("text").alias("text")).join(once, ["_role", *text])
+    with partitions_for(df.sparkSession, members.agg(F.sum("n")).first()[0] or 0):  # a byte for each shingle, about the length of the texts
+        pairs = cut(block_join(once, docs, t, block, probe_block))
     ev = members.where("_role = 1").select(F.col("_id").alias("eval_id"), "ih", F.col("th").alias("th_e"), F.col("th2").alias("th2_e"))
     tr = members.where("_role = 0").select(F.col("_id").alias("train_id"), "ih", F.col("th").alias("th_t"), F.col("th2").alias("th2_t"))
     return pairs.join(ev, ["ih", "th_e", "th2_e"]).join(tr, ["ih", "th_t", "th2_t"]).select("eval_id", "train_id", "similarity").distinct()
