@@ -106,12 +106,13 @@ def difficulty(df: DataFrame, by: Sequence[str], correct: Column, confidence: Co
 
 
 def fingerprint(df: DataFrame, by: Sequence[str], row: Column) -> DataFrame:
-    """A digest of a multiset of rows that does not depend on their order: sums of two hashes, and the count.
+    """A digest of a multiset of rows that does not depend on their order: sums of two parts of each row's SHA-256, and the count.
 
     Sums combine on the map side, so no group is ever collected.
     """
-    h = lambda s: F.sum(F.xxhash64(F.lit(s), row).cast("decimal(38,0)")).cast("string")
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("|", h(1), h(2), F.count(F.lit(1)).cast("string")), 256).alias("fingerprint"))
+    rows = df.select(*by, F.sha2(row, 256).alias("_h"))
+    part = lambda i: F.sum(F.conv(F.substring("_h", i, 12), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("|", part(1), part(13), F.count(F.lit(1)).cast("string")), 256).alias("fingerprint"))
 
 
 def pairwise_similarity(df: DataFrame, by: Sequence[str], id_col: str, grams: str, pairs: int = 2000, seed: int = 0) -> DataFrame:

@@ -101,7 +101,7 @@ def offset_sample(df: DataFrame, order: Sequence[str], n: int, seed: int) -> Dat
         return rows.drop("_i")
     stratum = F.floor(F.col("_i") * n / total)
     lo, hi = F.ceil(stratum * total / n), F.ceil((stratum + 1) * total / n)
-    pick = lo + F.pmod(F.xxhash64(F.lit(seed), stratum), hi - lo)
+    pick = lo + F.pmod(F.conv(F.substring(seeded(seed, stratum), 1, 12), 16, 10).cast("bigint"), hi - lo)
     return rows.where(F.col("_i") == pick).drop("_i")
 
 

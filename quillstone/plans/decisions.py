@@ -140,6 +140,9 @@ ALL = {
     "consensus_answers": (consensus_answers, "WITH " + _qs() + f", a AS (SELECT *, {_LS('logits')} AS l1, list_transform(logits, lambda x: x * x) AS sq FROM z), b AS (SELECT *, {_LS('sq')} AS l2 FROM a), c AS (SELECT *, list_transform(l1, lambda x, i: 0.7 * x + 0.3 * l2[i]) AS f FROM b), pp AS (SELECT *, {_soft('f')} AS p FROM c) SELECT state_id, qid, CASE WHEN qtype = 'choice' THEN labels[list_position(p, list_max(p))] END AS choice, round({_R4('list_max(p)')}, 3) AS confidence FROM pp"),
     "selective_answers": (selective_answers, f"{_DEC}, an AS ({_ANS}) SELECT qid, count(*) FILTER (WHERE escalate) AS escalated, count(*) AS n FROM an GROUP BY qid"),
     "routed_requests": (routed_requests, f"WITH f AS ({_families_sql()}), r AS (SELECT suite, CASE WHEN count(*) = count(family) AND min(family) = max(family) THEN min(family) END AS family FROM verify v JOIN f ON f.item_id = v.item_id GROUP BY suite) SELECT suite, family, CASE WHEN family IN ('emotion', 'sentiment') THEN 'moods' WHEN family IN ('topic', 'intent') THEN 'themes' END AS adapter FROM r"),
-    "prompt_layout": (prompt_layout, None),
+    "prompt_layout": (prompt_layout, "WITH " + _qs() + """, a AS (SELECT state_id, qid, len(string_split(qtype || ' question: ' || instructions, ' ')) AS h, list_transform(options, lambda o: least(48, len(string_split(o, ' '))) + 1) AS o, len(string_split(state, ' ')) AS s FROM st, q),
+        b AS (SELECT *, CASE WHEN 48 - list_sum(o) < 16 THEN list_transform(o, lambda x: least(x, greatest(4, 32 // len(o)))) ELSE o END AS c FROM a),
+        e AS (SELECT *, least(h, greatest(8, 48 - list_sum(c)))::BIGINT AS kept FROM b), f AS (SELECT *, kept + 3 + list_sum(c)::BIGINT AS front, list_transform(c, lambda x, i: (kept + 2 + coalesce(list_sum(c[1:i - 1]), 0))::BIGINT) AS m FROM e)
+        SELECT state_id, qid, least(96, front + least(s, greatest(0, 96 - front - 1)) + 1)::INT AS n, array_to_string(m, ',') AS markers, len(list_filter(m, lambda x: x >= 96)) = 0 AS fits FROM f"""),
     "gathered_decisions": (gathered_decisions, f"{_SUB} SELECT state_id, string_agg(qid, ',' ORDER BY qpos) AS questions, max(CASE WHEN qid = 'mood' THEN labels[list_position(p, list_max(p))] END) AS mood FROM pp GROUP BY state_id"),
 }

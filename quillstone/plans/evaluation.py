@@ -167,7 +167,7 @@ def position_balance(s: SparkSession, d: str) -> DataFrame:
 def balance_p_values(s: SparkSession, d: str) -> DataFrame:
     keys = F.transform("options", lambda o: o["key"])
     v = table(s, d, "verify").select("suite", F.size("options").alias("k"), F.when(F.array_position(keys, F.col("gold")) > 0, F.array_position(keys, F.col("gold")) - 1).alias("pos"))
-    return Q.position_balance(v, ["suite"], "pos", "k").select("suite", "k", "p_value")
+    return Q.position_balance(v, ["suite"], "pos", "k").select("suite", "k", F.round("p_value", 9).alias("p_value"))
 
 
 def position_bins(s: SparkSession, d: str) -> DataFrame:
@@ -208,7 +208,7 @@ def label_vocabulary(s: SparkSession, d: str) -> DataFrame:
 
 def sample_fingerprints(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "verify").select("suite", "item_id", "state", "instructions", "gold")
-    return Q.fingerprint(v, ["suite"], F.to_json(F.struct("item_id", "state", "instructions", "gold")))
+    return Q.fingerprint(v, ["suite"], F.concat_ws("\x1f", F.col("item_id").cast("string"), *(F.coalesce(c, F.lit("\x1e")) for c in ("state", "instructions", "gold"))))
 
 
 _P = "p AS (SELECT model, suite, lang, i, m.item AS item, m.gold AS gold, m.pred AS pred FROM (SELECT model, suite, lang, i, min({'a': item IS NULL, 'b': gold IS NULL, 'c': pred IS NULL, 'item': item, 'gold': gold, 'pred': pred}) AS m FROM prediction_items GROUP BY ALL))"
@@ -221,6 +221,14 @@ _CELL = "count(*) AS n, count(*) FILTER (WHERE y < x) AS lost, count(*) FILTER (
 _CH = "count(*) FILTER (WHERE bp IS DISTINCT FROM op) AS changed"
 _SE = "coalesce(sqrt(var_samp(y - x) / count(*)), 0.0)"
 _Z = "WITH v AS (SELECT suite, list_distinct(regexp_extract_all(lower(state), '[a-z0-9]+')) AS w, list_transform(options, lambda o: concat_ws(' ', o.key, o.description)) AS o, list_position(list_transform(options, lambda o: o.key), gold) AS g FROM verify), z AS (SELECT suite, g, list_transform(o, lambda x: len(list_intersect(list_distinct(regexp_extract_all(lower(x), '[a-z0-9]+')), w))::DOUBLE) AS l FROM v WHERE g > 0), pp AS (SELECT suite, g, " + _soft("l") + " AS p FROM z), q AS (SELECT suite, g, p, round(list_max(p), 6) AS c, (list_position(p, list_max(p)) = g)::INT AS ok FROM pp)"
+_TAIL = lambda n, k: f"CASE WHEN {k} <= 0 THEN 1.0 ELSE coalesce(list_sum(list_transform(range({k}, {n} + 1), lambda i: exp(lgamma({n} + 1.0) - lgamma(i + 1.0) - lgamma({n} - i + 1.0) - {n} * ln(2.0)))), 0.0) END"
+_TESTED = f"t AS (SELECT *, least(1.0, 2 * ({_TAIL('(lost + gained)', 'greatest(lost, gained)')})) AS p_mcnemar, {_TAIL('(lost + gained)', 'lost')} AS p_drop, {_TAIL('(lost + gained)', 'gained')} AS p_gain FROM c)"
+_HOLM = lambda p, key: f"max(least(1.0, ((SELECT count(*) FROM t) - r_{p} + 1) * {p})) OVER (ORDER BY {p}, {key} ROWS UNBOUNDED PRECEDING) AS {p}_holm"
+_RANK = lambda p, key: f"row_number() OVER (ORDER BY {p}, {key}) AS r_{p}"
+_CAPS = lambda key: f"k AS (SELECT *, {_RANK('p_drop', key)}, {_RANK('p_gain', key)} FROM t), h AS (SELECT *, {_HOLM('p_drop', key)}, {_HOLM('p_gain', key)} FROM k), v AS (SELECT *, n < 200 AS underpowered, (d < 0 AND p_drop_holm <= 0.05) OR d < -0.02 AS regressed, d > 0 AND p_gain_holm <= 0.05 AS improved FROM h)"
+_BY = lambda key: f"c AS (SELECT {key}, {_CELL}, avg(y - x) AS d FROM r GROUP BY 1)"
+#: erfc by the mean of exp(-z^2 / sin^2) over a quarter turn; the rest by the recurrence in the degrees of freedom.
+_CHI = "CASE WHEN k < 2 THEN NULL WHEN (k - 1) % 2 = 0 THEN exp(-x / 2) * coalesce(list_sum(list_transform(range(0, (k - 1) // 2), lambda j: exp(j * ln(greatest(x / 2, 1e-300)) - lgamma(j + 1.0)))), 0) ELSE list_avg(list_transform(range(0, 2000), lambda j: exp(-x / 2 / pow(sin((j + 0.5) * pi() / 4000), 2)))) + coalesce(list_sum(list_transform(range(1, (k - 2) // 2 + 1), lambda j: exp((j - 0.5) * ln(greatest(x / 2, 1e-300)) - x / 2 - lgamma(j + 0.5)))), 0) END"
 _POS = "WITH v AS (SELECT suite, type, len(options) AS k, list_position(list_transform(options, lambda o: o.key), gold) AS pos FROM verify)"
 
 ALL = {
@@ -233,12 +241,12 @@ ALL = {
     "joined_predictions": (joined_predictions, f"WITH {_P}, w AS (SELECT item AS id, suite, max((pred = gold)::INT) FILTER (WHERE model = 'base') AS b, max((pred = gold)::INT) FILTER (WHERE model = 'multilingual') AS m FROM p GROUP BY ALL), i AS (SELECT DISTINCT id, suite FROM verify WHERE split IN ('dev', 'test')) SELECT i.suite, count(*) AS items, coalesce(sum(b), 0)::BIGINT AS base, coalesce(sum(m), 0)::BIGINT AS multilingual FROM i LEFT JOIN w ON w.id = i.id AND w.suite = i.suite GROUP BY i.suite"),
     "paired_runs": (paired_runs, f"WITH {_J} SELECT problem, count(*) AS n, count(gold) AS with_gold FROM j GROUP BY problem"),
     "paired_cells": (paired_cells, f"WITH {_J} SELECT suite, lang, {_CELL}, {_CH}, round(avg(x), 9) AS base, round(avg(y), 9) AS other, round(avg(y - x), 9) AS d, round({_SE}, 9) AS se FROM r GROUP BY ALL"),
-    "mcnemar_by_suite": (mcnemar_by_suite, None),
-    "holm_by_suite": (holm_by_suite, None),
-    "capability_tests": (capability_tests, None),
-    "promotion_verdict": (promotion_verdict, None),
+    "mcnemar_by_suite": (mcnemar_by_suite, f"WITH {_J}, {_BY('suite')}, {_TESTED} SELECT suite, n, lost, gained, round(p_mcnemar, 9) AS p_mcnemar, round(p_drop, 9) AS p_drop, round(p_gain, 9) AS p_gain FROM t"),
+    "holm_by_suite": (holm_by_suite, f"WITH {_J}, {_BY('suite')}, {_TESTED}, k AS (SELECT *, {_RANK('p_mcnemar', 'suite')} FROM t), h AS (SELECT *, {_HOLM('p_mcnemar', 'suite')} FROM k) SELECT suite, round(p_mcnemar, 9) AS p, round(p_mcnemar_holm, 9) AS p_holm FROM h"),
+    "capability_tests": (capability_tests, f"WITH {_J}, " + _BY("CASE WHEN suite IN ('emotion', 'sentiment', 'sarcasm') THEN 'tone' WHEN suite IN ('safety', 'urgency') THEN 'risk' ELSE 'content' END AS capability") + f", {_TESTED}, {_CAPS('capability')} SELECT capability, n, lost, gained, round(d, 9) AS d, underpowered, regressed, improved FROM v"),
+    "promotion_verdict": (promotion_verdict, f"WITH {_J}, {_BY('suite')}, {_TESTED}, {_CAPS('suite')}, m AS (SELECT avg(d) AS d, sqrt(sum(se * se)) / count(*) AS se FROM (SELECT avg(y - x) AS d, {_SE} AS se FROM r GROUP BY suite, lang)), o AS (SELECT count(*) FILTER (WHERE regressed) AS regressions, count(*) FILTER (WHERE improved) AS improvements FROM v) SELECT regressions, improvements, CASE WHEN regressions > 0 OR d + 2 * se < 0 THEN 'reject' WHEN improvements > 0 OR d - 2 * se > 0 THEN 'promote' ELSE 'keep' END AS verdict FROM o, m"),
     "pooled_difference": (pooled_difference, f"WITH {_J}, c AS (SELECT suite, lang, avg(y - x) AS d, {_SE} AS se FROM r GROUP BY ALL), w AS (SELECT *, 1.0::DOUBLE / count(*) OVER () AS wr, 1.0::DOUBLE / count(*) OVER (PARTITION BY suite) / (SELECT count(DISTINCT suite) FROM c) AS ws FROM c) SELECT 'rows' AS weights, count(*) AS cells, round(sum(wr * d), 9) AS d, round(sqrt(sum(pow(wr * se, 2))), 9) AS se FROM w UNION ALL SELECT 'suites', count(*), round(sum(ws * d), 9), round(sqrt(sum(pow(ws * se, 2))), 9) FROM w"),
-    "seed_comparison": (seed_comparison, None),
+    "seed_comparison": (seed_comparison, f"WITH w AS (SELECT suite, lang, max(accuracy) FILTER (WHERE model = 'base') AS b, max(accuracy) FILTER (WHERE model = 'multilingual') AS m FROM categories_multilingual WHERE accuracy IS NOT NULL AND lang <> 'macro' GROUP BY ALL), c AS (SELECT avg(m - b) AS d, count(*) FILTER (WHERE m > b) AS wins, count(*) FILTER (WHERE m < b) AS losses, count(*) FILTER (WHERE m = b) AS ties FROM w WHERE b IS NOT NULL AND m IS NOT NULL) SELECT round(d, 9) AS mean_difference, wins, losses, ties, round(least(1.0, 2 * ({_TAIL('(wins + losses)', 'greatest(wins, losses)')})), 9) AS p_sign FROM c"),
     "evaluation_records": (evaluation_records, f"WITH {_P}, c AS (SELECT suite, lang, avg(coalesce(pred = gold, false)::INT) AS a FROM p WHERE gold IS NOT NULL AND model = 'base' GROUP BY ALL) SELECT 'cell' AS kind, suite, lang, round(a, 9) AS accuracy FROM c UNION ALL SELECT 'macro', suite, 'macro', round(avg(a), 9) FROM c GROUP BY suite UNION ALL SELECT DISTINCT 'skipped', suite, NULL, NULL::DOUBLE FROM verify WHERE suite NOT IN (SELECT suite FROM c)"),
     "difference_intervals": (difference_intervals, f"WITH {_J}, c AS (SELECT suite, {_CELL}, avg(y - x) AS d, {_SE} AS se FROM r GROUP BY suite), h AS (SELECT *, sqrt(pow(1.96 * se, 2) + CASE WHEN lost + gained = 0 THEN pow(1 - pow(0.025, 1.0 / n), 2) ELSE 0 END) AS w FROM c) SELECT suite, round(d - w, 9) AS lo, round(d + w, 9) AS hi FROM h"),
     "suite_mismatch": (suite_mismatch, "SELECT DISTINCT suite, 'items' AS only_in FROM verify WHERE suite NOT IN (SELECT suite FROM categories_multilingual WHERE suite IS NOT NULL) UNION ALL SELECT DISTINCT suite, 'metrics' FROM categories_multilingual WHERE suite IS NOT NULL AND suite NOT IN (SELECT suite FROM verify WHERE suite IS NOT NULL)"),
@@ -247,7 +255,7 @@ ALL = {
     "value_histogram": (value_histogram, "WITH b(le, v) AS (VALUES ('5', 5), ('10', 10), ('25', 25), ('50', 50), ('100', 100), ('250', 250), ('+Inf', NULL)) SELECT event_type, le, count(value) FILTER (WHERE v IS NULL OR value <= v) AS n FROM events, b GROUP BY ALL"),
     "value_drift": (value_drift, "WITH e AS (SELECT value, epoch_us(ts) / 1e6 AS t, min(epoch_us(ts)) OVER () / 1e6 AS a, max(epoch_us(ts)) OVER () / 1e6 AS b FROM events), m AS (SELECT quantile_cont(value, 0.5) FILTER (WHERE t <= a + 86400) AS fm, quantile_cont(value, 0.5) FILTER (WHERE t >= b - 86400) AS lm, quantile_cont(value, 0.95) FILTER (WHERE t <= a + 86400) AS fp, quantile_cont(value, 0.95) FILTER (WHERE t >= b - 86400) AS lp FROM e) SELECT round(fm, 6) AS first_median, round(lm, 6) AS last_median, round(fp, 6) AS first_p95, round(lp, 6) AS last_p95, lm <= fm * 1.5 AS median_ok, lp <= fp * 1.5 AS p95_ok FROM m"),
     "position_balance": (position_balance, _POS + ", c AS (SELECT suite, k, pos, count(*) AS c FROM v WHERE pos > 0 GROUP BY ALL) SELECT suite, k::INT AS k, sum(c)::BIGINT AS n, round(CASE WHEN sum(c) / k >= 5 THEN sum(c * c) / (sum(c) / k) - sum(c) END, 6) AS chi_square FROM c GROUP BY suite, k"),
-    "balance_p_values": (balance_p_values, None),
+    "balance_p_values": (balance_p_values, _POS + f", c AS (SELECT suite, k, pos, count(*) AS c FROM v WHERE pos > 0 GROUP BY ALL), x AS (SELECT suite, k::INT AS k, CASE WHEN sum(c) / k >= 5 THEN (sum(c * c) / (sum(c) / k) - sum(c))::DOUBLE END AS x FROM c GROUP BY suite, k) SELECT suite, k, round({_CHI}, 9) AS p_value FROM x"),
     "position_bins": (position_bins, _POS + " SELECT type, least(4, floor((pos - 1) * 5 / greatest(1, k - 1)))::INT AS bin, count(*) AS n FROM v WHERE pos > 0 GROUP BY ALL"),
     "distinct_bigrams": (distinct_bigrams, f"WITH a AS (SELECT suite, instructions, coalesce({_CODE}, 'en') AS code FROM verify v), b AS (SELECT suite, {_TOK} AS t FROM a), g AS (SELECT suite, unnest(list_transform(range(1, len(t)), lambda i: t[i] || chr(1) || t[i + 1])) AS g FROM b) SELECT suite, count(DISTINCT g) AS distinct, count(*) AS total, round(count(DISTINCT g) / count(*), 9) AS distinct_n FROM g GROUP BY suite"),
     "common_openings": (common_openings, f"WITH a AS (SELECT suite, instructions, coalesce({_CODE}, 'en') AS code FROM verify v), b AS (SELECT suite, CASE WHEN code IN ('ja', 'zh') THEN array_to_string(({_TOK})[1:3], '') ELSE array_to_string(({_TOK})[1:3], ' ') END AS prefix FROM a), c AS (SELECT suite, prefix, count(*) AS c FROM b GROUP BY ALL), r AS (SELECT *, sum(c) OVER (PARTITION BY suite) AS n, row_number() OVER (PARTITION BY suite ORDER BY CASE WHEN prefix = '' THEN 1 ELSE 0 END, c DESC, prefix) AS r FROM c) SELECT suite, n::BIGINT AS n, prefix, c AS count, round(c / n, 9) AS share FROM r WHERE r = 1"),
@@ -255,5 +263,5 @@ ALL = {
     "closed_labels": (closed_labels, "SELECT suite, type, count(DISTINCT list_sort(list_transform(options, lambda o: o.key))) AS sets, count(*) AS n, count(DISTINCT list_sort(list_transform(options, lambda o: o.key))) = 1 AS closed FROM verify GROUP BY ALL"),
     "constant_labels": (constant_labels, "WITH c AS (SELECT suite, gold, count(*) AS c FROM verify WHERE gold IS NOT NULL GROUP BY ALL), r AS (SELECT *, sum(c) OVER (PARTITION BY suite) AS n, row_number() OVER (PARTITION BY suite ORDER BY c DESC, gold DESC) AS r FROM c) SELECT suite, n::BIGINT AS n, gold, round(c / n, 9) AS share FROM r WHERE r = 1 AND n >= 20 AND c / n >= 0.4"),
     "label_vocabulary": (label_vocabulary, "SELECT suite, gold, n, rank::INT AS rank FROM (SELECT suite, gold, count(*) AS n, row_number() OVER (PARTITION BY suite ORDER BY count(*) DESC, gold) AS rank FROM verify WHERE gold IS NOT NULL GROUP BY suite, gold) WHERE rank <= 3"),
-    "sample_fingerprints": (sample_fingerprints, None),
+    "sample_fingerprints": (sample_fingerprints, "WITH h AS (SELECT suite, sha256(concat_ws(chr(31), item_id::VARCHAR, coalesce(state, chr(30)), coalesce(instructions, chr(30)), coalesce(gold, chr(30)))) AS h FROM verify) SELECT suite, count(*) AS n, sha256(concat_ws('|', sum(('0x' || substring(h, 1, 12))::BIGINT)::VARCHAR, sum(('0x' || substring(h, 13, 12))::BIGINT)::VARCHAR, count(*)::VARCHAR)) AS fingerprint FROM h GROUP BY suite"),
 }

@@ -87,8 +87,9 @@ def gram_similarity(s: SparkSession, d: str) -> DataFrame:
 
 
 def nested_texts(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "events").select("event_id", F.explode(X.nested_strings(F.col("props"))).alias("s"))
-    return v.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    """Strings at any depth of the items' states: how many there are, and their characters, by suite."""
+    v = table(s, d, "verify").select("suite", F.explode(X.nested_strings(F.col("state"))).alias("s"))
+    return v.groupBy("suite").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("distinct_strings"), F.sum(F.length("s")).alias("characters"))
 
 
 def canonical_objects(s: SparkSession, d: str) -> DataFrame:
@@ -112,6 +113,8 @@ def _guess_sql() -> str:
 
 
 _CODE = "(SELECT code FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in CODES.items()) + ") c(name, code) WHERE c.name = regexp_extract(lower(trim(v.lang)), '^([\\p{L}]+)', 1))"
+#: Strings of JSON states, and plain states as their own string.
+SQL_STRINGS = "(SELECT item_id, suite, split, t.atom ->> '$' AS s FROM (SELECT item_id, suite, split, state FROM verify WHERE json_valid(state)) v, json_tree(v.state) t WHERE t.type = 'VARCHAR' UNION ALL SELECT item_id, suite, split, state FROM verify WHERE NOT json_valid(state))"
 _EN = ", ".join(f"'{w}'" for w in X.ENGLISH_WORDS)
 _TOK = "regexp_extract_all(lower(instructions), CASE WHEN code IN ('ja', 'zh') THEN '[\\p{L}\\p{N}]' ELSE '[\\p{L}\\p{N}\\p{M}]+' END)"
 
@@ -134,7 +137,7 @@ ALL = {
     "language_codes": (language_codes, f"SELECT {_CODE} AS code, count(*) AS n FROM verify v GROUP BY 1"),
     "opening_tokens": (opening_tokens, f"WITH a AS (SELECT item_id, instructions, coalesce({_CODE}, 'en') AS code FROM verify v), b AS (SELECT item_id, code, {_TOK} AS t FROM a) SELECT item_id, len(t)::INT AS n, CASE WHEN code IN ('ja', 'zh') THEN array_to_string(t[1:3], '') ELSE array_to_string(t[1:3], ' ') END AS prefix FROM b"),
     "gram_similarity": (gram_similarity, f"WITH a AS (SELECT item_id, {sql_norm('text')} AS t FROM benchmark), b AS (SELECT item_id, list_distinct(list_transform(range(1, length(t) - 3), lambda i: substring(t, i, 5))) AS g FROM a) SELECT b.item_id, len(b.g)::INT AS n, round(len(list_intersect(b.g, c.g)) / len(list_distinct(list_concat(b.g, c.g)))::DOUBLE, 9) AS similarity FROM b JOIN b c ON c.item_id = b.item_id + 1"),
-    "nested_texts": (nested_texts, None),
-    "canonical_objects": (canonical_objects, None),
+    "nested_texts": (nested_texts, f"SELECT suite, count(*) AS n, count(DISTINCT s) AS distinct_strings, sum(length(s))::BIGINT AS characters FROM {SQL_STRINGS} GROUP BY suite"),
+    "canonical_objects": (canonical_objects, "WITH t AS (SELECT event_id, list_sort(json_keys(props)) AS k, props FROM events) SELECT event_id, '{' || array_to_string(list_transform(k, lambda x: '\"' || x || '\":' || (props -> ('$.' || x))::VARCHAR), ',') || '}' AS json FROM t"),
     "instruction_families": (instruction_families, _families_sql()),
 }
