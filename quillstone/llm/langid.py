@@ -4,9 +4,10 @@ A segment is a sentence; of a JSON state, a sentence of one of its string values
 mean of the embeddings of its hashed character n-grams, a linear layer and a softmax follow. Training
 is stochastic gradient descent in numpy on a bounded sample of labelled rows (``rows_per_language``),
 whose labels may be wrong: after a first fit, segments that the model gives to another language leave
-the training set, and the second fit starts anew. Confidence is calibrated by a temperature fitted on
-held-out segments, and the rejection threshold is the least confidence above which held-out segments
-reach the accuracy asked for; segments with too few letters are rejected, too.
+the training set, and the second fit starts anew. Sentences are learnt together with their pieces, as short as a
+segment may be, so that no single phrase decides. Confidence is calibrated on the pieces of held-out sentences, the hardest
+segments there are: a temperature of least loss, and as rejection threshold the least confidence above which they
+reach the accuracy asked for. Segments with too few letters are rejected, too.
 
 Embedding and linear layer are one product, so scoring gathers and averages one row of logits per n-gram;
 that table is what workers get, and its size is fixed.
@@ -34,13 +35,12 @@ BUCKETS = 1 << 16
 DIM = 16
 ROWS_PER_LANGUAGE = 400
 #: Steps of gradient descent, whatever the number of segments; the fit that only finds disputed labels takes half.
-STEPS = 3000
+STEPS = 2500
+#: Share of held-out pieces above the rejection threshold that must be right.
+ACCURACY = 0.9995
 #: A segment needs so many words with so many letters (or so many characters without spaces) to be a sentence.
 LEAST_WORDS, LEAST_LETTERS, LEAST_UNSPACED = 4, 12, 6
 
-#: Bounds of the rejection threshold, whatever the held-out segments say.
-THRESHOLDS = (0.95, 0.99)
-
 _END = re.compile(r"(?<=[.!?…])[\"»”')\]]*\s+|(?<=[。！？])[」』”]*|\n+")
 #: Sentence ends that need no white space behind them; found before the full-width ones become ASCII.
 _WIDE_END = re.compile(r"[！？]+[」』”’）]*|(?<=[぀-ヿ㐀-鿿])(?:．+|[!?]+(?=[぀-ヿ㐀-鿿]))")
@@ -165,7 +165,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _sgd(texts: list[str], y: np.ndarray, k: int, seed: int, least_steps: int, batch: int = 64, rate: float = 25.0) -> np.ndarray:
+def _sgd(texts: list[str], y: np.ndarray, k: int, seed: int, least_steps: int, batch: int = 64, rate: float = 50.0) -> np.ndarray:
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.1, (DIM, k)).astype(np.float32)
@@ -197,7 +197,17 @@ def _sgd(texts: list[str], y: np.ndarray, k: int, seed: int, least_steps: int, b
     return e @ w
 
 
-def fit(rows: list[tuple[str, str]], accuracy: float = 0.9999, seed: int = 5) -> LanguageModel | None:
+def pieces(cleaned: str) -> list[str]:
+    """Consecutive parts of a cleaned segment, each as short as a segment may be."""
+    words = cleaned.split()
+    if _UNSPACED.search(cleaned):
+        whole = "".join(words)
+        return [f" {whole[i : i + LEAST_UNSPACED]} " for i in range(0, len(whole) - LEAST_UNSPACED + 1, LEAST_UNSPACED)]
+    parts = (" ".join(words[i : i + LEAST_WORDS]) for i in range(0, len(words) - LEAST_WORDS + 1, LEAST_WORDS))
+    return [f" {p} " for p in parts if len(p) - LEAST_WORDS + 1 >= LEAST_LETTERS]
+
+
+def fit(rows: list[tuple[str, str]], accuracy: float = ACCURACY, seed: int = 5) -> LanguageModel | None:
     """A model from (state, language code) rows; None if there are no segments of two languages."""
     texts, names = [], []
     for state, code in rows:
@@ -212,26 +222,36 @@ def fit(rows: list[tuple[str, str]], accuracy: float = 0.9999, seed: int = 5) ->
     held = np.random.default_rng(seed).random(len(texts)) < 0.15
     if held.all() or not held.any():
         held[:] = False
-    pick = lambda at: [texts[i] for i in np.flatnonzero(at)]
-    model = LanguageModel(_sgd(pick(~held), y[~held], len(languages), seed, STEPS // 2), languages)
-    given = np.concatenate([model.logits(texts[c : c + 2000]) for c in range(0, len(texts), 2000)])
-    clear = given.argmax(axis=1) == y  # labels that the model doesn't dispute
+
+    def parts(at: np.ndarray) -> tuple[list[str], np.ndarray]:
+        found = [(p, y[i]) for i in np.flatnonzero(at) for p in pieces(texts[i])]
+        return [p for p, _ in found], np.array([k for _, k in found], dtype=np.int64)
+
+    def learn(at: np.ndarray, seed: int, steps: int) -> LanguageModel:
+        short, which = parts(at)
+        return LanguageModel(_sgd([texts[i] for i in np.flatnonzero(at)] + short, np.concatenate([y[at], which]), len(languages), seed, steps), languages)
+
+    logits = lambda m, x: np.concatenate([m.logits(x[c : c + 2000]) for c in range(0, len(x), 2000)])
+    model = learn(~held, seed, STEPS // 2)
+    clear = logits(model, texts).argmax(axis=1) == y  # labels that the model doesn't dispute
     for k in range(len(languages)):  # a language that the model hardly knows yet keeps its labels
         if clear[y == k].mean() < 0.5:
             clear[y == k] = True
     train = ~held & clear
     if len(set(y[train].tolist())) == len(languages):
-        model = LanguageModel(_sgd(pick(train), y[train], len(languages), seed + 1, STEPS), languages)
-    test = np.flatnonzero(held & clear)
-    if len(test):
-        z = np.concatenate([model.logits([texts[i] for i in test[c : c + 2000]]) for c in range(0, len(test), 2000)])
-        loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(test)), y[test]], 1e-12)).mean()
-        model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
+        model = learn(train, seed + 1, STEPS)
+    test, want = parts(held & clear)
+    if test:
+        z = logits(model, test)
+        loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(test)), want], 1e-12)).mean()
+        # without a single error any low temperature would do; one counted error in twice as many pieces is the rule of succession
+        smooth = lambda t: loss(t) + -np.log(np.maximum(1 - _softmax(z / t).max(axis=1), 1e-12)).mean() / (2 * len(test))
+        model.temperature = float(min(np.geomspace(0.05, 5, 60), key=smooth))
         p = _softmax(z / model.temperature)
-        conf, right = p.max(axis=1), p.argmax(axis=1) == y[test]
+        conf, right = p.max(axis=1), p.argmax(axis=1) == want
         by = np.argsort(-conf)
         good = np.flatnonzero(np.cumsum(right[by]) / np.arange(1, len(by) + 1) >= accuracy)
-        model.threshold = float(np.clip(conf[by][good[-1]], *THRESHOLDS)) if len(good) else THRESHOLDS[1]
+        model.threshold = float(conf[by][good[-1]]) if len(good) else 1.0
     return model
 
 

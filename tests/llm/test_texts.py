@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillstone.functions.languages import language_code_py
-from quillstone.llm.langid import clean, document_languages, fit, segment_languages, segments, train_language_model, unnamed_languages
+from quillstone.llm.langid import clean, document_languages, fit, pieces, segment_languages, segments, train_language_model, unnamed_languages
 from quillstone.llm.leaks import Passages, leaks, offsets, stream
 from quillstone.llm.looks import looks
 from quillstone.llm.mixing import Mixture, min_cost_flow
@@ -343,3 +343,17 @@ def test_sentences_in_capitals_and_full_width_ends(spark, data):
     rows = [(1, f"{en} {de.upper()}", "en"), (2, en.upper(), None), (3, en.upper(), "en"), (4, "図書館に電灯を返したいと思います！诊所没有人找得到我的包裹。", "ja")]
     segs = segment_languages(spark.createDataFrame(rows, "item_id bigint, state string, lang string"), m)
     assert {tuple(r) for r in unnamed_languages(segs).collect()} == {(1, "de"), (2, "en"), (4, "zh")}
+
+
+def test_pieces_and_calibrated_rejection(spark, data):
+    assert pieces(" the lamp was left behind the old library ") == [" the lamp was left ", " behind the old library "]
+    assert pieces(" a b c d ") == [] and pieces(" " + "図" * 13 + " ") == [" " + "図" * 6 + " "] * 2
+    v = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/verify.parquet").select("state", "lang").toPandas()
+    v["code"] = v["lang"].map(language_code_py)
+    v = v[v["code"].notna()]
+    m = fit(list(zip(v["state"].iloc[::2], v["code"].iloc[::2])))
+    # the threshold and the temperature come from held-out pieces; a text between two languages is rejected
+    assert 0.2 < m.threshold < 1 and 0.06 < m.temperature < 4
+    m.threshold = 0.5
+    sure = [q for _, q in m.predict([clean("Nobody at the clinic could find my ticket until this morning."), clean("Ehrlich gesagt, das Gerät schaltet sich ab.")])]
+    assert min(sure) > 0.9
