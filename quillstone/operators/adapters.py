@@ -199,7 +199,51 @@ def drop_constant(df: DataFrame, by: Sequence[str], share: float = 0.97, least:
     return df.join(bad, [*by, "qtype"], "left_anti").select(df.columns)
 
 
+# Kinds of claims and how they read; those that state a fact.
+CLAIMS = {"fact": "fact", "opinion": "opinion", "both": "fact and opinion", "neither": "neither"}
+FACTUAL = ["fact", "both"]
+
+
+def claim_type(df: DataFrame, text: str, label: str, src: str, lang: str = "lang") -> DataFrame:
+    """Which kind of claim a text makes, and whether it states a fact; rows with another label give nothing."""
+    s, code = _meta(src, lang)
+    kind = F.lower(F.trim(F.col(label)))
+    name = F.element_at(F.create_map(*(F.lit(x) for kv in CLAIMS.items() for x in kv)), kind)
+    known = F.when(name.isNotNull(), F.col(text))
+    return items(df, choice(known, "Which kind of claim does the text make?", F.array(*map(F.lit, CLAIMS.values())), name, s, code), noul(known, "Does the text state a fact that can be checked?", kind.isin(FACTUAL), s, code))
+
+
+# Parts of a source's category and the task of its items, the first that fits.
+TASKS = [
+    ("5-spam", "spam"), ("5-toxicity-hate", "toxicity"), ("5-safety", "moderation"), ("5-toxicity-moderation", "moderation"), ("1-sentiment", "sentiment"), ("2-emotion", "emotion"),
+    ("3-complaint", "complaint_category"), ("10-urgency", "urgency"), ("4-nli", "nli"), ("7-similarity", "similarity"), ("8-topic", "topic"), ("9-intent", "intent"),
+    ("10-stance", "stance"), ("10-argument", "stance"), ("10-sarcasm", "sarcasm"), ("10-humor", "sarcasm"), ("10-formality", "formality"), ("10-fact-check", "fact_check"),
+    ("10-claim", "fact_check"), ("10-pii", "pii"), ("10-language-id", "language_id"), ("6-reading", "reading"),
+]
+RELEVANCE = ["query", "passage", "product_title", "answer"]
+
+
+def task_of(category: Column, fields: Column, source: Column, aspects: Sequence[str] = (), dialogues: Sequence[str] = ()) -> Column:
+    """The task of a source by its category; fields and names refine sentiment, similarity and intent; null if none fits.
+
+    ``aspects`` are sources about aspects, ``dialogues`` parts of the names of dialogue sources.
+    """
+    named = F.lower(F.array_join(fields, " "))
+    has = lambda col, parts: col.rlike("|".join(parts)) if parts else F.lit(False)
+    out = F.when(source.isin(list(aspects)), "aspect_sentiment").when(F.contains(category, F.lit("prompt-injection")), "prompt_injection")
+    for part, task in TASKS:
+        hit = F.contains(category, F.lit(part))
+        if task == "sentiment":
+            out = out.when(hit & F.contains(named, F.lit("aspect")), "aspect_sentiment")
+        if task == "similarity":
+            out = out.when(hit & has(named, RELEVANCE), "relevance")
+        if task == "intent":
+            out = out.when(hit & has(F.lower(source), dialogues), "dialogue_act")
+        out = out.when(hit, task)
+    return out
+
+
 def registry() -> dict[str, Callable[..., DataFrame]]:
     """Adapters by the category of a source."""
-    return {"classification": classification, "complaint": classification, "emotion": emotion, "nli": nli, "similarity": similarity, "safety": safety, "positive": always, "keigo": error_free, "empathic": scaled, "language": translations, "reading": reading, "paired_style": paired_style, "typed": typed, "redial": mentions, "fact": facts, "pii": personal_data}
+    return {"classification": classification, "complaint": classification, "emotion": emotion, "nli": nli, "similarity": similarity, "safety": safety, "positive": always, "keigo": error_free, "empathic": scaled, "language": translations, "reading": reading, "paired_style": paired_style, "typed": typed, "redial": mentions, "fact": facts, "claim_type": claim_type, "pii": personal_data}
 

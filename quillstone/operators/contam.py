@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from quillstone.functions.text import nested_strings, norm
 
@@ -123,6 +123,55 @@ def shared_shingles(df: DataFrame, id_col: str, text: str, pool: DataFrame, pool
     return a.join(b, "_h").groupBy(id_col, pool_id).agg(F.count(F.lit(1)).alias("shared"))
 
 
+def _fingerprints(t: str, first: bool) -> list[int]:
+    """The least hash of 20-character windows in every run of 21 of them (winnowing), or in the first run only.
+
+    A run spans 40 characters, so texts that share 40 characters in a row share a fingerprint.
+    """
+    runs = CONTAINED - CHAR_SHINGLE + 1
+    codes = _codes(t[:CONTAINED] if first else t)
+    if len(codes) < CONTAINED:
+        return []
+    h = _windows(codes, CHAR_SHINGLE)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h ^ (h >> np.uint64(29)), runs).min(axis=1)).view(np.int64).tolist()
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _all_fingerprints(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: _fingerprints(t, False) if t is not None else None)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _first_fingerprint(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: _fingerprints(t, True) if t is not None else None)
+
+
+def shared_texts(df: DataFrame, id_col: str, text: str, pool: DataFrame, pool_id: str, pool_text: str) -> DataFrame:
+    """(id, pool_id, kind): rows that share a whole text with the pool; null and blank texts share none.
+
+    ``same``: normalised texts are equal. ``pool_inside`` and ``inside_pool``: one of at least 40 characters stands in
+    the other. Candidates meet by a hash join of the first fingerprint of the inner text with all of the outer one, about one for every
+    eleven characters; no such text is missed, and whole strings decide.
+    """
+    own = df.select(F.col(id_col).alias("_i"), norm(F.col(text)).alias("_t")).where("_t <> ''").distinct()
+    theirs = pool.select(F.col(pool_id).alias("_p"), norm(F.col(pool_text)).alias("_u")).where("_u <> ''").distinct()
+    equal = own.select("_i", F.sha2("_t", 256).alias("_h")).join(theirs.select("_p", F.sha2("_u", 256).alias("_h")), "_h").select("_i", "_p", F.lit("same").alias("kind"))
+
+    def met(inner: DataFrame, i: str, t: str, outer: DataFrame, o: str, u: str, kind: str) -> DataFrame:
+        hits = outer.select(o, F.explode(_all_fingerprints(u)).alias("_a")).join(inner.select(i, F.explode(_first_fingerprint(t)).alias("_a")), "_a").select(i, o).distinct()
+        both = hits.join(inner, i).join(outer, o)
+        return both.where(F.contains(u, t) & (F.col(u) != F.col(t))).select("_i", "_p", F.lit(kind).alias("kind"))
+
+    out = equal.union(met(theirs, "_p", "_u", own, "_i", "_t", "pool_inside")).union(met(own, "_i", "_t", theirs, "_p", "_u", "inside_pool"))
+    return out.distinct().select(F.col("_i").alias(id_col), F.col("_p").alias(pool_id), "kind")
+
+
+def without_shared(df: DataFrame, id_col: str, text: str, pool: DataFrame, pool_id: str, pool_text: str) -> DataFrame:
+    """Rows that share no whole text with the pool."""
+    return df.join(shared_texts(df, id_col, text, pool, pool_id, pool_text).select(id_col).distinct(), id_col, "left_anti")
+
+
 def nested_overlap(df: DataFrame, id_col: str, state: str, banned: DataFrame, ban_text: str, least: int = 30) -> DataFrame:
     """(id, strings): rows of which a string of at least ``least`` characters, at any depth, is a banned text."""
     own = df.select(F.col(id_col), F.explode(nested_strings(F.col(state))).alias("_s")).where(F.length(norm(F.col("_s"))) >= least).select(id_col, F.sha2(norm(F.col("_s")), 256).alias("_h"))

@@ -155,6 +155,11 @@ def words(col: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
+def word_hashes(col: Column) -> Column:
+    """Hashes of the distinct words of a text: cheaper to keep and to intersect."""
+    return F.transform(words(col), lambda w: F.xxhash64(w))
+
+
 class Scorer(Protocol):
     def logits(self, df: DataFrame) -> DataFrame: ...
 
@@ -164,19 +169,24 @@ class LexicalScorer:
 
     def prepare(self, states: DataFrame) -> DataFrame:
         """The words of each state, once per state and not once per question."""
-        return states.withColumn("_have", words(F.col("state")))
+        return states.withColumn("_have", word_hashes(F.col("state")))
+
+    def prepare_questions(self, questions: DataFrame) -> DataFrame:
+        """The words of each option, once per question and not once per state."""
+        return questions.withColumn("_words", F.transform("options", word_hashes))
 
     def logits(self, df: DataFrame) -> DataFrame:
-        have = F.col("_have") if "_have" in df.columns else words(F.col("state"))
-        one = lambda o: F.size(F.array_intersect(words(o), F.col("_have"))).cast("double")
-        return df.withColumn("_have", have).withColumn("logits", F.transform("options", one)).drop("_have")
+        have = df if "_have" in df.columns else self.prepare(df)
+        both = have if "_words" in df.columns else self.prepare_questions(have)
+        one = lambda w: F.size(F.array_intersect(w, F.col("_have"))).cast("double")
+        return both.withColumn("logits", F.transform("_words", one)).drop("_have", "_words")
 
 
 def score(states: DataFrame, questions: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     """Every state with every question and its ``logits``."""
     scorer = scorer or LexicalScorer()
-    prepare = getattr(scorer, "prepare", None)
-    return scorer.logits(expand(prepare(states) if prepare else states, questions))
+    ready = lambda name, df: getattr(scorer, name)(df) if hasattr(scorer, name) else df
+    return scorer.logits(expand(ready("prepare", states), ready("prepare_questions", questions)))
 
 
 class FunctionScorer:
@@ -367,56 +377,3 @@ def route_adapter(requests: DataFrame, adapters: DataFrame) -> DataFrame:
     a = adapters.select("adapter", "position", F.explode("categories").alias("family"))
     first = a.groupBy("family").agg(F.min_by("adapter", "position").alias("adapter"))
     return requests.join(F.broadcast(first), "family", "left")  # one row per family: FAMILIES bounds it
-
-
-def admission(df: DataFrame, tokens: Column, ensemble: Column, models: int = 1, work: int = 4096) -> DataFrame:
-    """Adds ``work`` (states times views times models) and ``detail`` where it exceeds the budget."""
-    cost = ensemble * models * tokens
-    return df.withColumn("work", cost).withColumn("detail", F.when(cost > work, F.concat(F.lit("work "), cost.cast("string"), F.lit(f" exceeds {work}"))))
-
-
-def validate_requests(df: DataFrame, body: str = "body") -> DataFrame:
-    """Adds ``http_status`` and ``detail`` to raw JSON requests: 200, 400 (no JSON), 413 (too large), 422 (invalid).
-
-    Duplicate keys, depth and unknown shapes are found before questions are parsed.
-    """
-
-    def depth(v: Any) -> int:
-        return 1 + max([0, *map(depth, v.values() if isinstance(v, dict) else v)]) if isinstance(v, (dict, list)) else 0
-
-    def check(raw: str | None) -> tuple[int, str | None]:
-        def pairs(items):
-            if len({k for k, _ in items}) != len(items):
-                raise QuestionError("duplicate key")
-            return dict(items)
-
-        try:
-            v = json.loads(raw or "", object_pairs_hook=pairs)
-        except QuestionError as e:
-            return 400, str(e)
-        except (ValueError, RecursionError):
-            return 400, "invalid JSON"
-        if not isinstance(v, dict):
-            return 422, "the body must be an object"
-        if depth(v) > LIMITS["depth"]:
-            return 400, "too deep"
-        states = v.get("states", [v.get("state")])
-        if not isinstance(states, list) or not states or any(s is None for s in states):
-            return 422, "state is required"
-        if any(len(s if isinstance(s, str) else json.dumps(s)) > LIMITS["text"] for s in states):
-            return 413, "state too long"
-        if not isinstance(v.get("ensemble", 1), int) or not 1 <= v.get("ensemble", 1) <= 16:
-            return 422, "ensemble must be a number from 1 to 16"
-        if not isinstance(v.get("min_confidence", 0), (int, float)) or not 0 <= v.get("min_confidence", 0) <= 1:
-            return 422, "min_confidence must be within 0 and 1"
-        try:
-            parse_questions(v.get("questions"))
-        except QuestionError as e:
-            return (413 if "more than" in str(e) or "too large" in str(e) else 422), str(e)
-        return 200, None
-
-    @F.pandas_udf("http_status int, detail string")
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([check(x) for x in s], columns=["http_status", "detail"])
-
-    return df.withColumn("_v", run(body)).select(*df.columns, "_v.http_status", "_v.detail")

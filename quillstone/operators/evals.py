@@ -83,7 +83,7 @@ def order_statistics(df: DataFrame, value: str, by: Sequence[str], positions: Ma
     inner = placed.join(held.select("_g", "_b").distinct(), ["_g", "_b"], "left_semi")
     inner = inner.withColumn("_end", F.sum("_c").over(Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
     found = inner.join(held, ["_g", "_b"]).where("at >= _base + _end - _c and at < _base + _end")
-    return found.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in positions))
+    return found.groupBy(*keys).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *(F.max(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in positions))
 
 
 def _linear(q: float) -> dict[str, Callable[[Column], Column]]:

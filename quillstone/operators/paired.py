@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -173,3 +174,29 @@ def probability_temperature(rows: DataFrame, z: str = "logits", gold: str = "gol
     i = coarse.index(t)
     a, b = coarse[max(0, i - 1)], coarse[min(15, i + 1)]
     return best([a * (b / a) ** (j / (grid // 4 - 1)) for j in range(grid // 4)])[0]
+
+
+def target_temperature(rows: DataFrame, target: float, z: str = "logits", bounds: tuple[float, float] = (1e-6, 1e6), passes: int = 6, grid: int = 32) -> float | None:
+    """The temperature at which the mean probability of the best options is ``target``; ties share theirs.
+
+    That mean falls with the temperature, so each pass evaluates a grid of them in one aggregation and goes on between two. Beyond the bounds
+    the nearer bound is taken; None without rows.
+    """
+    from quillstone.functions import probability as P
+
+    low, high = bounds
+    top = F.array_max(z)
+    ties = F.size(F.filter(z, lambda x: x == top))
+    for _ in range(passes):
+        ts = [low * (high / low) ** (i / (grid - 1)) for i in range(grid)]
+        mass = [F.avg(F.array_max(P.softmax(F.col(z), t)) * ties).alias(f"t{i}") for i, t in enumerate(ts)]
+        r = rows.where(F.col(z).isNotNull() & (F.size(z) > 0)).agg(F.count(F.lit(1)).alias("n"), *mass).first()
+        if not r["n"]:
+            return None
+        above = [i for i in range(grid) if r[f"t{i}"] > target]
+        if not above:
+            return ts[0]
+        if above[-1] == grid - 1:
+            return ts[-1]
+        low, high = ts[above[-1]], ts[above[-1] + 1]
+    return math.sqrt(low * high)

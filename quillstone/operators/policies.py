@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import probability as P
-from quillstone.functions.text import norm
+from quillstone.functions.text import language_ok, norm, script_counts
 
 # Licences that allow use and redistribution.
 PERMISSIVE = ["apache-2.0", "mit", "cc-by-4.0", "cc-by-3.0", "cc0-1.0", "cc0", "bsd-3-clause", "odc-by", "cc-by-sa-3.0", "cc-by-sa-4.0"]
@@ -22,8 +23,6 @@ def permissive(licence: Column, allowed: Sequence[str] = PERMISSIVE) -> Column:
 
 def excluded_source(src: Column, words: Sequence[str]) -> Column:
     """A source whose name has one of the words, in any case."""
-    import re
-
     return src.rlike("(?i)" + "|".join(map(re.escape, words)))
 
 
@@ -91,12 +90,81 @@ def agrees(kind: Column, gold: Column, answer: Column, options: Column) -> Colum
     return F.when(kind == "choice", F.coalesce(same | folded | F.coalesce(described, F.lit(False)), F.lit(False))).when(kind == "noul", F.coalesce(folded, F.lit(False))).otherwise(F.coalesce(same, F.lit(False)))
 
 
-def generation_faults(state: Column, question: Column, kind: Column, gold: Column, options: Column, meta: Sequence[str] = ("as an ai", "language model", "the correct answer")) -> Column:
-    """Why a generated item is unusable: the gold label in the question, talk about the task, repeated options; empty if it isn't."""
-    keys = F.transform(options, lambda o: F.lower(o["key"]))
-    leaked = (kind == "choice") & (F.length(gold) > 3) & F.contains(F.lower(question), F.lower(gold))
-    talk = F.lower(state).rlike("|".join(meta))
-    return F.array_compact(F.array(F.when(leaked, F.lit("answer_leaked")), F.when(talk, F.lit("meta_phrase")), F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.lit("duplicate_options")), F.when(F.trim(state) == "", F.lit("empty_state"))))
+def fold_key(text: Column) -> Column:
+    """A label without case, hyphens, underscores and repeated blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[-_]", " "), r"\s+", " "))
+
+
+def closed_labels(options: Column, allowed: Sequence[str]) -> Column:
+    """Options whose keys are, folded, exactly the allowed labels, respelled as these: (options, fault); one of both is null."""
+    table = F.create_map(fold_key(F.lit(allowed[0])), F.lit(allowed[0]), *(x for a in allowed[1:] for x in (fold_key(F.lit(a)), F.lit(a))))
+    canon = F.transform(options, lambda o: F.struct(F.element_at(table, fold_key(o["key"])).alias("key"), o["description"].alias("description")))
+    keys = F.transform(canon, lambda o: o["key"])
+    fault = (
+        F.when(options.isNull() | (F.size(options) == 0), "bad_options").when(F.exists(keys, lambda k: k.isNull()), "bad_key")
+        .when(F.size(F.array_distinct(keys)) < F.size(keys), "duplicate_options").when(F.size(keys) < len(allowed), "option_count")
+    )
+    return F.struct(F.when(fault.isNull(), canon).alias("options"), fault.alias("fault"))
+
+
+def names_answer(question: Column, piece: Column) -> Column:
+    """Whether a question gives a label away: as a whole word, or anywhere if it is long; labels under four characters don't count."""
+    quoted = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace(piece, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+    return F.coalesce((F.length(piece) >= 4) & (((F.length(piece) >= 12) & F.contains(norm(question), norm(piece))) | F.regexp_like(question, quoted)), F.lit(False))
+
+
+def script_ok(text: Column, lang: Column) -> Column:
+    """:func:`language_ok` with the quotas of long texts relaxed for a short label."""
+    c = script_counts(text)
+    total = c["latin"] + c["arabic"] + c["devanagari"] + c["cyrillic"] + c["kana"] + c["cjk"]
+    short_zh = (lang == "zh") & (c["cjk"] < 8)
+    short_ja = (lang == "ja") & (c["kana"] < 4)
+    return F.when(total < 4, True).when(short_zh, (c["cjk"] >= 0.5 * total) & (c["kana"] <= 1)).when(short_ja, (c["kana"] + c["cjk"] >= 0.5 * total) & (c["arabic"] < 0.1 * total)).otherwise(language_ok(text, lang))
+
+
+#: Emoticons and pictures; marks of irony.
+_EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
+
+
+def generation_faults(state: Column, question: Column, kind: Column, gold: Column, options: Column, meta: Sequence[str] = ("as an ai", "language model", "the correct answer"), unasked: Sequence[str] = (), cheats: Sequence[str] = ("/s", "sarcasm", "sarcastic", "irony", "ironic")) -> Column:
+    """Why a generated item is unusable; empty if it isn't.
+
+    ``answer_leaked``: the question names the gold label. ``meta_phrase``: state or question talk about the task. ``unasked``: a phrase that no
+    question may have (where emotions are labels: a question for emotions). ``cheat``: the state gives irony away by a tag, a picture or its
+    name. ``duplicate_options``: keys or descriptions repeat, or a key is blank. ``empty_state``.
+    """
+    keys = F.transform(options, lambda o: norm(o["key"]))
+    texts = F.filter(F.transform(options, lambda o: norm(o["description"])), lambda d: F.coalesce(d != "", F.lit(False)))
+    some = lambda col, words: F.coalesce(norm(col).rlike("|".join(map(re.escape, words))), F.lit(False)) if words else F.lit(False)
+    words = "|".join(re.escape(w) for w in cheats)
+    checks = {
+        "answer_leaked": (kind == "choice") & names_answer(question, gold), "meta_phrase": some(state, meta) | some(question, meta), "unasked": some(question, unasked),
+        "cheat": F.coalesce(state.rlike(_EMOJI) | state.rlike(rf"(?iU)(?<!\w)(?:{words})(?!\w)"), F.lit(False)),
+        "duplicate_options": (F.size(F.array_distinct(keys)) < F.size(keys)) | F.exists(keys, lambda k: F.coalesce(k == "", F.lit(True))) | (F.size(F.array_distinct(texts)) < F.size(texts)),
+        "empty_state": F.coalesce(F.trim(state) == "", F.lit(True)),
+    }
+    return F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in checks.items())))
+
+
+def config_names(config: Column) -> Column:
+    """The configurations that a text separated by bars or commas names; a null one is ``default``."""
+    return F.coalesce(F.filter(F.transform(F.split(config, r"[|,]"), lambda x: F.trim(x)), lambda x: x != ""), F.array(F.lit("default")))
+
+
+def excluded_records(df: DataFrame, exclusions: DataFrame, registry: str = "registry", source: str = "id", config: str = "config", families: Sequence[str] = ()) -> DataFrame:
+    """Rows with ``excluded``: whether a policy covers their registry, source and configuration.
+
+    ``exclusions`` has (registry, id, config, configs_only) and is configuration. In the registries of ``families`` an id covers all sources that
+    begin with it, in others the source of that name; with ``configs_only`` only rows that name the excluded configuration.
+    """
+    e = exclusions.select(F.col("registry").alias("_r"), F.col("id").alias("_id"), F.col("config").alias("_c"), F.coalesce("configs_only", F.lit(False)).alias("_only"))
+    names = df.select(registry, source, config).distinct()
+    family = F.col("_r").isin(list(families)) if families else F.lit(False)
+    by_name = F.when(family, F.startswith(F.col(source), F.col("_id"))).otherwise(F.col(source) == F.col("_id"))
+    covered = by_name & (~F.col("_only") | F.col("_c").isNull() | F.array_contains(config_names(F.col(config)), F.col("_c")))
+    # equi-join on the registry; the exclusions of one are a few rows
+    hit = names.join(e, F.col(registry) == F.col("_r")).where(covered).select(*(F.col(c).alias(f"_k_{c}") for c in (registry, source, config))).distinct().withColumn("_hit", F.lit(True))
+    return df.join(hit, [df[c].eqNullSafe(hit[f"_k_{c}"]) for c in (registry, source, config)], "left").select(*df.columns, F.coalesce("_hit", F.lit(False)).alias("excluded"))
 
 
 def stars_to_sentiment(stars: Column) -> Column:

@@ -8,7 +8,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("text", "decisions", "corpus", "evaluation")
+MODULES = ("text", "decisions", "corpus", "evaluation", "records")
 
 
 @cache

@@ -6,10 +6,9 @@ import functools
 import hashlib
 import io
 import json
-import os
 import posixpath
 import re
-import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
@@ -168,19 +167,47 @@ def pinned(spark: SparkSession, path: str, digests: dict[str, str]) -> DataFrame
 
 
 def write_pair(df: DataFrame, out: str, manifest: dict) -> dict:
-    """Writes rows and a manifest beside them, both or none: staged first, then renamed. Local paths."""
-    stage = tempfile.mkdtemp(prefix=".stage-", dir=os.path.dirname(os.path.abspath(out)))
-    df.write.mode("overwrite").parquet(os.path.join(stage, "data"))
-    rows = df.sparkSession.read.parquet(os.path.join(stage, "data")).count()
-    full = manifest | {"rows": rows}
-    with open(os.path.join(stage, "manifest"), "w", encoding="utf-8") as f:
-        json.dump(full, f, ensure_ascii=False, indent=1, sort_keys=True)
-    os.rename(os.path.join(stage, "data"), out)
-    os.replace(os.path.join(stage, "manifest"), out + ".manifest.json")
-    os.rmdir(stage)
+    """Publishes rows together with a manifest under ``out``, in any Hadoop file system.
+
+    Each publication is a folder of its own; a small file ``current`` names the one that counts and is replaced in one rename, so readers see
+    the rows of one publication with its manifest, or those of the one before.
+    """
+    spark = df.sparkSession
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{out}/{name}/data")
+    full = manifest | {"rows": spark.read.parquet(f"{out}/{name}/data").count()}
+    fs, path = _file_system(spark, out)
+    _put(spark, fs, path(f"{out}/{name}/manifest.json"), json.dumps(full, ensure_ascii=False, indent=1, sort_keys=True))
+    staged = path(f"{out}/.current-{name}")
+    _put(spark, fs, staged, name)
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri(), spark._jsc.hadoopConfiguration())
+    option = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = option
+    context.rename(staged, path(f"{out}/current"), options)
     return full
 
 
+def read_pair(spark: SparkSession, out: str) -> tuple[DataFrame, dict]:
+    """The rows and the manifest that count."""
+    name = spark.read.text(f"{out}/current").first()["value"]
+    manifest = "\n".join(r["value"] for r in spark.read.text(f"{out}/{name}/manifest.json", wholetext=True).collect())
+    return spark.read.parquet(f"{out}/{name}/data"), json.loads(manifest)
+
+
+def _file_system(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(where).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _put(spark: SparkSession, fs, path, text: str) -> None:
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def manifest_digest(path: str) -> str:
     """SHA-256 of a file, read in pieces."""
     h = hashlib.sha256()
@@ -190,17 +217,44 @@ def manifest_digest(path: str) -> str:
     return h.hexdigest()
 
 
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small table as Markdown; bars are escaped."""
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A small table as Markdown; bars are escaped. A table of more than ``most`` rows is refused, not cut."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    rows = [df.columns, ["---"] * len(df.columns), *df.limit(limit).collect()]
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows; this is for small tables")
+    rows = [df.columns, ["---"] * len(df.columns), *found]
     return "\n".join("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)
 
 
-def exposition(histogram: DataFrame, name: str, labels: Sequence[str] = ()) -> str:
-    """A cumulative histogram (labels, le, n) in the text format of metrics servers."""
+def _tags(row, labels: Sequence[str], *more: str) -> str:
+    escaped = lambda v: str(v).replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
+    parts = [*(f'{x}="{escaped(row[x])}"' for x in labels), *more]
+    return "{" + ",".join(parts) + "}" if parts else ""
+
+
+def _sorted(df: DataFrame, labels: Sequence[str]) -> list:
+    """One row per series."""
+    return (df.orderBy(*labels) if labels else df).collect()
+
+
+def samples(df: DataFrame, name: str, value: str, labels: Sequence[str] = (), kind: str = "counter") -> str:
+    """A counter or gauge, one sample per row, in the text format of metrics servers."""
+    return "\n".join([f"# TYPE {name} {kind}", *(f"{name}{_tags(r, labels)} {r[value]}" for r in _sorted(df, labels))])
+
+
+def summary(df: DataFrame, name: str, value: str, labels: Sequence[str] = ()) -> str:
+    """Sum and count of a column per series."""
+    each = df.where(F.col(value).isNotNull()).groupBy(*labels).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
+    return "\n".join([f"# TYPE {name} summary", *(f"{name}_{k}{_tags(r, labels)} {r[c]}" for r in _sorted(each, labels) for k, c in (("sum", "s"), ("count", "n")))])
+
+
+def exposition(histogram: DataFrame, name: str, labels: Sequence[str] = (), sums: DataFrame | None = None) -> str:
+    """A cumulative histogram (labels, le, n) in the text format of metrics servers; ``sums`` has (labels, s, n) of each series."""
     lines = [f"# TYPE {name} histogram"]
     for r in histogram.orderBy(*labels, F.when(F.col("le") == "+Inf", float("inf")).otherwise(F.expr("try_cast(le as double)"))).collect():
-        tags = ",".join([*(f'{x}="{r[x]}"' for x in labels), f'le="{r["le"]}"'])
-        lines.append(f"{name}_bucket{{{tags}}} {r['n']}")
+        le = f'le="{r["le"]}"'
+        lines.append(f"{name}_bucket{_tags(r, labels, le)} {r['n']}")
+    for r in _sorted(sums, labels) if sums is not None else ():
+        lines += [f"{name}_sum{_tags(r, labels)} {r['s']}", f"{name}_count{_tags(r, labels)} {r['n']}"]
     return "\n".join(lines)

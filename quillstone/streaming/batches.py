@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 #: What requests must agree in to be scored together.
 COMPATIBLE = ("questions", "max_len", "head_max_len", "adapter", "ensemble", "ensemble_margin", "calibrate", "return_logits", "min_confidence", "lang")
@@ -28,15 +29,29 @@ def drop_expired(df: DataFrame, deadline: str, now: Column | None = None) -> Dat
     return df.where(F.col(deadline).isNull() | (F.col(deadline) > (F.current_timestamp() if now is None else now)))
 
 
-def micro_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, every: str = "2 milliseconds", deadline: str | None = None, once: bool = False) -> StreamingQuery:
-    """Scores each batch, repartitioned by compatibility key, and appends answers; restarts resume from ``checkpoint``."""
+def numbered(rows: DataFrame, keys: Sequence[str], most: int, order: str) -> DataFrame:
+    """Adds ``_pass``: rows of equal keys are scored together, at most ``most`` in a pass."""
+    key = compatibility_key(keys) if keys else F.lit(0).cast("bigint")
+    keyed = rows.withColumn("_key", key)
+    i = F.row_number().over(Window.partitionBy("_key").orderBy(order)) - 1  # one micro-batch
+    return keyed.withColumn("_pass", F.concat_ws("-", F.hex("_key"), F.floor(i / most).cast("string"))).drop("_key")
+
+
+def micro_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, every: str = "2 milliseconds", deadline: str | None = None, once: bool = False, most: int = 0, order: str | None = None) -> StreamingQuery:
+    """Scores each batch, partitioned by compatibility key, and writes its answers to the partition of its epoch; restarts resume from ``checkpoint``.
+
+    A replayed epoch overwrites its own partition and nothing else, so answers are there once. With ``most`` and ``order``, rows are scored in passes
+    of at most so many compatible requests (column ``_pass``).
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
         rows = drop_expired(batch, deadline) if deadline else batch
         keys = [c for c in rows.columns if c in COMPATIBLE]
-        if keys:
+        if most and order:
+            rows = numbered(rows, keys, most, order).repartition("_pass")
+        elif keys:
             rows = rows.withColumn("_key", compatibility_key(keys)).repartition("_key")
-        score(rows.drop("_key")).withColumn("_epoch", F.lit(epoch)).write.mode("overwrite" if epoch == 0 else "append").parquet(sink)
+        score(rows.drop("_key")).write.mode("overwrite").parquet(f"{sink}/_epoch={epoch}")
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()

@@ -1,8 +1,8 @@
 import gzip
-import json
 import os
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators.evals import fixed_histogram
@@ -44,13 +44,40 @@ def test_pins_and_pairs(spark, tmp_path):
     good = io.manifest_digest(str(tmp_path / "f.txt"))
     assert io.pinned(spark, str(tmp_path / "f.txt"), {"f.txt": good}).first()["ok"] is True
     assert io.pinned(spark, str(tmp_path / "f.txt"), {"f.txt": "0"}).first()["ok"] is False
-    m = io.write_pair(spark.range(5), str(tmp_path / "pair"), {"seed": 1})
-    assert m == {"rows": 5, "seed": 1} and json.load(open(str(tmp_path / "pair") + ".manifest.json")) == m
-    assert spark.read.parquet(str(tmp_path / "pair")).count() == 5 and not [x for x in os.listdir(tmp_path) if x.startswith(".stage")]
+    out = str(tmp_path / "pair")
+    m = io.write_pair(spark.range(5), out, {"seed": 1})
+    rows, manifest = io.read_pair(spark, out)
+    assert m == manifest == {"rows": 5, "seed": 1} and rows.count() == 5
+    io.write_pair(spark.range(7), out, {"seed": 2})
+    rows, manifest = io.read_pair(spark, out)
+    assert manifest["seed"] == 2 and rows.count() == manifest["rows"] == 7
+    assert len([x for x in os.listdir(out) if x.startswith("v-")]) == 2 and not [x for x in os.listdir(out) if x.startswith(".current-")]
+
+
+def test_workbook_layouts(tmp_path):
+    ns, rel = io._SHEETS, io._LINKS
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets><sheet name="b" r:id="rId7"/><sheet name="a" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId7" Target="/xl/worksheets/sheet9.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{ns}"><si><r><t>ri</t></r><r><t>ch</t></r><rPh><t>no</t></rPh></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData/></worksheet>')
+        z.writestr("xl/worksheets/sheet9.xml", f'<worksheet xmlns="{ns}"><sheetData><row r="2"><c r="B2" t="s"><v>0</v></c><c r="AA2" t="b"><v>1</v></c><c t="inlineStr"><is><t>in</t></is></c><c t="e"><v>#N/A</v></c></row><row r="4"><c><v>1.50</v></c></row></sheetData></worksheet>')
+    got = list(io.workbook_rows((tmp_path / "w.xlsx").read_bytes()))
+    assert got[0] == [] and got[2] == [] and got[3] == ["1.50"]
+    assert got[1] == [None, "rich", *[None] * 24, "TRUE", "in", None]
+    with zipfile.ZipFile(tmp_path / "e.xlsx", "w") as z:
+        z.writestr("x", "")
+    assert list(io.workbook_rows((tmp_path / "e.xlsx").read_bytes())) == []
 
 
 def test_reports(spark):
     assert io.markdown(spark.createDataFrame([("a|b", None)], "x string, y string")) == "| x | y |\n| --- | --- |\n| a\\|b |  |"
+    with pytest.raises(ValueError):
+        io.markdown(spark.range(1001))
+    assert io.markdown(spark.range(1000)).count("\n") == 1001
+    codes = spark.createDataFrame([('2"0', 3), ("500", 1)], "code string, n int")
+    assert io.samples(codes, "requests_total", "n", ["code"]).splitlines() == ["# TYPE requests_total counter", 'requests_total{code="2\\"0"} 3', 'requests_total{code="500"} 1']
+    assert io.summary(codes, "size", "n").splitlines() == ["# TYPE size summary", "size_sum 4", "size_count 2"]
     h = fixed_histogram(spark.createDataFrame([(1.0,), (7.0,), (99.0,)], "v double"), "v", [5, 10])
     text = io.exposition(h, "ms")
     assert text.splitlines() == ["# TYPE ms histogram", 'ms_bucket{le="5"} 1', 'ms_bucket{le="10"} 2', 'ms_bucket{le="+Inf"} 3']
@@ -64,6 +91,12 @@ def test_streams(spark, tmp_path):
     q = B.micro_batches(s, lambda df: df.withColumn("n", F.length("state")), str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
     q.awaitTermination(60)
     assert {r["request_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a", "b"}
+    scored = spark.read.parquet(str(tmp_path / "out")).count()
+    s = B.requests(spark, str(src), "request_id string, state string, lang string")
+    # the same files from the start, as after a lost checkpoint: the epoch is written over, not added
+    B.micro_batches(s, lambda df: df.withColumn("n", F.length("state")), str(tmp_path / "out"), str(tmp_path / "cp2"), once=True, most=1, order="request_id").awaitTermination(60)
+    again = spark.read.parquet(str(tmp_path / "out"))
+    assert again.count() == scored and again.select("_pass").distinct().count() == 2
     live = B.drop_expired(spark.createDataFrame([(1, "2020-01-01"), (2, None)], "i int, d string").withColumn("d", F.col("d").cast("timestamp")), "d")
     assert [r["i"] for r in live.collect()] == [2]
     (tmp_path / "ev").mkdir()
