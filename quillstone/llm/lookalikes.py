@@ -38,7 +38,7 @@ def _mapped(s: Column, o: Column) -> Column:
 
 
 def _members(df: DataFrame, id_col: str, state: str, options: str) -> DataFrame:
-    """(_id, _r1, _r2, class_id, _rep): rows that look like another spelling, with the id of a canonical row; materialised."""
+    """(_id, _r1, _r2, _first, class_id, _rep): rows that look like another spelling, whether theirs is the canonical one, and the least id with that; materialised."""
     rows = df.where(F.col(state).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(state).alias("_s"), options_text(F.col(options)).alias("_o"))
     both = F.col("_s"), F.col("_o")
     keyed = cut(rows.select("_id", F.xxhash64(sql_bare(_mapped(*both))).alias("_b"), *(c.alias(k) for k, c in _raw(*both).items())))
@@ -52,18 +52,18 @@ def _members(df: DataFrame, id_col: str, state: str, options: str) -> DataFrame:
     forms = cut(forms.select("_r1", "_r2", "_s", "_o", F.xxhash64(sql_bare(mapped)).alias("_b"), mapped.alias("_m")))
     looked = forms.withColumn("_look", F.collate("_m", "UNICODE"))
     classes = looked.groupBy("_b", "_look").agg(F.min(F.struct("_s", "_o", "_r1", "_r2")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    named = looked.join(classes, ["_b", "_look"]).select("_r1", "_r2", F.col("c._r1").alias("_c1"), F.col("c._r2").alias("_c2"))
-    members = cut(chosen.join(named, ["_r1", "_r2"]))
-    reps = members.where("_r1 = _c1 and _r2 = _c2").groupBy("_c1", "_c2").agg(F.min("_id").alias("_rep"))
-    class_id = F.concat(F.lpad(F.lower(F.hex("_c1")), 16, "0"), F.lpad(F.lower(F.hex("_c2")), 16, "0"))
-    return cut(members.join(reps, ["_c1", "_c2"]).select("_id", "_r1", "_r2", class_id.alias("class_id"), "_rep"))
+    canonical = F.sha2(F.concat(F.col("c._s"), F.lit(_ITEM + _CELL), F.col("c._o")), 256)
+    named = looked.join(classes, ["_b", "_look"]).select("_r1", "_r2", ((F.col("_r1") == F.col("c._r1")) & (F.col("_r2") == F.col("c._r2"))).alias("_first"), canonical.alias("class_id"))
+    members = cut(chosen.join(named, ["_r1", "_r2"]).select("_id", "_r1", "_r2", "_first", "class_id"))
+    reps = members.where("_first").groupBy("class_id").agg(F.min("_id").alias("_rep"))
+    return cut(members.join(reps, "class_id"))
 
 
 def look_classes(df: DataFrame, id_col: str = "item_id", state: str = "state", options: str = "options") -> DataFrame:
     """Rows that look like another row but differ from it in characters.
 
     Returns (id, raw, class_id): rows with one ``class_id`` look the same; ``raw`` tells their distinct
-    spellings apart, and every class has at least two. Rows with a null id or state take no part; null options
+    spellings apart, and every class has at least two; ``class_id`` is the SHA-256 of the canonical one. Rows with a null id or state take no part; null options
     count as none; repeated rows stay one row per id. An empty table gives an empty result.
     """
     m = _members(df, id_col, state, options)
@@ -103,10 +103,9 @@ def consistent(df: DataFrame, id_col: str = "item_id", state: str = "state", opt
     members = _members(df, id_col, state, options).distinct()
     text = options_text(F.col("_o"))
     src = df.select(F.col(id_col).alias("_id"), F.col(state).alias("_s"), F.col(options).alias("_o")).withColumns(_raw(F.col("_s"), text))
-    reps = cut(members.select(F.col("_rep").alias("_id"), "class_id").distinct())
-    # a canonical row by id may have a repeated id; its spelling is that of the class
     ends = cut(members.select("_id", "_r1", "_r2", "class_id"))
-    canon = src.join(small(reps.select("_id")), "_id", "left_semi").join(ends.where(F.col("class_id") == F.concat(F.lpad(F.lower(F.hex("_r1")), 16, "0"), F.lpad(F.lower(F.hex("_r2")), 16, "0"))), ["_id", "_r1", "_r2"])
+    first = cut(members.where("_first and _id = _rep").select("_id", "_r1", "_r2", "class_id").distinct())
+    canon = src.join(small(first), ["_id", "_r1", "_r2"])
     canon = canon.groupBy("class_id").agg(F.first(F.struct("_s", "_o")).alias("c"))
     keys = ["_id", "_r1", "_r2"]
     # narrow keys travel, not the texts of all rows

@@ -145,7 +145,7 @@ _MARK = "\ufdd0"  # a noncharacter
 
 
 @functools.cache
-def _sql_parts() -> tuple[list[tuple[str, str]], str, list[tuple[str, str]]]:
+def sql_parts() -> tuple[list[tuple[str, str]], str, list[tuple[str, str]]]:
     """Characters that become one other, those that vanish, and those that become several."""
     t = table()
     single = sorted((chr(k), v) for k, v in t.items() if len(v) == 1)
@@ -160,7 +160,7 @@ def sql_looks(col: Column) -> Column:
     ``translate`` maps and deletes single characters inside the JVM. Composed and combining accents are
     left for the comparison: under the collation UNICODE they are equal.
     """
-    single, gone, several = _sql_parts()
+    single, gone, several = sql_parts()
     before, after = "".join(a for a, _ in single), "".join(b for _, b in single)
     text = F.replace(col, F.lit("\r\n"), F.lit("\n"))
     # one pass for all; characters that become several are rare and leave a mark
