@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +10,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType
 
 from quillstone.functions.text import nested_strings, norm
 
-ANCHOR, ANCHOR_STEP, LEAST = 24, 48, 80
+ANCHOR, LEAST = 24, 80
 WORD_SHINGLE, CHAR_SHINGLE, CONTAINED = 8, 20, 40
 
 
@@ -33,68 +31,6 @@ def _codes(t: str) -> np.ndarray:
     return np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
 
-def contained(df: DataFrame, id_col: str, text: str, banned: DataFrame, ban_id: str, ban_text: str, chunk_chars: int = 20_000_000) -> DataFrame:
-    """(id, ban_id, kind): exact, or one normalised text inside the other.
-
-    Banned texts of at least 80 characters have anchors of 24 characters every 48; any text that holds one, or is
-    held by one and at least 24 long, shares a whole anchor or window with it. Banned texts are taken in chunks that
-    fit a worker, and every chunk is one scan of the rows without a shuffle.
-    """
-    spark = df.sparkSession
-    bans = banned.select(F.col(ban_id).alias("_k"), norm(F.col(ban_text)).alias("_b")).where("_b <> ''").distinct()
-    chunks, size = [[]], 0
-    for r in bans.toLocalIterator():
-        if size > chunk_chars:
-            chunks.append([])
-            size = 0
-        chunks[-1].append((r[0], r[1]))
-        size += len(r[1])
-    rows = df.select(F.col(id_col).alias("_id"), norm(F.col(text)).alias("_t")).where("_t <> ''")
-    kinds = dict(rows.dtypes)["_id"], dict(bans.dtypes)["_k"]
-
-    def one(chunk: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(chunk)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            exact: dict[str, list[int]] = {}
-            anchors, owner, inner, holder = [], [], [], []
-            for k, (_, b) in enumerate(shared.value):
-                exact.setdefault(b, []).append(k)
-                if len(b) >= LEAST:
-                    w = _windows(_codes(b), ANCHOR)
-                    a = w[::ANCHOR_STEP]
-                    anchors.append(a)
-                    owner.append(np.full(len(a), k))
-                    inner.append(w)
-                    holder.append(np.full(len(w), k))
-            join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
-            anchors, owner, inner, holder = join(anchors, np.uint64), join(owner, np.int64), join(inner, np.uint64), join(holder, np.int64)
-            o, i = np.argsort(anchors, kind="stable"), np.argsort(inner, kind="stable")
-            anchors, owner, inner, holder = anchors[o], owner[o], inner[i], holder[i]
-            for b in batches:
-                out = []
-                for key, t in zip(b["_id"], b["_t"]):
-                    same = set(exact.get(t, ()))
-                    found = set()
-                    w = _windows(_codes(t), ANCHOR)
-                    if len(w) and len(anchors):
-                        lo, hi = np.searchsorted(anchors, w), np.searchsorted(anchors, w, side="right")
-                        for x, y in zip(lo[hi > lo], hi[hi > lo]):
-                            found.update(owner[x:y].tolist())
-                        x, y = np.searchsorted(inner, w[0]), np.searchsorted(inner, w[0], side="right")
-                        found.update(holder[x:y].tolist())
-                    out += [(key, shared.value[k][0], "exact") for k in same]
-                    out += [(key, shared.value[k][0], "contains") for k in found - same if shared.value[k][1] in t or t in shared.value[k][1]]
-                yield pd.DataFrame(out, columns=["id", "ban", "kind"])
-
-        return rows.mapInPandas(run, f"id {kinds[0]}, ban {kinds[1]}, kind string")
-
-    out = one(chunks[0])
-    for c in chunks[1:]:
-        out = out.union(one(c))
-    return out.select(F.col("id").alias(id_col), F.col("ban").alias(ban_id), "kind").distinct()
-
-
 def shingles_of(col: Column, n: int = WORD_SHINGLE) -> Column:
     """Word n-grams of the normalised text; of a text with fewer words its 20-character grams."""
 
@@ -123,48 +59,67 @@ def shared_shingles(df: DataFrame, id_col: str, text: str, pool: DataFrame, pool
     return a.join(b, "_h").groupBy(id_col, pool_id).agg(F.count(F.lit(1)).alias("shared"))
 
 
-def _fingerprints(t: str, first: bool) -> list[int]:
-    """The least hash of 20-character windows in every run of 21 of them (winnowing), or in the first run only.
+def _fingerprints(t: str, span: int, first: bool) -> list[int]:
+    """The least hash of windows of half of ``span`` characters in every run of windows that covers ``span`` (winnowing), or in the first run only.
 
-    A run spans 40 characters, so texts that share 40 characters in a row share a fingerprint.
+    Texts that share ``span`` characters in a row share a fingerprint.
     """
-    runs = CONTAINED - CHAR_SHINGLE + 1
-    codes = _codes(t[:CONTAINED] if first else t)
-    if len(codes) < CONTAINED:
+    k = span // 2
+    codes = _codes(t[:span] if first else t)
+    if len(codes) < span:
         return []
-    h = _windows(codes, CHAR_SHINGLE)
+    h = _windows(codes, k)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h ^ (h >> np.uint64(29)), runs).min(axis=1)).view(np.int64).tolist()
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h ^ (h >> np.uint64(29)), span - k + 1).min(axis=1)).view(np.int64).tolist()
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _all_fingerprints(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: _fingerprints(t, False) if t is not None else None)
+def fingerprints(text: Column, span: int, first: bool = False) -> Column:
+    @F.pandas_udf(ArrayType(LongType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: _fingerprints(t, span, first) if t is not None else None)
 
+    return run(text)
 
-@F.pandas_udf(ArrayType(LongType()))
-def _first_fingerprint(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: _fingerprints(t, True) if t is not None else None)
 
+def _containment(df: DataFrame, id_col: str, text: str, pool: DataFrame, pool_id: str, pool_text: str, span: int, least_pool: int, least_own: int) -> DataFrame:
+    """(_i, _p, kind): same, pool_inside (a pool text of ``least_pool`` characters or more in a row's) and inside_pool (a row's of ``least_own`` or more in a pool text).
 
-def shared_texts(df: DataFrame, id_col: str, text: str, pool: DataFrame, pool_id: str, pool_text: str) -> DataFrame:
-    """(id, pool_id, kind): rows that share a whole text with the pool; null and blank texts share none.
-
-    ``same``: normalised texts are equal. ``pool_inside`` and ``inside_pool``: one of at least 40 characters stands in
-    the other. Candidates meet by a hash join of the first fingerprint of the inner text with all of the outer one, about one for every
-    eleven characters; no such text is missed, and whole strings decide.
+    Candidates meet by a hash join of the first fingerprint of the inner text with all of the outer one, about four for every ``span``
+    characters; no such text is missed, and whole strings decide. Nothing is collected.
     """
     own = df.select(F.col(id_col).alias("_i"), norm(F.col(text)).alias("_t")).where("_t <> ''").distinct()
     theirs = pool.select(F.col(pool_id).alias("_p"), norm(F.col(pool_text)).alias("_u")).where("_u <> ''").distinct()
     equal = own.select("_i", F.sha2("_t", 256).alias("_h")).join(theirs.select("_p", F.sha2("_u", 256).alias("_h")), "_h").select("_i", "_p", F.lit("same").alias("kind"))
 
-    def met(inner: DataFrame, i: str, t: str, outer: DataFrame, o: str, u: str, kind: str) -> DataFrame:
-        hits = outer.select(o, F.explode(_all_fingerprints(u)).alias("_a")).join(inner.select(i, F.explode(_first_fingerprint(t)).alias("_a")), "_a").select(i, o).distinct()
+    def met(inner: DataFrame, i: str, t: str, least: int, outer: DataFrame, o: str, u: str, kind: str) -> DataFrame:
+        long = inner.where(F.length(t) >= max(least, span))
+        hits = outer.select(o, F.explode(fingerprints(F.col(u), span)).alias("_a")).join(long.select(i, F.explode(fingerprints(F.col(t), span, True)).alias("_a")), "_a").select(i, o).distinct()
         both = hits.join(inner, i).join(outer, o)
-        return both.where(F.contains(u, t) & (F.col(u) != F.col(t))).select("_i", "_p", F.lit(kind).alias("kind"))
+        return both.where((F.length(t) >= least) & F.contains(u, t) & (F.col(u) != F.col(t))).select("_i", "_p", F.lit(kind).alias("kind"))
+
+    out = equal.union(met(theirs, "_p", "_u", least_pool, own, "_i", "_t", "pool_inside")).union(met(own, "_i", "_t", least_own, theirs, "_p", "_u", "inside_pool"))
+    return out.distinct()
 
-    out = equal.union(met(theirs, "_p", "_u", own, "_i", "_t", "pool_inside")).union(met(own, "_i", "_t", theirs, "_p", "_u", "inside_pool"))
-    return out.distinct().select(F.col("_i").alias(id_col), F.col("_p").alias(pool_id), "kind")
+
+def shared_texts(df: DataFrame, id_col: str, text: str, pool: DataFrame, pool_id: str, pool_text: str) -> DataFrame:
+    """(id, pool_id, kind): rows that share a whole text with the pool; null and blank texts share none.
+
+    ``same``: normalised texts are equal. ``pool_inside`` and ``inside_pool``: one of at least 40 characters stands in the other.
+    """
+    return _containment(df, id_col, text, pool, pool_id, pool_text, CONTAINED, CONTAINED, CONTAINED).select(F.col("_i").alias(id_col), F.col("_p").alias(pool_id), "kind")
+
+
+def contained(df: DataFrame, id_col: str, text: str, banned: DataFrame, ban_id: str, ban_text: str) -> DataFrame:
+    """(id, ban_id, kind): ``exact``, or ``contains`` where one normalised text stands in the other.
+
+    Of banned texts those of at least 80 characters are looked for, or in; a row's text needs 24 to be found in one.
+    """
+    pairs = _containment(df, id_col, text, banned, ban_id, ban_text, ANCHOR, LEAST, ANCHOR)
+    if LEAST > ANCHOR:  # what lies in a banned text of fewer characters doesn't count
+        long = banned.where(F.length(norm(F.col(ban_text))) >= LEAST).select(F.col(ban_id).alias("_p")).distinct()
+        pairs = pairs.where("kind = 'same'").union(pairs.where("kind <> 'same'").join(long, "_p", "left_semi").select("_i", "_p", "kind"))
+    kind = F.when(F.col("kind") == "same", "exact").otherwise("contains")
+    return pairs.select(F.col("_i").alias(id_col), F.col("_p").alias(ban_id), kind.alias("kind")).distinct()
 
 
 def without_shared(df: DataFrame, id_col: str, text: str, pool: DataFrame, pool_id: str, pool_text: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import probability as P
 from quillstone.functions.text import norm
 from quillstone.operators.graph import components
-from quillstone.session import cut
+from quillstone.session import cut, spread
 
 GRAM, NEAR = 5, 0.8
 #: Registers of a signature, and the probability with which a pair at the threshold may be lost by banding, and by the sketch.
@@ -121,11 +121,13 @@ def near_links(df: DataFrame, id_col: str, text: str, t: float = NEAR) -> DataFr
     cand = cut(cand)
     need = cand.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     texts = cut(reps.join(need, "_id", "left_semi"))
-    both = cand.join(texts.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b")
+    both = spread(cand, "a").join(texts.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            ga, gb = gram_hashes(x["ta"].tolist()), gram_hashes(x["tb"].tolist())
+            once = dict(zip([*x["a"], *x["b"]], [*x["ta"], *x["tb"]]))  # a text has many candidates
+            grams = dict(zip(once, gram_hashes(list(once.values()))))
+            ga, gb = [grams[i] for i in x["a"]], [grams[i] for i in x["b"]]
             n = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(ga, gb)]
             s = np.array([k / (len(p) + len(q) - k) for k, p, q in zip(n, ga, gb)])
             yield x.assign(similarity=s)[s >= t][["a", "b", "similarity"]]

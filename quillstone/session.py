@@ -71,6 +71,13 @@ def partitions_for(spark: SparkSession, size: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def spread(df: DataFrame, key: str, rows: int = 2000) -> DataFrame:
+    """A cut table of few bytes but much work a row, by ``key`` over as many tasks as keep cores busy; adaptive execution would leave it in one."""
+    spark = df.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(max(1, min(most, -(-df.count() // rows))), key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
