@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 import ast
 import json
 import re
@@ -43,13 +44,18 @@ ENGLISH_WORDS = "the and you to is of for please my we i it this that with have
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+#: Marks and parts of syllables that may compose with their neighbours.
+_COMBINING = r"[\x{300}-\x{36f}\x{1100}-\x{11ff}\x{3099}\x{309a}]"
+
+
 def norm(col: Column) -> Column:
     """White space collapsed and trimmed, lower case: the key by which corpora compare texts."""
     return F.lower(F.trim(F.regexp_replace(col, _SPACE, " ")))
 
 
 def word_count(col: Column) -> Column:
-    """Words between white space; each kana, CJK or hangul character is a word."""
+    """Words between white space; each kana, CJK or hangul character is a word. Composed and combining spellings count alike."""
+    col = F.coalesce(nfc(F.when(col.rlike(_COMBINING), col)), col)
     rest = F.trim(F.regexp_replace(F.regexp_replace(col, WORD_CHARACTERS, " "), _SPACE, " "))
     return F.regexp_count(col, F.lit(WORD_CHARACTERS)) + F.when(rest == "", 0).otherwise(F.size(F.split(rest, " ")))
 
@@ -101,19 +107,24 @@ def script_family(col: Column) -> Column:
     return F.when(col.isNotNull(), let(script_counts(col), family))
 
 
-def guess_lang(col: Column) -> Column:
-    """Language by script, in Latin script by two or more function words if one language has the most; else empty."""
+def guess_lang(col: Column, candidates: Sequence[str] | None = None) -> Column:
+    """Language by script, in Latin script by two or more function words if one language has the most; else empty.
+
+    With ``candidates`` only these count: a script or the words of another language give none.
+    """
+    lists = {k: v for k, v in FUNCTION_WORDS.items() if candidates is None or k in candidates}
 
     def scores(padded: Column) -> Column:
         points = lambda words: sum(((F.instr(padded, w) > 0).cast("int") for w in words), F.lit(0))
-        return F.sort_array(F.array(*(F.struct(points(words).alias("n"), F.lit(k).alias("k")) for k, words in FUNCTION_WORDS.items())), asc=False)
+        return F.sort_array(F.array(*(F.struct(points(words).alias("n"), F.lit(k).alias("k")) for k, words in lists.items())), asc=False)
 
     def best(r: Column) -> Column:
         first, second = F.get(r, F.lit(0)), F.get(r, F.lit(1))
-        return F.when((first["n"] >= 2) & (first["n"] > second["n"]), first["k"]).otherwise("")
+        return F.when((first["n"] >= 2) & (first["n"] > F.coalesce(second["n"], F.lit(0))), first["k"]).otherwise("")
 
-    latin = let(let(F.concat(F.lit(" "), norm(col), F.lit(" ")), scores), best)
-    return let(script_family(col), lambda f: F.when(f == "latin", latin).otherwise(F.coalesce(f, F.lit(""))))
+    latin = let(let(F.concat(F.lit(" "), norm(col), F.lit(" ")), scores), best) if lists else F.lit("")
+    known = lambda f: F.lit(True) if candidates is None else f.isin(list(candidates))
+    return let(script_family(col), lambda f: F.when(f == "latin", latin).otherwise(F.coalesce(F.when(known(f), f), F.lit(""))))
 
 
 def looks_english(col: Column) -> Column:

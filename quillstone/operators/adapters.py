@@ -10,10 +10,10 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillstone.functions.text import human, uniform
 from quillstone.operators.policies import score_bin
+from quillstone.operators.sampling import keyed, positions, same
 
 ITEM = "struct<state:string,qtype:string,instructions:string,options:array<string>,target:array<double>,src:string,lang:string>"
 
@@ -187,8 +187,9 @@ def conversation_state(df: DataFrame, key: str, turn: str, role: str, text: str)
 
 def neighbour_pairs(df: DataFrame, text: str, order: Sequence[str], by: Sequence[str]) -> DataFrame:
     """(by, a, b): each text with the next one of its group."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("b", F.lead(text).over(w)).where("b is not null").select(*by, F.col(text).alias("a"), "b")
+    rows = positions(df.select(*by, text, *(c for c in order if c not in (*by, text))), by, order, "_i").select(*by, F.col(text).alias("_t"), "_i")
+    after = keyed(rows.select(*by, (F.col("_i") - 1).alias("_i"), F.col("_t").alias("b")), [*by, "_i"])
+    return rows.join(after, same(rows, after, [*by, "_i"])).where("b is not null").select(*by, F.col("_t").alias("a"), "b")
 
 
 def drop_constant(df: DataFrame, by: Sequence[str], share: float = 0.97, least: int = 20) -> DataFrame:

@@ -207,7 +207,7 @@ class FunctionScorer:
         return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("logits", T.ArrayType(T.DoubleType()))]))
 
 
-def layout(head: Column, options: Column, state: Column, max_len: int, head_max_len: int, keep_tail: Column, cls: str = "[CLS]", sep: str = "[SEP]", mask: str = "[MASK]") -> tuple[Column, Column, Column]:
+def layout(head: Column, options: Column, state: Column, max_len: int, head_max_len: int, keep_tail: Column, cls: str | int = "[CLS]", sep: str | int = "[SEP]", mask: str | int = "[MASK]") -> tuple[Column, Column, Column]:
     """(tokens, markers, fits) of ``[CLS] head [SEP] ([MASK] option)* [SEP] state [SEP]`` from token arrays.
 
     Options have at most 48 tokens. Where they leave the head fewer than 16 of ``head_max_len``, each is cut to
@@ -232,6 +232,22 @@ def layout(head: Column, options: Column, state: Column, max_len: int, head_max_
     return tokens, markers, F.forall(markers, lambda m: m < max_len)
 
 
+def encoded(states: DataFrame, questions: DataFrame, load: Any, cls: int, sep: int, mask: int, key: str = "state_id", max_len: int = 1024, head_max_len: int = 256) -> DataFrame:
+    """(key, qid, tokens, markers, fits): every state with every question as token ids, ready for an encoder.
+
+    ``load`` gives a :class:`quillstone.functions.tokens.Tokenizer`; states and questions are tokenized once each, before they meet.
+    """
+    from quillstone.functions.tokens import token_ids
+
+    q = questions.select("qpos", "qid", token_ids(F.concat("qtype", F.lit(" question: "), "instructions"), load).alias("_head"), "options")
+    opts = q.select("qpos", F.posexplode("options").alias("i", "o")).select("qpos", "i", token_ids(F.col("o"), load).alias("t"))
+    opts = opts.groupBy("qpos").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "t"))), lambda s: s["t"]).alias("_options"))  # the options of a question
+    q = q.drop("options").join(opts, "qpos")
+    rows = expand(states.where(F.col("state").isNotNull()).select(key, token_ids(F.col("state"), load).alias("_state")), q)
+    tokens, markers, fits = layout(F.col("_head"), F.col("_options"), F.col("_state"), max_len, head_max_len, F.lit(False), cls, sep, mask)
+    return rows.select(key, "qid", tokens.alias("tokens"), markers.alias("markers"), fits.alias("fits"))
+
+
 def temperatures(df: DataFrame, by_type: Mapping[str, float] | None = None, by_bucket: Mapping[str, float] | None = None, by_lang: Mapping[str, Mapping[str, float]] | None = None, lang: Column | None = None) -> DataFrame:
     """Adds ``temperature``: of the language's bucket, the language's type, the bucket, the type, else 1."""
     bucket = P.temperature_bucket(F.col("qtype"), F.size("options"))

@@ -9,21 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.operators.evals import macro_average
+from quillstone.operators.sampling import positions
 
 
 def consume_once(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
-    """Each left row takes the next unused right row of its key, in order; left rows without one keep nulls."""
-    turn = lambda df, order: df.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """Each left row takes the next unused right row of its key, in order; left rows without one keep nulls, and so do left rows with a null key."""
+    turn = lambda df, order: positions(df, keys, order, "_turn").drop("_turn_of")
     return turn(left, left_order).join(turn(right, right_order), [*keys, "_turn"], "left").drop("_turn")
 
 
 def half_offset_pairs(df: DataFrame, by: Sequence[str], order: Sequence[str], text: str) -> DataFrame:
     """(by, a, b): each text with the one half a group further on, wrapping: pairs that are probably unrelated."""
-    w = Window.partitionBy(*by)
-    rows = df.select(*by, F.col(text), (F.row_number().over(w.orderBy(*order)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
-    other = rows.select(*by, F.col("_i").alias("_j"), F.col(text).alias("b"))
+    rows = positions(df.select(*by, text, *(c for c in order if c not in (*by, text))), by, order, "_i").select(*by, F.col(text).alias("_t"), "_i", F.col("_i_of").alias("_n"))
+    other = rows.select(*by, F.col("_i").alias("_j"), F.col("_t").alias("b"))
     j = F.pmod(F.col("_i") + F.floor(F.col("_n") / 2), F.col("_n"))
-    a = rows.where("_n > 1").select(*by, F.col(text).alias("a"), j.alias("_j"))
+    a = rows.where("_n > 1").select(*by, F.col("_t").alias("a"), j.alias("_j"))
     return a.join(other, [*by, "_j"]).drop("_j")
 
 

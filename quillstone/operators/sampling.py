@@ -93,6 +93,16 @@ def indexed(df: DataFrame, order: Sequence[str], name: str = "_i") -> DataFrame:
     return parts.join(F.broadcast(shift), "_part").withColumn(name, F.col("_m") + F.col("_off")).drop("_part", "_m", "_off")  # one row per partition
 
 
+def positions(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "_at") -> DataFrame:
+    """Adds 0-based positions within groups: one parallel sort by group and order, less the position of each group's first row.
+
+    Unlike a window it lets a group span many tasks. Groups of nulls are groups; ``order`` should be total.
+    """
+    rows = indexed(df, [*by, *order], name)
+    first = keyed(rows.groupBy(*by).agg(F.min(name).alias("_first"), F.count(F.lit(1)).alias(f"{name}_of")), by)
+    return rows.join(first, same(rows, first, by)).withColumn(name, F.col(name) - F.col("_first")).select(*df.columns, name, f"{name}_of")
+
+
 def offset_sample(df: DataFrame, order: Sequence[str], n: int, seed: int) -> DataFrame:
     """At most ``n`` rows, one at a seeded position of each of ``n`` equal stretches of a total order."""
     rows = indexed(df, order)

@@ -214,10 +214,10 @@ def streamed_events(s: SparkSession, d: str) -> DataFrame:
     schema = table(s, d, "events").schema
     stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     w = B.windowed_metrics(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value", "1 day")
-    name = f"streamed_{uuid.uuid4().hex}"
-    q = w.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_dir(s)}/{name}").trigger(availableNow=True).start()
+    at = f"{shared_dir(s)}/streamed-{uuid.uuid4().hex}"
+    q = w.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/rows")).outputMode("complete").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.table(name).select("start", "event_type", "n", F.round("total", 4).alias("total"), "least", "most")
+    return s.read.parquet(f"{at}/rows").select("start", "event_type", "n", F.round("total", 4).alias("total"), "least", "most")
 
 
 def permissive_licences(s: SparkSession, d: str) -> DataFrame:

@@ -11,13 +11,17 @@ from quillstone.functions import tokens as K
 from quillstone.functions.languages import CODES, language_code
 from quillstone.operators import adapters as A
 from quillstone.operators import contam as C
+from quillstone.operators import decide as D_
 from quillstone.operators import dedup as D
+from quillstone.operators import evals as E
 from quillstone.operators import pairing as J
 from quillstone.operators import policies as L
 from quillstone.operators import quality as Q
 from quillstone.operators import requests as R
+from quillstone.operators import sampling as S
 from quillstone.operators import setops as O
 from quillstone.operators import suites as U
+from quillstone.plans.decisions import QUESTIONS
 from quillstone.plans.text import _EN, _n, sql_norm
 from quillstone.session import table
 
@@ -267,6 +271,60 @@ def action_features(s: SparkSession, d: str) -> DataFrame:
     return f.groupBy("suite").agg(*(F.round(F.avg(f"f.{c}"), 6).alias(c) for c in ("top1", "margin", "entropy", "options")))
 
 
+def encoded_prompts(s: SparkSession, d: str) -> DataFrame:
+    """Documents with every question as token ids of a public vocabulary."""
+    from public_tokenizers import path
+
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("state_id"), F.col("text").alias("state"))
+    e = D_.encoded(docs, D_.question_frame(s, QUESTIONS), lambda: K.Tokenizer.from_ranks(path("byte_bpe_50k.tiktoken")), 50257, 50258, 50259, max_len=384)
+    return e.select("state_id", "qid", F.size("tokens").alias("n"), F.array_join(F.col("markers").cast("array<string>"), ",").alias("markers"), "fits")
+
+
+def weighted_turns(s: SparkSession, d: str) -> DataFrame:
+    """A draw in which labels that say something are taken twice a turn."""
+    v = table(s, d, "verify").where("gold is not null").select("item_id", "suite", "gold")
+    return S.round_robin(v, ["gold"], 60, "item_id", SEED, within=["suite"], weights=F.when(F.col("gold").isin("neutral", "mixed"), 1).otherwise(2))
+
+
+def allowed_languages(s: SparkSession, d: str) -> DataFrame:
+    return L.exclude_values(table(s, d, "verify").select("suite", "lang"), "lang", ["de", "pt"]).groupBy("suite").agg(F.count(F.lit(1)).alias("n"))
+
+
+def packed_batches(s: SparkSession, d: str) -> DataFrame:
+    """Documents in batches of at most 16 rows and 20,000 padded characters, a single long one aside."""
+    b = J.pack(table(s, d, "documents").select(F.length("text").alias("n")), "n", 16, 20_000).groupBy("batch").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("top"))
+    return b.agg(F.sum("k").alias("rows"), F.min((F.col("k") <= 16) & ((F.col("k") == 1) | (F.col("k") * F.col("top") <= 20_000))).alias("within"))
+
+
+def changed_speed(s: SparkSession, d: str) -> DataFrame:
+    """The first and second half of each user's events as two versions, by type."""
+    e = table(s, d, "events").groupBy("event_type", (F.col("user_id") % 5).alias("run")).agg(F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value"))).alias("old"), F.avg(F.when(F.col("event_id") % 2 == 1, F.col("value"))).alias("new"))
+    p = E.performance_verdict(e, ["event_type"])
+    return p.select("event_type", "runs", F.round("change", 6).alias("change"), F.round("noise", 6).alias("noise"), "verdict")
+
+
+def affected_versions(s: SparkSession, d: str) -> DataFrame:
+    v = F.concat_ws(".", (F.col("event_id") % 3).cast("string"), (F.col("user_id") % 12).cast("string"))
+    v = F.when(F.col("event_id") % 11 == 0, F.concat(v, F.lit("-rc"))).otherwise(v)
+    e = table(s, d, "events").select(L.version_affected(v, [(None, "0.10"), ("1.2", "1.9")]).alias("affected"))
+    return e.groupBy("affected").agg(F.count(F.lit(1)).alias("n"))
+
+
+def registry_audit(s: SparkSession, d: str) -> DataFrame:
+    r = table(s, d, "report").where("src is not null").groupBy(F.col("src").alias("source")).agg(F.min("domain").alias("licence"), F.min(F.when(F.col("attempts") > 1, F.col("task"))).alias("owner"))
+    return L.registry_violations(r, ["owner"], ["billing"]).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+
+
+def next_passages(s: SparkSession, d: str) -> DataFrame:
+    return A.neighbour_pairs(table(s, d, "documents").select("source", "doc_id"), "doc_id", ["doc_id"], ["source"])
+
+
+def kept_questions(s: SparkSession, d: str) -> DataFrame:
+    """Yes/no items of sources whose answers are nearly all the same are dropped."""
+    v = table(s, d, "verify").where("type = 'noul' and gold in ('true', 'false')").select("item_id", F.when(F.col("gold") == "true", "all yes").otherwise("other").alias("src"), F.lit("noul").alias("qtype"), F.when(F.col("gold") == "true", F.array(F.lit(0.0), F.lit(1.0))).when(F.col("item_id") % 2 == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("target"))
+    return A.drop_constant(v, ["src"]).select("item_id")
+
+
 def looser_links(s: SparkSession, d: str) -> DataFrame:
     """Documents of one language whose 5-grams reach a similarity of 0.6."""
     docs = table(s, d, "documents").select("doc_id", "text", F.coalesce(language_code(F.col("lang")), F.lit("none")).alias("code"))
@@ -332,4 +390,13 @@ ALL = {
     "flattened_states": (flattened_states, "SELECT item_id, sha256(CASE WHEN json_valid(state) THEN coalesce(state ->> '$.body', array_to_string(json_extract_string(state, '$.*'), chr(10))) ELSE state END) AS digest FROM verify WHERE state LIKE '{%'"),
     "action_features": (action_features, f"WITH v AS (SELECT suite, list_transform({_K}, lambda k: length(k)::DOUBLE) AS z FROM verify WHERE len(options) > 0 AND len(list_filter({_K}, lambda k: k IS NULL)) = 0), e AS (SELECT suite, list_transform(z, lambda x: exp((x - list_max(z)) / 4.0)) AS e FROM v), p AS (SELECT suite, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e), f AS (SELECT suite, list_max(p) AS top1, CASE WHEN len(p) > 1 THEN list_reverse_sort(p)[1] - list_reverse_sort(p)[2] ELSE p[1] END AS margin, CASE WHEN len(p) > 1 THEN list_sum(list_transform(p, lambda x: -x * ln(least(1.0, greatest(x, 1e-12))))) / ln(len(p)::DOUBLE) ELSE 0.0 END AS entropy, len(p) / 255.0 AS options FROM p) SELECT suite, round(avg(top1), 6) AS top1, round(avg(margin), 6) AS margin, round(avg(entropy), 6) AS entropy, round(avg(options), 6)::DOUBLE AS options FROM f GROUP BY suite"),
     "looser_links": (looser_links, None),
+    "encoded_prompts": (encoded_prompts, None),
+    "weighted_turns": (weighted_turns, f"WITH r AS (SELECT item_id, suite, gold, row_number() OVER (PARTITION BY suite, gold ORDER BY {_H('item_id')}, item_id) AS r FROM verify WHERE gold IS NOT NULL), t AS (SELECT *, row_number() OVER (PARTITION BY suite ORDER BY ceil(r / CASE WHEN gold IN ('neutral', 'mixed') THEN 1 ELSE 2 END), gold, r) AS p FROM r) SELECT item_id, suite, gold FROM t WHERE p <= 60"),
+    "allowed_languages": (allowed_languages, "SELECT suite, count(*) AS n FROM verify WHERE lang IS NULL OR string_split(replace(lower(trim(lang)), '_', '-'), '-')[1] NOT IN ('de', 'pt') GROUP BY suite"),
+    "packed_batches": (packed_batches, "SELECT count(*)::BIGINT AS rows, true AS within FROM documents"),
+    "changed_speed": (changed_speed, "WITH e AS (SELECT event_type, user_id % 5 AS run, avg(value) FILTER (WHERE event_id % 2 = 0) AS o, avg(value) FILTER (WHERE event_id % 2 = 1) AS w FROM events GROUP BY ALL), d AS (SELECT event_type, (w - o) / o AS d FROM e), m AS (SELECT event_type, count(*) AS runs, median(d) AS c, min(d) AS lo, max(d) AS hi FROM d GROUP BY event_type), n AS (SELECT d.event_type, median(abs(d - c)) AS s FROM d JOIN m ON m.event_type = d.event_type GROUP BY d.event_type) SELECT m.event_type, runs, round(c, 6) AS change, round(s, 6) AS noise, CASE WHEN c > greatest(0.03, 3 * s) AND lo > 0 THEN 'slower' WHEN c < -greatest(0.03, 3 * s) AND hi < 0 THEN 'faster' ELSE 'same' END AS verdict FROM m JOIN n ON n.event_type = m.event_type"),
+    "affected_versions": (affected_versions, "WITH v AS (SELECT event_id % 3 AS a, user_id % 12 AS b, event_id % 11 = 0 AS odd FROM events) SELECT odd OR (a = 0 AND b < 10) OR (a = 1 AND b >= 2 AND b < 9) AS affected, count(*) AS n FROM v GROUP BY 1"),
+    "registry_audit": (registry_audit, "WITH r AS (SELECT src, min(domain) AS licence, min(task) FILTER (WHERE attempts > 1) AS owner FROM report WHERE src IS NOT NULL GROUP BY src) SELECT violation, count(*) AS n FROM (SELECT 'missing owner' AS violation FROM r WHERE owner IS NULL UNION ALL SELECT 'licence' FROM r WHERE coalesce(lower(trim(licence)), '') <> 'billing') GROUP BY violation"),
+    "next_passages": (next_passages, "SELECT source, a, b FROM (SELECT source, doc_id AS a, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents) WHERE b IS NOT NULL"),
+    "kept_questions": (kept_questions, "SELECT item_id FROM verify WHERE type = 'noul' AND (gold = 'false' OR (gold = 'true' AND (SELECT count(*) FROM verify WHERE type = 'noul' AND gold = 'true') < 20))"),
 }

@@ -128,7 +128,7 @@ def _families_sql() -> str:
 
 ALL = {
     "norm_text": (norm_text, f"SELECT doc_id, sha256({sql_norm('text')}) AS digest, length({sql_norm('text')}) AS n FROM documents"),
-    "word_counts": (word_counts, f"SELECT doc_id, {_n('text', X.WORD_CHARACTERS)} + len(list_filter(string_split(trim(regexp_replace(regexp_replace(text, '{X.WORD_CHARACTERS}', ' ', 'g'), '{SPACE}', ' ', 'g')), ' '), lambda x: x <> '')) AS words FROM documents"),
+    "word_counts": (word_counts, f"SELECT doc_id, {_n('nfc_normalize(text)', X.WORD_CHARACTERS)} + len(list_filter(string_split(trim(regexp_replace(regexp_replace(nfc_normalize(text), '{X.WORD_CHARACTERS}', ' ', 'g'), '{SPACE}', ' ', 'g')), ' '), lambda x: x <> '')) AS words FROM documents"),
     "script_letters": (script_letters, f"SELECT item_id, {_script_sql('state')} FROM verify"),
     "language_fits": (language_fits, f"WITH f AS ({_counted('verify v', 'item_id', 'state', f', {_CODE} AS code')}) SELECT item_id, CASE WHEN t < 4 THEN false WHEN code = 'ar' THEN {TESTS['ar']} WHEN code = 'hi' THEN {TESTS['hi']} WHEN code = 'ru' THEN {TESTS['ru']} WHEN code = 'ja' THEN {TESTS['ja']} WHEN code = 'zh' THEN {TESTS['zh']} ELSE {TESTS['latin']} END AS ok FROM f"),
     "script_families": (script_families, f"WITH f AS ({_counted('documents', 'doc_id', 'text')}) SELECT doc_id, {_family_sql()} AS family FROM f"),

@@ -273,3 +273,34 @@ def test_excluded_records(spark):
     df = spark.createDataFrame(rows, "i int, registry string, id string, config string")
     got = {r["i"]: r["excluded"] for r in L.excluded_records(df, e, families=["v5"]).collect()}
     assert {i for i, x in got.items() if x} == {1, 3, 6} and len(got) == 9
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from quillstone.__main__ import main
+
+    (tmp_path / "s.json").write_text('{"state_id": "a", "state": "the lamp is broken"}\n{"state_id": "b", "state": null}\n')
+    (tmp_path / "q.json").write_text('{"q": {"type": "choice", "instructions": "What?", "criteria": {"lamp": "a lamp", "note": "a note"}}}')
+    assert main(["decide", str(tmp_path / "s.json"), str(tmp_path / "q.json"), "--out", str(tmp_path / "out")]) == 0
+    got = spark.read.json(str(tmp_path / "out")).collect()
+    assert [(r["state_id"], r["answer"]["choice"]) for r in got] == [("a", "lamp")]
+    (tmp_path / "bad.json").write_text('{"q": {"type": "odd"}}')
+    assert main(["decide", str(tmp_path / "s.json"), str(tmp_path / "bad.json")]) == 2
+    assert main(["query", "spread_rows", data, "--rows", "3"]) == 0 and "item_id" in capsys.readouterr().out
+
+
+def test_positions_across_tasks(spark):
+    df = spark.range(5000).selectExpr("case when id % 10 < 8 then 'hot' when id % 10 = 8 then null else 'b' end as g", "-id as o").repartition(7)
+    got = S.positions(df, ["g"], ["o"], "p").collect()
+    for g, n in (("hot", 4000), (None, 500), ("b", 500)):
+        rows = sorted((r["o"], r["p"], r["p_of"]) for r in got if r["g"] == g)
+        assert [p for _, p, _ in rows] == list(range(n)) and {k for *_, k in rows} == {n}
+
+
+def test_words_and_guesses(spark):
+    from quillstone.functions.text import guess_lang, word_count
+
+    df = spark.createDataFrame([("\u304b\u3099\u304d",), ("\u1112\u1161\u11ab a",), (None,), ("plain words",)], "t string")
+    assert [r["n"] for r in df.select(word_count(F.col("t")).alias("n")).collect()] == [2, 2, None, 2]
+    t = spark.createDataFrame([("the cat and the dog are in the house",), ("это русский текст о доме",)], "t string")
+    for names, want in ((None, ["en", "ru"]), (["de", "ru"], ["", "ru"]), (["en"], ["en", ""]), ([], ["", ""])):
+        assert [r["g"] for r in t.select(guess_lang(F.col("t"), names).alias("g")).collect()] == want
