@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import probability as P
@@ -26,12 +26,13 @@ from quillstone.plans.text import _EN, _n, sql_norm
 from quillstone.session import table
 
 SEED = 20261005
-KEYS = F.transform("options", lambda o: o["key"])
+def _keys() -> Column:
+    return F.transform("options", lambda o: o["key"])
 
 
 def _bodies(s: SparkSession, d: str) -> DataFrame:
     """Items as requests: choices with their keys as criteria, an ensemble of three and calibration where the text is long."""
-    q = F.create_map(F.lit("q"), F.struct("type", "instructions", F.when(F.col("type") != "noul", KEYS).alias("criteria")))
+    q = F.create_map(F.lit("q"), F.struct("type", "instructions", F.when(F.col("type") != "noul", _keys()).alias("criteria")))
     body = F.to_json(F.struct("state", q.alias("questions"), F.lit(3).alias("ensemble"), (F.length("state") > 400).alias("calibrate"), F.when(F.col("gold").isNull(), F.lit(7)).alias("extra")))
     return table(s, d, "verify").select("item_id", "suite", "type", "state", body.alias("body"))
 
@@ -153,7 +154,7 @@ def closed_options(s: SparkSession, d: str) -> DataFrame:
 
 
 def short_label_scripts(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "verify").select("item_id", F.explode(KEYS).alias("key"), language_code(F.col("lang")).alias("code"))
+    rows = table(s, d, "verify").select("item_id", F.explode(_keys()).alias("key"), language_code(F.col("lang")).alias("code"))
     return rows.groupBy("code").agg(F.count_if(L.script_ok(F.col("key"), F.col("code"))).alias("ok"), F.count(F.lit(1)).alias("n"))
 
 
@@ -172,7 +173,7 @@ def suite_items(s: SparkSession, d: str) -> DataFrame:
 def suite_choices(s: SparkSession, d: str) -> DataFrame:
     """The items of all choices, with the options of each row and the pool's description."""
     spec = U.Suite("choices", "Which?", "gold", texts={"instructions": "Question", "state": "Text"}, choices="keys", lang="suite")
-    v = table(s, d, "verify").where("type = 'choice'").withColumn("keys", KEYS)
+    v = table(s, d, "verify").where("type = 'choice'").withColumn("keys", _keys())
     m = U.metadata(U.suite(v, spec, "item_id"), spec, "item_id")
     return m.select("lang", "n", "classes", F.array_join(F.transform(F.map_entries("gold_counts"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",").alias("counts"))
 
@@ -196,7 +197,7 @@ def source_tasks(s: SparkSession, d: str) -> DataFrame:
 
 def adapter_counts(s: SparkSession, d: str) -> DataFrame:
     """Items that each adapter makes of the items' columns, by type and answer."""
-    v = table(s, d, "verify").select("item_id", "state", "instructions", "lang", "gold", "answer", "agree", "suite", KEYS.alias("keys"), F.length("state").alias("n"))
+    v = table(s, d, "verify").select("item_id", "state", "instructions", "lang", "gold", "answer", "agree", "suite", _keys().alias("keys"), F.length("state").alias("n"))
     v = v.withColumns({"share": (F.col("n") % 101) / 100.0, "errors": F.col("n") % 3, "labels": F.array_compact(F.array(F.when(F.col("gold").isin("joy", "fear"), F.col("gold")))), "kinds": F.array_compact(F.array(F.when(F.col("n") % 5 == 0, "name"))), "texts": F.create_map(F.lit("a"), F.col("state"), F.lit("b"), F.col("instructions")), "liked": F.create_map(F.lit("x"), F.col("agree")), "target": F.transform("keys", lambda k: (k == F.col("gold")).cast("double"))})
     made = {
         "emotion": A.emotion(v, "state", "labels", ["joy", "fear", "anger"], "s"), "nli": A.nli(v.withColumn("rel", F.when(F.col("agree"), "entailment").otherwise("neutral")), "state", "instructions", "rel", "s"),
@@ -214,7 +215,7 @@ def adapter_counts(s: SparkSession, d: str) -> DataFrame:
 
 def item_functions(s: SparkSession, d: str) -> DataFrame:
     """Class numbers decoded, targets made soft, labels mapped, scored and weighted, templates filled, masks dropped; one digest per suite."""
-    v = table(s, d, "verify").select("item_id", "suite", "state", "gold", "type", KEYS.alias("keys"), F.length("state").alias("n"))
+    v = table(s, d, "verify").select("item_id", "suite", "state", "gold", "type", _keys().alias("keys"), F.length("state").alias("n"))
     t = F.transform("keys", lambda k: (k == F.col("gold")).cast("double") + 1)
     soft = L.soft_target(t, F.col("keys"), F.col("type"))
     rows = v.select(
