@@ -22,7 +22,7 @@ from quillstone.operators import sampling as S
 from quillstone.operators import setops as O
 from quillstone.operators import suites as U
 from quillstone.plans.decisions import QUESTIONS
-from quillstone.plans.text import _EN, _n, sql_norm
+from quillstone.plans.text import _EN, SHARES, TESTS, _n, _script_sql, sql_links, sql_norm
 from quillstone.session import table
 
 SEED = 20261005
@@ -358,9 +358,9 @@ ALL = {
     "licence_table": (licence_table, "WITH g AS (SELECT src, task, count(*) AS kept, list_sort(list_distinct(list(domain))) AS l FROM report WHERE src IS NOT NULL AND domain IS NOT NULL AND status = 'ok' AND reason IS NULL GROUP BY ALL) SELECT src, task, kept, array_to_string(l[1:2], ', ') || CASE WHEN len(l) > 2 THEN ' + ' || (len(l) - 2)::VARCHAR ELSE '' END AS languages FROM g"),
     "glossary_terms": (glossary_terms, f"WITH a AS (SELECT gold, nullif({_CODE}, 'none') AS lang FROM verify v WHERE gold IS NOT NULL) SELECT gold, lang, CASE WHEN gold = 'positive' AND lang = 'de' THEN 'positiv' WHEN gold = 'positive' THEN 'favourable' WHEN gold = 'negative' THEN 'unfavourable' ELSE replace(gold, '_', ' ') END AS term, count(*) AS n FROM a GROUP BY ALL"),
     "paraphrased_questions": (paraphrased_questions, f"SELECT item_id, CASE WHEN suite = 'topic' THEN replace(['What is {{focus}} about?', 'Name the subject of {{focus}}.'][1 + ('0x' || substring({_H('item_id')}, 1, 8))::BIGINT % 2], '{{focus}}', coalesce(gold, '')) WHEN suite = 'urgency' THEN 'How soon?' END AS question FROM verify"),
-    "generated_faults": (generated_faults, None),
+    "generated_faults": (generated_faults, r"WITH v AS (SELECT suite, type, gold, state, instructions, list_transform(options, lambda o: " + sql_norm("o.key") + ") AS k, list_filter(list_transform(options, lambda o: " + sql_norm("o.description") + "), lambda x: coalesce(x <> '', false)) AS t, " + sql_norm("state") + " AS s, " + sql_norm("instructions") + " AS q FROM verify), f AS (SELECT suite, unnest([" + r"CASE WHEN type = 'choice' AND length(gold) >= 4 AND ((length(gold) >= 12 AND contains(q, " + sql_norm("gold") + r")) OR regexp_matches(instructions, '(?i)(^|[^\p{L}\p{N}_])' || regexp_escape(gold) || '($|[^\p{L}\p{N}_])')) THEN 'answer_leaked' END, CASE WHEN contains(s, 'never answered') OR contains(q, 'never answered') THEN 'meta_phrase' END, CASE WHEN contains(q, 'feeling') THEN 'unasked' END, CASE WHEN regexp_matches(state, '[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]') OR regexp_matches(state, '(?i)(^|[^\p{L}\p{N}_])useless($|[^\p{L}\p{N}_])') THEN 'cheat' END, CASE WHEN len(list_distinct(k)) < len(k) OR len(list_filter(k, lambda x: coalesce(x = '', true))) > 0 OR len(list_distinct(t)) < len(t) THEN 'duplicate_options' END, CASE WHEN coalesce(trim(state) = '', true) THEN 'empty_state' END]) AS fault FROM v) SELECT suite, fault, count(*) AS n FROM f WHERE fault IS NOT NULL GROUP BY ALL"),
     "closed_options": (closed_options, f"WITH f AS (SELECT suite, options, list_transform({_K}, lambda k: trim(regexp_replace(regexp_replace(lower(k), '[-_]', ' ', 'g'), '\\s+', ' ', 'g'))) AS k FROM verify), g AS (SELECT suite, CASE WHEN options IS NULL OR len(k) = 0 THEN 'bad_options' WHEN len(list_filter(k, lambda x: x IS NULL OR x NOT IN ('positive', 'negative', 'neutral', 'mixed'))) > 0 THEN 'bad_key' WHEN len(list_distinct(k)) < len(k) THEN 'duplicate_options' WHEN len(k) < 4 THEN 'option_count' END AS fault FROM f) SELECT suite, fault, count(*) AS n, count(*) FILTER (WHERE fault IS NULL) AS kept FROM g GROUP BY ALL"),
-    "short_label_scripts": (short_label_scripts, None),
+    "short_label_scripts": (short_label_scripts, f"WITH k AS (SELECT nullif({_CODE}, 'none') AS code, unnest({_K}) AS x FROM verify v), c AS (SELECT *, {_script_sql('x')} FROM k), s AS (SELECT *, latin + arabic + devanagari + cyrillic + kana + cjk AS n, (latin + arabic + devanagari + cyrillic + kana + cjk)::DOUBLE AS t FROM c), f AS (SELECT *, {SHARES} FROM s) SELECT code, count(*) FILTER (WHERE CASE WHEN n < 4 THEN true WHEN code = 'zh' AND cjk < 8 THEN cjk >= 0.5 * n AND kana <= 1 WHEN code = 'ja' AND kana < 4 THEN kana + cjk >= 0.5 * n AND arabic < 0.1 * n WHEN code = 'ar' THEN {TESTS['ar']} WHEN code = 'hi' THEN {TESTS['hi']} WHEN code = 'ru' THEN {TESTS['ru']} WHEN code = 'ja' THEN {TESTS['ja']} WHEN code = 'zh' THEN {TESTS['zh']} ELSE {TESTS['latin']} END) AS ok, count(*) AS n FROM f GROUP BY code"),
     "excluded_sources": (excluded_sources, "WITH r AS (SELECT CASE WHEN status = 'ok' THEN 'v1' ELSE 'v2' END AS registry, src, list_transform(string_split_regex(concat_ws(' | ', task, domain), '[|,]'), lambda x: trim(x)) AS c FROM report) SELECT registry, coalesce(CASE WHEN registry = 'v1' THEN starts_with(src, 'synth') ELSE src = 'web-form' OR (src = 'human-notes' AND list_contains(c, 'topic')) END, false) AS excluded, count(*) AS n FROM r GROUP BY ALL"),
     "suite_items": (suite_items, f"WITH v AS (SELECT item_id, gold, state, {_CODE} AS lang FROM verify v WHERE suite = 'topic'), n AS (SELECT list_sort(list_distinct(list(gold) FILTER (WHERE gold IS NOT NULL))) AS names FROM v), i AS (SELECT item_id, lang, list_position(names, gold) - 1 AS gold, len(names) AS options FROM v, n WHERE trim(state) <> '' AND gold IS NOT NULL), r AS (SELECT *, {_H('item_id')} AS h, row_number() OVER (PARTITION BY lang, gold ORDER BY {_H('item_id')}, item_id) AS r FROM i), t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY r, h, item_id) AS t FROM r WHERE r <= 40) SELECT item_id, lang, gold::INT AS gold, options::INT AS options FROM t WHERE t <= 40"),
     "suite_choices": (suite_choices, f"WITH i AS (SELECT suite AS lang, list_position({_K}, gold) - 1 AS g FROM verify WHERE type = 'choice' AND len(options) >= 2 AND trim(state) <> '' AND trim(instructions) <> ''), c AS (SELECT lang, g, count(*) AS c FROM i WHERE g >= 0 GROUP BY ALL) SELECT lang, sum(c)::BIGINT AS n, count(*) AS classes, string_agg(g || ':' || c, ',' ORDER BY g) AS counts FROM c GROUP BY lang"),
@@ -390,7 +390,7 @@ ALL = {
     "json_functions": (json_functions, "SELECT event_id, k, k AS path, true AS has, '{\"k\": ' || k || '}' AS spelled, '[\"a\", ' || k || ']' AS literal, '{\"a\": [\"N/A\", 1]}' AS free FROM (SELECT event_id, props ->> '$.k' AS k FROM events)"),
     "flattened_states": (flattened_states, "SELECT item_id, sha256(CASE WHEN json_valid(state) THEN coalesce(state ->> '$.body', array_to_string(json_extract_string(state, '$.*'), chr(10))) ELSE state END) AS digest FROM verify WHERE state LIKE '{%'"),
     "action_features": (action_features, f"WITH v AS (SELECT suite, list_transform({_K}, lambda k: length(k)::DOUBLE) AS z FROM verify WHERE len(options) > 0 AND len(list_filter({_K}, lambda k: k IS NULL)) = 0), e AS (SELECT suite, list_transform(z, lambda x: exp((x - list_max(z)) / 4.0)) AS e FROM v), p AS (SELECT suite, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e), f AS (SELECT suite, list_max(p) AS top1, CASE WHEN len(p) > 1 THEN list_reverse_sort(p)[1] - list_reverse_sort(p)[2] ELSE p[1] END AS margin, CASE WHEN len(p) > 1 THEN list_sum(list_transform(p, lambda x: -x * ln(least(1.0, greatest(x, 1e-12))))) / ln(len(p)::DOUBLE) ELSE 0.0 END AS entropy, len(p) / 255.0 AS options FROM p) SELECT suite, round(avg(top1), 6) AS top1, round(avg(margin), 6) AS margin, round(avg(entropy), 6) AS entropy, round(avg(options), 6)::DOUBLE AS options FROM f GROUP BY suite"),
-    "looser_links": (looser_links, None),
+    "looser_links": (looser_links, f"WITH {sql_links('SELECT doc_id AS id, ' + sql_norm('text') + ' AS t FROM documents WHERE text IS NOT NULL', 0.6)}, c AS (SELECT doc_id, {_CODE} AS code FROM documents v) SELECT a, b, round(s, 9) AS similarity FROM l JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE x.code = y.code"),
     "encoded_prompts": (encoded_prompts, None),
     "weighted_turns": (weighted_turns, f"WITH r AS (SELECT item_id, suite, gold, row_number() OVER (PARTITION BY suite, gold ORDER BY {_H('item_id')}, item_id) AS r FROM verify WHERE gold IS NOT NULL), t AS (SELECT *, row_number() OVER (PARTITION BY suite ORDER BY ceil(r / CASE WHEN gold IN ('neutral', 'mixed') THEN 1 ELSE 2 END), gold, r) AS p FROM r) SELECT item_id, suite, gold FROM t WHERE p <= 60"),
     "allowed_languages": (allowed_languages, "SELECT suite, count(*) AS n FROM verify WHERE lang IS NULL OR string_split(replace(lower(trim(lang)), '_', '-'), '-')[1] NOT IN ('de', 'pt') GROUP BY suite"),

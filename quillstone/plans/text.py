@@ -25,6 +25,16 @@ def _script_sql(c: str) -> str:
     return ", ".join(f"{_n(c, f'[{r}]')} AS {k}" for k, r in X.SCRIPTS.items())
 
 
+def sql_links(rows: str, t: float) -> str:
+    """CTEs for ``l`` (a, b, s): distinct texts of ``rows`` (id, t) whose 5-grams reach ``t``, found by the prefixes of their rarest grams."""
+    return f"""d AS MATERIALIZED (SELECT min(id) AS id, t FROM ({rows}) WHERE t <> '' GROUP BY t),
+        g AS MATERIALIZED (SELECT id, CASE WHEN length(t) <= 5 THEN [hash(t)] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: hash(substring(t, i, 5)))) END AS g FROM d),
+        u AS MATERIALIZED (SELECT id, len(g) AS n, unnest(g) AS h FROM g), f AS (SELECT h, count(*) AS c FROM u GROUP BY h),
+        p AS MATERIALIZED (SELECT id, n, h FROM (SELECT u.id, n, u.h, row_number() OVER (PARTITION BY u.id ORDER BY c, u.h) AS p FROM u JOIN f ON f.h = u.h) WHERE p <= n - ceil({t} * n - 1e-9) + 1),
+        k AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.h = b.h AND a.id < b.id WHERE least(a.n, b.n) >= {t} * greatest(a.n, b.n) - 1e-9),
+        l AS MATERIALIZED (SELECT a, b, i / (na + nb - i)::DOUBLE AS s FROM (SELECT k.a, k.b, len(list_intersect(x.g, y.g)) AS i, len(x.g) AS na, len(y.g) AS nb FROM k JOIN g x ON x.id = k.a JOIN g y ON y.id = k.b) WHERE i / (na + nb - i)::DOUBLE >= {t})"""
+
+
 SHARES = "latin/t AS pl, arabic/t AS pa, devanagari/t AS pd, cyrillic/t AS pc, kana/t AS pk, cjk/t AS pj"
 TESTS = {
     "ar": "pa >= 0.6 AND pl < 0.25", "hi": "pd >= 0.6 AND pl < 0.25", "ru": "pc >= 0.6 AND pl < 0.25",
