@@ -70,6 +70,7 @@ def _script_tests(s: Column) -> dict[str, Column]:
     total = sum(n.values(), F.lit(0))
     p = {k: v / total for k, v in n.items()}
     foreign = p["arabic"] + p["devanagari"] + p["cyrillic"] + p["kana"] + p["cjk"]
+    # The shares and counts from which a text counts as written in a script.
     return {
         "few": total < 4,
         "ar": (p["arabic"] >= 0.6) & (p["latin"] < 0.25),

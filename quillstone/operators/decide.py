@@ -27,20 +27,20 @@ TYPES = ("choice", "score", "noul")
 LIMITS = {"questions": 64, "text": 50_000, "options": 100, "levels": 32, "total": 512, "depth": 64}
 # Keywords of each question family, as whole words.
 FAMILIES = {
-    "sentiment": "sentiment polarity",
-    "emotion": "emotion emotions emotional feeling feelings mood",
-    "complaint": "complaint complaints complain complaining",
-    "nli": "nli entailment entail entails contradiction contradict contradicts",
-    "safety": "safety unsafe toxic toxicity harmful moderation",
-    "reading": "reading comprehension passage",
-    "similarity": "similarity similar paraphrase paraphrases",
-    "topic": "topic topics",
-    "intent": "intent intents intention",
-    "stance": "stance",
-    "formality": "formality formal informal",
-    "urgency": "urgency urgent",
-    "fact_check": "fact facts factual claim claims",
-    "pii": "pii personally",
+    "sentiment": ["sentiment", "polarity"],
+    "emotion": ["emotion", "emotions", "emotional", "feeling", "feelings", "mood"],
+    "complaint": ["complaint", "complaints", "complain", "complaining"],
+    "nli": ["nli", "entailment", "entail", "entails", "contradiction", "contradict", "contradicts"],
+    "safety": ["safety", "unsafe", "toxic", "toxicity", "harmful", "moderation"],
+    "reading": ["reading", "comprehension", "passage"],
+    "similarity": ["similarity", "similar", "paraphrase", "paraphrases"],
+    "topic": ["topic", "topics"],
+    "intent": ["intent", "intents", "intention"],
+    "stance": ["stance"],
+    "formality": ["formality", "formal", "informal"],
+    "urgency": ["urgency", "urgent"],
+    "fact_check": ["fact", "facts", "factual", "claim", "claims"],
+    "pii": ["pii", "personally"],
 }
 NO, YES = "no, the statement does not hold", "yes, the statement holds"
 FILLS = ("", "N/A", "[MASK]")
@@ -371,7 +371,7 @@ def fuse(runs: Sequence[DataFrame], weights: Sequence[float], keys: Sequence[str
 def families_in(col: Column) -> Column:
     """Families with a keyword among the ASCII words of a text."""
     def hits(have: Column) -> Column:
-        return F.array_compact(F.array(*(F.when(F.arrays_overlap(have, F.array(*map(F.lit, ks.split()))), F.lit(f)) for f, ks in FAMILIES.items())))
+        return F.array_compact(F.array(*(F.when(F.arrays_overlap(have, F.array(*map(F.lit, ks))), F.lit(f)) for f, ks in FAMILIES.items())))
 
     return P.let(F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9]+"), F.lit(0)), hits)
 

@@ -132,7 +132,7 @@ _TOK = "regexp_extract_all(lower(instructions), CASE WHEN code IN ('ja', 'zh') T
 def _families_sql() -> str:
     from quillstone.operators.decide import FAMILIES
 
-    hits = ", ".join(f"CASE WHEN list_has_any(w, ['" + "', '".join(k.split()) + f"']) THEN '{f}' END" for f, k in FAMILIES.items())
+    hits = ", ".join(f"CASE WHEN list_has_any(w, ['" + "', '".join(k) + f"']) THEN '{f}' END" for f, k in FAMILIES.items())
     return f"WITH a AS (SELECT item_id, regexp_extract_all(lower(instructions), '[a-z0-9]+') AS w FROM verify), b AS (SELECT item_id, list_filter([{hits}], lambda x: x IS NOT NULL) AS h FROM a) SELECT item_id, CASE WHEN len(h) = 1 THEN h[1] END AS family FROM b"
 
 
