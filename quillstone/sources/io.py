@@ -35,9 +35,14 @@ def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, order: Sequence[str] = (), mode: str = "overwrite", compressed: bool = True) -> None:
-    """JSON lines; with an order, ranges are sorted so that the files are the same for the same rows."""
+    """JSON lines. With an order, ranges are sorted and files are named by their number only: the same rows give the same files under the same names, as long as the bounds of the ranges, which Spark samples, are the same."""
     out = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     out.write.mode(mode).json(path, compression="gzip" if compressed else "none")
+    if order and mode == "overwrite":
+        fs, at = _file_system(df.sparkSession, path)
+        names = sorted(f.getPath().getName() for f in fs.listStatus(at(path)) if f.getPath().getName().startswith("part-"))
+        for i, name in enumerate(names):
+            fs.rename(at(f"{path}/{name}"), at(f"{path}/part-{i:05d}.json" + (".gz" if compressed else "")))
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -166,6 +171,16 @@ def pinned(spark: SparkSession, path: str, digests: dict[str, str]) -> DataFrame
     return files.withColumn("ok", F.coalesce(F.col("sha256") == want, F.lit(False)))
 
 
+def read_pinned(spark: SparkSession, path: str, digests: dict[str, str]) -> DataFrame:
+    """(path, content) of files that all have their pinned digest; raises if one differs, has none or is missing."""
+    found = pinned(spark, path, digests).collect()  # one row per file
+    bad = sorted(r["path"] for r in found if not r["ok"])
+    missing = sorted(set(digests) - {r["path"].rpartition("/")[2] for r in found})
+    if bad or missing:
+        raise ValueError(f"digests differ: {bad}; missing: {missing}")
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
 def write_pair(df: DataFrame, out: str, manifest: dict) -> dict:
     """Publishes rows together with a manifest under ``out``, in any Hadoop file system.
 

@@ -20,6 +20,11 @@ def test_json_lines(spark, tmp_path):
     io.write_jsonl(df, out, ["i"])
     io.append_jsonl(df, out)
     assert io.read_jsonl(spark, out, io.PREDICTION_SCHEMA).count() == 4
+    names = lambda d: {x: (tmp_path / d / x).read_bytes() for x in os.listdir(tmp_path / d) if x.startswith("part-")}
+    many = spark.range(500).selectExpr("id", "cast(id % 7 as string) as s")
+    for d, rows in (("x", many), ("y", many.repartition(3)), ("z", many.where("id < 0"))):
+        io.write_jsonl(rows, str(tmp_path / d), ["s", "id"])
+    assert names("x") == names("y") and sorted(names("x"))[0] == "part-00000.json.gz"
     bad = tmp_path / "bad.jsonl"
     bad.write_text('{"suite": "s"}\nnope\n')
     assert [r["text"] for r in io.bad_lines(spark, str(bad), "suite string").collect()] == ["nope"]
@@ -32,6 +37,8 @@ def test_whole_json_csv_workbook(spark, tmp_path):
     assert io.read_any_json(spark, str(tmp_path / "b.json")).count() == 2
     (tmp_path / "c.csv").write_text('a,b\n1,"x, ""y"""\n2,z\n')
     assert [tuple(r) for r in io.read_csv(spark, str(tmp_path / "c.csv"), where="a = '1'").collect()] == [("1", 'x, "y"')]
+    (tmp_path / "d.csv").write_bytes(b"a\n\xff\xc3\xa9\n")
+    assert io.read_csv(spark, str(tmp_path / "d.csv")).first()["a"] == "\ufffd\u00e9"
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si></sst>")
@@ -44,6 +51,10 @@ def test_pins_and_pairs(spark, tmp_path):
     good = io.manifest_digest(str(tmp_path / "f.txt"))
     assert io.pinned(spark, str(tmp_path / "f.txt"), {"f.txt": good}).first()["ok"] is True
     assert io.pinned(spark, str(tmp_path / "f.txt"), {"f.txt": "0"}).first()["ok"] is False
+    assert bytes(io.read_pinned(spark, str(tmp_path / "f.txt"), {"f.txt": good}).first()["content"]) == b"abc"
+    for digests in ({"f.txt": "0"}, {"f.txt": good, "g.txt": good}, {}):
+        with pytest.raises(ValueError):
+            io.read_pinned(spark, str(tmp_path / "f.txt"), digests)
     out = str(tmp_path / "pair")
     m = io.write_pair(spark.range(5), out, {"seed": 1})
     rows, manifest = io.read_pair(spark, out)
