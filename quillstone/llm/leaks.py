@@ -27,13 +27,16 @@ from quillstone.llm.looks import caseless
 WORDS, CHARS = 18, 60
 ANCHOR = 24
 _OTHER = re.compile(r"[\W_]+")
+_DROPPED = bytes(i for i in range(128) if not chr(i).isalnum())
 #: Letters of scripts that are written without spaces: kana, Han, Thai, Lao, Khmer, Burmese.
 _UNSPACED = re.compile("[぀-ヿ㐀-鿿豈-﫿฀-໿က-႟ក-៿]")
 
 
 def stream(text: str | None) -> str:
     """The letters and digits of a text as they look, without case."""
-    return _OTHER.sub("", caseless(text or ""))
+    if not text:
+        return ""
+    return text.lower().encode().translate(None, _DROPPED).decode() if text.isascii() else _OTHER.sub("", caseless(text))
 
 
 def word_stream(text: str | None) -> tuple[str, list[int]]:

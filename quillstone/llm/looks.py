@@ -127,13 +127,32 @@ def _small_letters() -> dict[int, str]:
     return {ord(a.lower()): b.lower() for a, b in LOOKALIKES.items() if a.isupper() and len(a.lower()) == 1 and a.lower() not in LOOKALIKES}
 
 
+def _caseless_one(text: str) -> str:
+    return looks(looks(text).casefold().translate(_small_letters()))
+
+
+@functools.cache
+def _caseless_lookup() -> np.ndarray:
+    """What each code point becomes without case; dropped and expanding ones are marked as in :func:`lookup`."""
+    out = np.arange(SIZE, dtype=np.uint32)
+    for span in [range(0x3400), range(0xA640, 0xAC00), range(0xF900, 0xFFF0), range(0x10000, 0x20000), range(0xE0000, 0xE0200)]:
+        for cp in span:
+            if not 0xD800 <= cp < 0xE000 and (to := _caseless_one(chr(cp))) != chr(cp):
+                out[cp] = _DROP if not to else ord(to) if len(to) == 1 else _MULTI
+    return out
+
+
 def caseless(text: str) -> str:
     """The visible form without letter case: a text in capitals equals the same one in small letters.
 
     Capitals may look like Latin ones where their small letters don't (Cyrillic); both become the Latin small letter.
     """
-    t = looks(text).casefold()
-    return t if t.isascii() else looks(t.translate(_small_letters()))
+    if text.isascii():
+        return looks(text).lower()
+    codes = _caseless_lookup()[_codes(text.replace("\r\n", "\n").replace("ß", "ss"))]
+    if (codes == _MULTI).any():
+        return _caseless_one(text)
+    return unicodedata.normalize("NFC", _text(codes[codes != _DROP]))
 
 
 def looks_batch(texts) -> list[str]:
