@@ -90,11 +90,11 @@ def clean(segment: str) -> str:
     """
     s = _QUOTED.sub(" ", segment)
     unspaced = _UNSPACED.findall(s)
-    if len(unspaced) * 3 >= sum(map(len, _LATIN.findall(s))):
+    if unspaced and len(unspaced) * 3 >= sum(map(len, _LATIN.findall(s))):
         if len(unspaced) < LEAST_UNSPACED:
             return ""
         return f" {' '.join(_LETTERS.findall(_LATIN.sub(' ', s)))} "
-    whole = _LETTERS.findall(_CODE.sub(" ", _UNSPACED.sub(" ", s)))
+    whole = _LETTERS.findall(_CODE.sub(" ", _UNSPACED.sub(" ", s) if unspaced else s))
     words = [w for i, w in enumerate(whole) if not i or not w[0].isupper()]
     if sum(map(len, words[1:])) * 2 < sum(map(len, whole)):  # else most letters are small
         t = "".join(whole)
