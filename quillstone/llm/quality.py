@@ -2,7 +2,7 @@
 
 Statistics come from one pass over the whole text. For each language, the mean and covariance of prose
 are estimated robustly from all distinct documents: start at median and MAD, then a fixed number of
-concentration steps, each one distributed aggregation of sums and products over the documents close to
+concentration steps (fewer if the documents kept stay the same), each one distributed aggregation of sums and products over the documents close to
 the last estimate. A document's squared Mahalanobis distance splits exactly into contributions of
 the statistics (the terms ``z_j * (S^-1 z)_j``), which say what makes it an outlier.
 
@@ -198,9 +198,10 @@ def fit_prose(stats: DataFrame, steps: int = STEPS) -> Prose | None:
             d[at] = np.square((x[at] - median[lang]) / scale[lang]).clip(max=30).sum(axis=1)
         return d <= _KEEP
 
-    model = Prose(_moments(some, start))
+    moments = _moments(some, start)
+    model = Prose(moments)
     for _ in range(steps):
-        now = model
+        now, kept = model, {k: m[0] for k, m in moments.items()}
 
         def near(langs: np.ndarray, x: np.ndarray, now: Prose = now) -> np.ndarray:
             return now.contributions(langs, x).sum(axis=1) <= _KEEP
@@ -209,6 +210,8 @@ def fit_prose(stats: DataFrame, steps: int = STEPS) -> Prose | None:
         if not moments:
             break
         model = Prose(moments)
+        if {k: m[0] for k, m in moments.items()} == kept:  # the same documents as before: converged
+            break
     return model
 
 
