@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,8 +33,11 @@ def _codes(t: str) -> np.ndarray:
     return np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
 
+_CJK = re.compile("[぀-ヿ㐀-鿿]")
+
+
 def shingles_of(col: Column, n: int = WORD_SHINGLE) -> Column:
-    """Word n-grams of the normalised text; of a text with fewer words its 20-character grams."""
+    """Word n-grams of the normalised text; of a text with fewer words or with CJK letters, whatever its blanks, also its 20-character grams."""
 
     @F.pandas_udf(ArrayType(StringType()))
     def run(s: pd.Series) -> pd.Series:
@@ -40,9 +45,10 @@ def shingles_of(col: Column, n: int = WORD_SHINGLE) -> Column:
             if t is None:
                 return None
             w = t.split()
-            if len(w) >= n:
-                return list(dict.fromkeys(" ".join(w[i : i + n]) for i in range(len(w) - n + 1)))
-            return list(dict.fromkeys(t[i : i + CHAR_SHINGLE] for i in range(len(t) - CHAR_SHINGLE + 1)))
+            out = dict.fromkeys(" ".join(w[i : i + n]) for i in range(len(w) - n + 1))
+            if len(w) < n or _CJK.search(t):
+                out |= dict.fromkeys(t[i : i + CHAR_SHINGLE] for i in range(len(t) - CHAR_SHINGLE + 1))
+            return list(out)
 
         return s.map(one)
 

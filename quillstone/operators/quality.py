@@ -118,9 +118,10 @@ def fingerprint(df: DataFrame, by: Sequence[str], row: Column) -> DataFrame:
 def pairwise_similarity(df: DataFrame, by: Sequence[str], id_col: str, grams: str, pairs: int = 2000, seed: int = 0) -> DataFrame:
     """Mean Jaccard similarity of up to ``pairs`` seeded pairs per group: neighbours in a hashed order."""
     from quillstone.functions.text import jaccard
+    from quillstone.operators.sampling import seeded
 
     w = Window.partitionBy(*by).orderBy("_h", id_col)
-    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col)))
+    rows = df.withColumn("_h", seeded(seed, id_col))
     ranked = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= pairs + 1)
     near = ranked.withColumn("_o", F.lag(grams).over(w)).where("_o is not null")
     return near.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.avg(jaccard(F.col(grams), F.col("_o"))).alias("similarity"))

@@ -254,7 +254,7 @@ ALL = {
     "vendi_scores": (vendi_scores, None),
     "unseen_documents": (unseen_documents, f"SELECT doc_id FROM documents WHERE {sql_norm('text')} NOT IN (SELECT {sql_norm('text')} FROM benchmark)"),
     "contained_passages": (contained_passages, f"WITH d AS (SELECT doc_id, {sql_norm('text')} AS t FROM documents), b AS (SELECT item_id, {sql_norm('text')} AS u FROM benchmark) SELECT doc_id, item_id, CASE WHEN t = u THEN 'exact' ELSE 'contains' END AS kind FROM d, b WHERE t = u OR (length(u) >= 80 AND length(t) >= 24 AND (contains(t, u) OR contains(u, t)))"),
-    "shared_shingles": (shared_shingles, f"WITH n AS (SELECT 1 AS k, doc_id AS id, {sql_norm('text')} AS t FROM documents UNION ALL SELECT 2, item_id, {sql_norm('text')} FROM benchmark), w AS (SELECT k, id, t, string_split(t, ' ') AS w FROM n), g AS (SELECT k, id, unnest(list_distinct(CASE WHEN len(w) >= 8 THEN list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) ELSE list_transform(range(1, length(t) - 18), lambda i: substring(t, i, 20)) END)) AS s FROM w) SELECT a.id AS doc_id, b.id AS item_id, count(*) AS shared FROM g a JOIN g b ON a.s = b.s WHERE a.k = 1 AND b.k = 2 GROUP BY ALL"),
+    "shared_shingles": (shared_shingles, f"WITH n AS (SELECT 1 AS k, doc_id AS id, {sql_norm('text')} AS t FROM documents UNION ALL SELECT 2, item_id, {sql_norm('text')} FROM benchmark), w AS (SELECT k, id, t, string_split(t, ' ') AS w FROM n), g AS (SELECT k, id, unnest(list_distinct(list_concat(CASE WHEN len(w) >= 8 THEN list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) ELSE [] END, CASE WHEN len(w) < 8 OR regexp_matches(t, '[\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{9FFF}}]') THEN list_transform(range(1, length(t) - 18), lambda i: substring(t, i, 20)) ELSE [] END))) AS s FROM w) SELECT a.id AS doc_id, b.id AS item_id, count(*) AS shared FROM g a JOIN g b ON a.s = b.s WHERE a.k = 1 AND b.k = 2 GROUP BY ALL"),
     "nested_overlap": (nested_overlap, f"WITH s AS {SQL_STRINGS}, n AS (SELECT item_id, split, {sql_norm('s')} AS t FROM s), b AS (SELECT DISTINCT t FROM n WHERE split IN ('dev', 'test')) SELECT item_id, count(*) AS strings FROM n WHERE split = 'train' AND length(t) >= 30 AND t IN (SELECT t FROM b) GROUP BY item_id"),
     "capped_seeds": (capped_seeds, f"WITH c AS (SELECT item_id, suite, seed_key, count(*) OVER (PARTITION BY suite) AS n, count(*) OVER (PARTITION BY suite, seed_key) AS c, row_number() OVER (PARTITION BY suite, seed_key ORDER BY {_h('suite', 'item_id')}, item_id) AS r FROM verify), k AS (SELECT suite, count(DISTINCT seed_key) AS k FROM verify GROUP BY suite) SELECT item_id, c.suite, seed_key FROM c JOIN k ON k.suite = c.suite WHERE k = 1 OR r <= greatest(1, floor(n * 0.02 + 1e-9))"),
     "round_robin_sample": (round_robin_sample, f"WITH r AS (SELECT item_id, suite, gold, row_number() OVER (PARTITION BY suite, gold ORDER BY {_h('item_id')}, item_id) AS r FROM verify WHERE split = 'test' AND gold IS NOT NULL) SELECT item_id, suite, gold FROM r ORDER BY r, suite, gold LIMIT 100"),

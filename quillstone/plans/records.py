@@ -326,6 +326,13 @@ def kept_questions(s: SparkSession, d: str) -> DataFrame:
     return A.drop_constant(v, ["src"]).select("item_id")
 
 
+def mean_similarity(s: SparkSession, d: str) -> DataFrame:
+    """Mean 5-gram similarity of states that are neighbours in a seeded order, by suite."""
+    v = table(s, d, "verify").where("state is not null").select("suite", "item_id", X.char_ngrams(F.col("state")).alias("g"))
+    q = Q.pairwise_similarity(v, ["suite"], "item_id", "g", 200, SEED)
+    return q.select("suite", "pairs", F.round("similarity", 9).alias("similarity"))
+
+
 def looser_links(s: SparkSession, d: str) -> DataFrame:
     """Documents of one language whose 5-grams reach a similarity of 0.6."""
     docs = table(s, d, "documents").select("doc_id", "text", F.coalesce(language_code(F.col("lang")), F.lit("none")).alias("code"))
@@ -392,6 +399,7 @@ ALL = {
     "action_features": (action_features, f"WITH v AS (SELECT suite, list_transform({_K}, lambda k: length(k)::DOUBLE) AS z FROM verify WHERE len(options) > 0 AND len(list_filter({_K}, lambda k: k IS NULL)) = 0), e AS (SELECT suite, list_transform(z, lambda x: exp((x - list_max(z)) / 4.0)) AS e FROM v), p AS (SELECT suite, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e), f AS (SELECT suite, list_max(p) AS top1, CASE WHEN len(p) > 1 THEN list_reverse_sort(p)[1] - list_reverse_sort(p)[2] ELSE p[1] END AS margin, CASE WHEN len(p) > 1 THEN list_sum(list_transform(p, lambda x: -x * ln(least(1.0, greatest(x, 1e-12))))) / ln(len(p)::DOUBLE) ELSE 0.0 END AS entropy, len(p) / 255.0 AS options FROM p) SELECT suite, round(avg(top1), 6) AS top1, round(avg(margin), 6) AS margin, round(avg(entropy), 6) AS entropy, round(avg(options), 6)::DOUBLE AS options FROM f GROUP BY suite"),
     "looser_links": (looser_links, f"WITH {sql_links('SELECT doc_id AS id, ' + sql_norm('text') + ' AS t FROM documents WHERE text IS NOT NULL', 0.6)}, c AS (SELECT doc_id, {_CODE} AS code FROM documents v) SELECT a, b, round(s, 9) AS similarity FROM l JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE x.code = y.code"),
     "encoded_prompts": (encoded_prompts, None),
+    "mean_similarity": (mean_similarity, f"WITH v AS (SELECT suite, item_id, {_H('item_id')} AS h, {sql_norm('state')} AS t FROM verify WHERE state IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY suite ORDER BY h, item_id) AS r FROM v), g AS (SELECT suite, r, CASE WHEN length(t) <= 5 THEN list_filter([t], lambda x: x <> '') ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substring(t, i, 5))) END AS g FROM r WHERE r <= 201), p AS (SELECT a.suite, len(list_intersect(a.g, b.g)) AS i, len(a.g) AS x, len(b.g) AS y FROM g a JOIN g b ON b.suite = a.suite AND b.r = a.r - 1) SELECT suite, count(*) AS pairs, round(avg(CASE WHEN x + y = 0 THEN 1.0 ELSE i / (x + y - i)::DOUBLE END), 9) AS similarity FROM p GROUP BY suite"),
     "weighted_turns": (weighted_turns, f"WITH r AS (SELECT item_id, suite, gold, row_number() OVER (PARTITION BY suite, gold ORDER BY {_H('item_id')}, item_id) AS r FROM verify WHERE gold IS NOT NULL), t AS (SELECT *, row_number() OVER (PARTITION BY suite ORDER BY ceil(r / CASE WHEN gold IN ('neutral', 'mixed') THEN 1 ELSE 2 END), gold, r) AS p FROM r) SELECT item_id, suite, gold FROM t WHERE p <= 60"),
     "allowed_languages": (allowed_languages, "SELECT suite, count(*) AS n FROM verify WHERE lang IS NULL OR string_split(replace(lower(trim(lang)), '_', '-'), '-')[1] NOT IN ('de', 'pt') GROUP BY suite"),
     "packed_batches": (packed_batches, "SELECT count(*)::BIGINT AS rows, true AS within FROM documents"),
