@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import probability as P
 from quillstone.functions.text import norm
 from quillstone.operators.graph import components
-from quillstone.session import cut, spread
+from quillstone.session import cut, partitions_for, spread
 
 GRAM, NEAR = 5, 0.8
 #: Registers of a signature, and the probability with which a pair at the threshold may be lost by banding, and by the sketch.
@@ -114,11 +114,13 @@ def near_links(df: DataFrame, id_col: str, text: str, t: float = NEAR) -> DataFr
             yield pd.DataFrame(out | {w: np.repeat(sketch[:, i], m) for i, w in enumerate(words)})
 
     kind = dict(reps.dtypes)["_id"]
-    keyed = reps.mapInPandas(bands, f"key bigint, _id {kind}, n int, {', '.join(f'{w} bigint' for w in words)}").repartition("key")
+    keyed = reps.mapInPandas(bands, f"key bigint, _id {kind}, n int, {', '.join(f'{w} bigint' for w in words)}")
     a, b = (keyed.select("key", F.col("_id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(w).alias(f"{w}_{x}") for w in words)) for x in "ab")
     unequal = " + ".join(f"bit_count({w}_a ^ {w}_b)" for w in words)
-    cand = a.join(b, "key").where(f"a < b and least(n_a, n_b) >= {t} * greatest(n_a, n_b) - 1e-9 and {unequal} <= {PERMUTATIONS - least}").select("a", "b").distinct()
-    cand = cut(cand)
+    near = f"a < b and least(n_a, n_b) >= {t} * greatest(n_a, n_b) - 1e-9 and {unequal} <= {PERMUTATIONS - least}"
+    # both sides reach the join straight from their exchange, so that adaptive execution can split a hot band over tasks
+    with partitions_for(df.sparkSession, reps.count() * band_count(t, depth) * (20 + 8 * len(words)) * 2):
+        cand = cut(a.join(b, "key").where(near).select("a", "b").distinct())
     need = cand.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     texts = cut(reps.join(need, "_id", "left_semi"))
     both = spread(cand, "a").join(texts.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b")
