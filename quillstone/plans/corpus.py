@@ -248,7 +248,7 @@ ALL = {
     "exact_classes": (exact_classes, f"SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS copies FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY {sql_norm('text')})"),
     "first_copies": (first_copies, f"SELECT min(item_id) AS item_id FROM verify GROUP BY {sql_norm('state')}, instructions"),
     "near_classes": (near_classes, f"WITH RECURSIVE {sql_links('SELECT doc_id AS id, ' + sql_norm('text') + ' AS t FROM documents WHERE text IS NOT NULL', 0.8)}, w AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l), walk(node, root) AS (SELECT id, id FROM d UNION SELECT w.b, walk.root FROM walk JOIN w ON w.a = walk.node), c AS (SELECT node, min(root) AS root FROM walk GROUP BY node), e AS (SELECT a, count(*) AS links FROM w GROUP BY a) SELECT doc_id, c.root AS class_id, count(*) OVER (PARTITION BY d.id) AS copies, coalesce(e.links, 0) AS links FROM documents x JOIN d ON d.t = {sql_norm('x.text')} JOIN c ON c.node = d.id LEFT JOIN e ON e.a = d.id"),
-    "greedy_kept": (greedy_kept, None),
+    "greedy_kept": (greedy_kept, f"WITH RECURSIVE {sql_links('SELECT doc_id AS id, ' + sql_norm('text') + ' AS t FROM documents WHERE text IS NOT NULL', 0.8)}, e AS (SELECT b AS id, list(a) AS early FROM l GROUP BY b), v AS (SELECT a AS id FROM l UNION SELECT b FROM l), n AS MATERIALIZED (SELECT v.id, coalesce(e.early, []) AS early, row_number() OVER (ORDER BY v.id) AS pos FROM v LEFT JOIN e ON e.id = v.id), walk(pos, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.pos, CASE WHEN len(list_intersect(kept, n.early)) = 0 THEN list_append(kept, n.id) ELSE kept END FROM walk JOIN n ON n.pos = walk.pos + 1), w AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM walk ORDER BY pos DESC LIMIT 1)) SELECT id AS doc_id FROM d WHERE id NOT IN (SELECT id FROM n) OR id IN (SELECT id FROM w)"),
     "similar_vectors": (similar_vectors, "SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3"),
     "neighbour_shares": (neighbour_shares, "WITH l AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3), k AS (SELECT label, count(DISTINCT a) AS near FROM l GROUP BY label) SELECT e.label, count(*) AS n, round(CASE WHEN count(*) > 1 THEN coalesce(max(near), 0) / count(*) END, 9) AS share FROM embeddings e LEFT JOIN k ON k.label = e.label GROUP BY e.label"),
     "vendi_scores": (vendi_scores, None),
