@@ -151,7 +151,8 @@ class CategorySample:
         totals[0] = max(min(self.size, have.sum()), need.sum())
         soft = np.full(len(totals), 0.1 * max(1, self.size))
         soft[0] = 0.0
-        return calibrate(np.maximum(target, 1e-6), features, totals, need, have, soft)
+        rows = calibrate(np.maximum(target, 1e-6), features, totals, need, have, soft)
+        return np.where(np.abs(rows - have) <= 1e-9 * have, have, rows)  # logarithms leave a rounding error at the bound
 
     def sample(self) -> DataFrame:
         """(id, lang, gold) of the rows drawn."""
@@ -203,6 +204,6 @@ class CategorySample:
         out = []
         for i, c in enumerate(self.cats):
             n, planned = drawn.get(c, 0), float(self.planned[i])
-            saturated = planned >= self.have[i] - 1e-6
-            out.append((self.names[i], c[1], float(self.share[i]), int(self.floor[i]), float(self.target[i]), int(self.have[i]), planned, n, n / whole if whole else 0.0, not (saturated and planned < self.target[i] - 1e-6)))
+            saturated = planned >= self.have[i]
+            out.append((self.names[i], c[1], float(self.share[i]), int(self.floor[i]), float(self.target[i]), int(self.have[i]), planned, n, n / whole if whole else 0.0, not (saturated and planned < self.target[i] - 1e-9)))
         return self.spark.createDataFrame(out, "lang string, gold string, share double, min_rows int, target double, available bigint, planned double, sampled bigint, share_reached double, met boolean")
