@@ -13,21 +13,24 @@ from pyspark.sql import functions as F
 from quillstone.functions import probability as P
 from quillstone.functions.text import norm
 from quillstone.operators.graph import components
-from quillstone.session import cut, partitions_for, spread
+from quillstone.session import cut, partitions_for, small, spread, widened
 
 GRAM, NEAR = 5, 0.8
-#: Registers of a signature, and the probability with which a pair at the threshold may be lost by banding, and by the sketch.
-PERMUTATIONS, LOSS = 192, 1e-9
+#: Registers of a signature, the most bands, and the probability with which a pair at the threshold may be lost by banding, and by the sketch.
+PERMUTATIONS, BANDS, LOSS = 384, 36, 1e-6
 
 
-def band_rows(t: float) -> int:
-    """The most rows of a band with which a pair at ``t`` shares none of the bands with a probability of ``LOSS`` at most."""
-    return max([r for r in range(1, PERMUTATIONS + 1) if (1 - t**r) ** (PERMUTATIONS // r) <= LOSS], default=1)
+def band_count(t: float, rows: int) -> int:
+    """The fewest bands of so many rows that keep a pair at ``t`` but with a probability of ``LOSS``."""
+    return 1 if t >= 1 else math.ceil(math.log(LOSS) / math.log1p(-(t**rows)))
 
 
-def band_count(t: float, rows: int) -> int:
-    """The fewest bands of so many rows that keep a pair at ``t`` but with a probability of ``LOSS``, as far as registers go."""
-    return PERMUTATIONS // rows if t >= 1 else min(PERMUTATIONS // rows, math.ceil(math.log(LOSS) / math.log1p(-(t**rows))))
+def band_rows(t: float) -> int:
+    """The most rows for which ``BANDS`` bands suffice; raises where even one row does not."""
+    fit = [r for r in range(1, PERMUTATIONS + 1) if band_count(t, r) <= BANDS and band_count(t, r) * r <= PERMUTATIONS]
+    if not fit:
+        raise ValueError(f"a threshold of {t} needs more than {BANDS} bands")
+    return max(fit)
 
 
 def sketch_least(t: float, bits: int = PERMUTATIONS, loss: float = LOSS) -> int:
@@ -73,56 +76,61 @@ def gram_hashes(texts: Sequence[str], n: int = GRAM) -> list[np.ndarray]:
 
 
 def minhash(grams: Sequence[np.ndarray], permutations: int = PERMUTATIONS, seed: int = 17) -> np.ndarray:
-    """Signatures by multiply-shift hashing of the gram hashes."""
+    """Signatures by multiply-shift hashing of the gram hashes, in pieces of a bounded size."""
     rng = np.random.default_rng(seed)
-    a = rng.integers(1, 1 << 63, permutations, dtype=np.uint64)[:, None] | np.uint64(1)
-    b = rng.integers(0, 1 << 63, permutations, dtype=np.uint64)[:, None]
-    out = np.zeros((len(grams), permutations), dtype=np.uint64)
+    a = rng.integers(0, 1 << 32, permutations, dtype=np.uint32)[:, None] | np.uint32(1)
+    b = rng.integers(0, 1 << 32, permutations, dtype=np.uint32)[:, None]
+    out = np.zeros((len(grams), permutations), dtype=np.uint32)
     for i, g in enumerate(grams):
         if len(g):
-            out[i] = (a * g + b).min(axis=1) >> np.uint64(24)
+            x = (g ^ (g >> np.uint64(32))).astype(np.uint32)
+            out[i] = np.min([(a * x[c : c + 4096] + b).min(axis=1) for c in range(0, len(x), 4096)], axis=0)
     return out
 
 
 def near_links(df: DataFrame, id_col: str, text: str, t: float = NEAR) -> DataFrame:
     """(a, b, similarity) with a < b: class representatives whose 5-grams reach ``t``, by banded MinHash and verification.
 
-    The rows of a band follow from ``t`` (40 bands of 4 rows at 0.8), and so does the number of equal bits that
-    sketches of one bit per register must have: each loses a pair at ``t`` with a probability of 1e-9 at most.
+    The rows of a band follow from ``t`` (35 bands of 5 rows at 0.8), and so does the number of equal bits that
+    sketches of one bit per register must have: each loses a pair at ``t`` with a probability of 1e-6 at most.
     Copies are represented by their least id (:func:`text_classes` has the membership); buckets have no cap.
     """
     depth, least = band_rows(t), sketch_least(t)
+    m = band_count(t, depth)
     words = [f"s{i}" for i in range(PERMUTATIONS // 64)]
     rows = df.select(F.col(id_col).alias("_id"), norm(F.col(text)).alias("_t")).where("_t <> ''")
-    reps = rows.groupBy(F.xxhash64("_t").alias("_a"), F.xxhash64(F.lit(1), "_t").alias("_b")).agg(F.min("_id").alias("_id"), F.first("_t").alias("_t")).select("_id", "_t")
-    reps = cut(reps)
+    # texts are read again where they are needed, and never written
+    ids = cut(rows.groupBy(F.xxhash64("_t").alias("_a"), F.xxhash64(F.lit(1), "_t").alias("_b")).agg(F.min("_id").alias("_id")).select("_id"))
+    reps = widened(rows).join(small(ids), "_id", "left_semi")
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            g = gram_hashes(b["_t"].tolist())
-            s = minhash(g)
-            m = band_count(t, depth)
-            key = np.empty((len(b), m), dtype=np.uint64)
-            for k in range(m):
-                h = np.full(len(b), k + 1, dtype=np.uint64)
-                for r in range(depth):
-                    h = (h ^ s[:, k * depth + r]) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(29)
-                key[:, k] = h
-            sketch = np.packbits((s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
-            out = {"key": key.reshape(-1).view(np.int64), "_id": np.repeat(b["_id"].to_numpy(), m), "n": np.repeat(np.array([len(x) for x in g], dtype="int32"), m)}
-            yield pd.DataFrame(out | {w: np.repeat(sketch[:, i], m) for i, w in enumerate(words)})
+        for whole in batches:
+            for c in range(0, len(whole), 1000):
+                b = whole.iloc[c : c + 1000]
+                g = gram_hashes(b["_t"].tolist())
+                s = minhash(g)
+                key = np.empty((len(b), m), dtype=np.uint64)
+                for k in range(m):
+                    h = np.full(len(b), k + 1, dtype=np.uint64)
+                    for r in range(depth):
+                        h = (h ^ s[:, k * depth + r]) * np.uint64(0x9E3779B97F4A7C15)
+                        h ^= h >> np.uint64(29)
+                    key[:, k] = h
+                sketch = np.packbits((s * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8), axis=1).view(np.int64)
+                out = {"key": key.reshape(-1).view(np.int64), "_id": np.repeat(b["_id"].to_numpy(), m), "n": np.repeat(np.array([len(x) for x in g], dtype="int32"), m)}
+                yield pd.DataFrame(out | {w: np.repeat(sketch[:, i], m) for i, w in enumerate(words)})
 
     kind = dict(reps.dtypes)["_id"]
     keyed = reps.mapInPandas(bands, f"key bigint, _id {kind}, n int, {', '.join(f'{w} bigint' for w in words)}")
     a, b = (keyed.select("key", F.col("_id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(w).alias(f"{w}_{x}") for w in words)) for x in "ab")
     unequal = " + ".join(f"bit_count({w}_a ^ {w}_b)" for w in words)
     near = f"a < b and least(n_a, n_b) >= {t} * greatest(n_a, n_b) - 1e-9 and {unequal} <= {PERMUTATIONS - least}"
-    # both sides reach the join straight from their exchange, so that adaptive execution can split a hot band over tasks
-    with partitions_for(df.sparkSession, reps.count() * band_count(t, depth) * (20 + 8 * len(words)) * 2):
-        cand = cut(a.join(b, "key").where(near).select("a", "b").distinct())
-    need = cand.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    texts = cut(reps.join(need, "_id", "left_semi"))
+    # a sort-merge join: estimates of small inputs must not lead to a broadcast of all bands. Both sides are one exchange right below
+    # it, so that adaptive execution can split a hot band over tasks
+    with partitions_for(df.sparkSession, ids.count() * m * (20 + 8 * len(words)) * 2):
+        cand = cut(a.hint("merge").join(b.hint("merge"), "key").where(near).select("a", "b").distinct())
+    need = cut(cand.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+    texts = cut(rows.join(small(need), "_id", "left_semi").groupBy("_id").agg(F.first("_t").alias("_t")))
     both = spread(cand, "a").join(texts.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -55,6 +55,12 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """A scan with much work a row, over all cores even if its files are few; left alone if it has as many splits as there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Bytes that a task of a large exchange should read.
 TASK_BYTES = 8_000_000
 
