@@ -149,9 +149,9 @@ def near_duplicates(df: DataFrame, id_col: str = "item_id", instructions: str =
     banded = rows.select("_i", "_s", F.lit(0).alias("_id")).mapInPandas(bands, "key bigint, class bigint, n int, s0 bigint, s1 bigint")
     a, b = (banded.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "s0", "s1"))) for x in "ab")
     near = f"class_a < class_b and least(n_a, n_b) >= {t} * greatest(n_a, n_b) - 1e-9 and bit_count(s0_a ^ s0_b) + bit_count(s1_a ^ s1_b) <= {SKETCH_BITS - sketch_least(t, SKETCH_BITS, 1e-4)}"
-    # both sides of about 28 bytes a row reach every task
+    # both sides of about 28 bytes a row reach every task; a sort-merge join, as estimates of small inputs must not lead to a broadcast of all bands
     with partitions_for(df.sparkSession, named.count() * (BANDED // depth) * 28 * 2):
-        cand = cut(a.join(b, "key").where(near).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct())
+        cand = cut(a.hint("merge").join(b.hint("merge"), "key").where(near).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct())
     need = cand.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     one = named.join(need, "class", "left_semi").groupBy("class", "check").agg(F.min("_id").alias("_id")).select("_id").distinct()
     text = cut(rows.join(one, "_id", "left_semi").mapInPandas(texts, "class bigint, check bigint, text string").groupBy("class", "check").agg(F.first("text").alias("text")))
