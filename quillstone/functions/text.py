@@ -53,6 +53,11 @@ def norm(col: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(col, _SPACE, " ")))
 
 
+def shown(col: Column) -> Column:
+    """Whether a text has anything but white space, hence a normal form that isn't empty; found without making it."""
+    return col.rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
 def word_count(col: Column) -> Column:
     """Words between white space; each kana, CJK or hangul character is a word. Composed and combining spellings count alike."""
     col = F.coalesce(nfc(F.when(col.rlike(_COMBINING), col)), col)

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import probability as P
-from quillstone.functions.text import norm
+from quillstone.functions.text import norm, shown
 from quillstone.operators.graph import components
 from quillstone.session import cut, partitions_for, small, spread, widened
 
 GRAM, NEAR = 5, 0.8
 #: Registers of a signature, the most bands, and the probability with which a pair at the threshold may be lost by banding, and by the sketch.
-PERMUTATIONS, BANDS, LOSS = 384, 36, 1e-6
+PERMUTATIONS, BANDS, LOSS = 256, 36, 1e-6
 
 
 def band_count(t: float, rows: int) -> int:
@@ -98,7 +98,7 @@ def near_links(df: DataFrame, id_col: str, text: str, t: float = NEAR) -> DataFr
     depth, least = band_rows(t), sketch_least(t)
     m = band_count(t, depth)
     words = [f"s{i}" for i in range(PERMUTATIONS // 64)]
-    rows = df.select(F.col(id_col).alias("_id"), norm(F.col(text)).alias("_t")).where("_t <> ''")
+    rows = df.where(shown(F.col(text))).select(F.col(id_col).alias("_id"), norm(F.col(text)).alias("_t"))
     # texts are read again where they are needed, and never written
     ids = cut(rows.groupBy(F.xxhash64("_t").alias("_a"), F.xxhash64(F.lit(1), "_t").alias("_b")).agg(F.min("_id").alias("_id")).select("_id"))
     reps = widened(rows).join(small(ids), "_id", "left_semi")
@@ -150,7 +150,7 @@ def near_classes(df: DataFrame, id_col: str, text: str, t: float = NEAR) -> Data
     links = cut(near_links(df, id_col, text, t))
     group = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    member = text_classes(df.where(norm(F.col(text)) != ""), id_col, F.col(text)).withColumnRenamed("class_id", "rep")
+    member = text_classes(df.where(shown(F.col(text))), id_col, F.col(text)).withColumnRenamed("class_id", "rep")
     out = member.join(degree, "rep", "left").join(group, F.col("rep") == F.col("node"), "left")
     return out.select(id_col, F.coalesce("component", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
 
