@@ -1,17 +1,14 @@
-"""Same or near-same records across splits: an exact prefix-filter join of evaluation and training rows.
+"""Same or near-same records across splits: an exact join of evaluation and training rows by parity bitmaps.
 
 Rows are compared only under the same instructions. Copies collapse first. Within one set of
 instructions, evaluation texts are cut into blocks of a bounded number of shingles, by the size of their shingle sets and by
-hash where too many sizes tie, and every training text goes to the blocks whose sizes the length filter allows. A block holds
-an inverted index of the prefixes of its evaluation texts: shingles are ordered from rare to frequent *in
-that block*, so a prefix is made of the rarest shingles of a text. A training text probes the index
-with its own prefix; the length filter picks a stretch of each posting list, the position filter drops
-matches that come too late for the overlap required, parity bitmaps bound the overlap of what is left
-from above, and the rest is verified on whole sets. Every filter is exact; nothing is sampled or capped, and
-small and large groups have the same plan: a small one is a single block.
-
-Memory per task is bounded by the shingles of ``block`` and ``probe_block``, whatever the size
-of a group, and a hot group of equal instructions is spread over many tasks.
+hash where too many sizes tie, and every training text goes to the blocks whose sizes the length filter allows. Only
+bitmaps of the shingle sets travel there (:mod:`quillstone.functions.parity`): they bound the overlap of two sets from above, at a few
+nanoseconds a pair. The texts of the pairs that are left are read again and compared on whole sets. Every filter is exact;
+nothing is sampled or capped, and small and large groups have the same plan: a small one is a single block.
+
+Memory per task is bounded by ``block`` and ``probe_block``, whatever the size of a group, and a hot group of equal
+instructions is spread over many tasks. :func:`prefix_join` is the same join of two lists in memory, by prefixes.
 """
 
 from __future__ import annotations
@@ -23,15 +20,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.shingles import hash_text, letters, plain, shingles
-from quillstone.session import cut, partitions_for
+from quillstone.functions import parity
+from quillstone.llm.shingles import hash_text, jaccard, letters, plain, shingles
+from quillstone.operators.blocks import placed_blocks
+from quillstone.session import cut, partitions_for, small, spread
 
 THRESHOLD = 0.8
-_STATE = "_id bigint, _role int, ih bigint, th bigint, th2 bigint, text string, n int"
+_STATE = "_id bigint, _role int, ih bigint, th bigint, th2 bigint, n int, map binary"
 
 
-def keyed_states(df: DataFrame, id_col: str, role: str, instructions: str, state: str, sizes: bool = True) -> DataFrame:
-    """(_id, _role, ih, th, th2, text, n): hashes of instructions and state as they look, the text and its set size (0 unless ``sizes``).
+def keyed_states(df: DataFrame, id_col: str, role: str, instructions: str, state: str, t: float = THRESHOLD) -> DataFrame:
+    """(_id, _role, ih, th, th2, n, map): hashes of instructions and state as they look, the size of the set of shingles and its bitmap for ``t``.
 
     Rows whose id or state is null take no part; null instructions equal empty ones. Two hashes tell texts apart.
     """
@@ -45,13 +44,20 @@ def keyed_states(df: DataFrame, id_col: str, role: str, instructions: str, state
                     if len(seen) > 10_000:
                         seen.clear()
                     seen[i] = hash_text(letters(i))
-            n = np.diff(shingles(text)[0]) if sizes else np.zeros(len(text))
-            yield pd.DataFrame({"_id": b["_id"], "_role": b["_role"], "ih": [seen[i] for i in b["_i"]], "th": [hash_text(t) for t in text], "th2": [hash_text(t, 1) for t in text], "text": text, "n": n.astype("int32")})
+            start, hashes = shingles(text)
+            yield pd.DataFrame({"_id": b["_id"], "_role": b["_role"], "ih": [seen[i] for i in b["_i"]], "th": [hash_text(x) for x in text], "th2": [hash_text(x, 1) for x in text], "n": np.diff(start).astype("int32"), "map": parity.bitmaps(start, hashes, t)})
 
     rows = df.where(F.col(state).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.col(role).cast("int").alias("_role"), F.coalesce(F.col(instructions), F.lit("")).alias("_i"), F.col(state).alias("_s"))
     return rows.mapInPandas(run, _STATE)
 
 
+def keyed_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(th, th2, text) of states."""
+    for b in batches:
+        text = [plain(s) for s in b["_st"]]
+        yield pd.DataFrame({"th": [hash_text(x) for x in text], "th2": [hash_text(x, 1) for x in text], "text": text}).drop_duplicates(["th", "th2"])
+
+
 WORDS = 8  # 64-bit words of a parity bitmap
 
 
@@ -158,8 +164,8 @@ def prefix_join(index: list[str], probe: list[str], t: float = THRESHOLD, batch:
     return tuple(np.concatenate(x) for x in zip(*((i, j + c, s) for c, (i, j, s) in zip(shift, parts)))) if parts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))  # type: ignore[return-value]
 
 
-#: Shingles of the evaluation and of the training texts that meet in one task.
-BLOCK, PROBE_BLOCK = 3_000_000, 6_000_000
+#: Shingles of the evaluation and of the training texts whose bitmaps meet in one task, where a text counts as ``LEAST`` at least.
+BLOCK, PROBE_BLOCK, LEAST = 24_000_000, 48_000_000, 200
 
 
 def split_pairs(df: DataFrame, eval_suites: DataFrame, id_col: str = "item_id", split: str = "split", suite: str = "suite", instructions: str = "instructions", state: str = "state", suite_of: str = "suite", t: float = THRESHOLD, block: int = BLOCK, probe_block: int = PROBE_BLOCK) -> DataFrame:
@@ -174,63 +180,47 @@ def split_pairs(df: DataFrame, eval_suites: DataFrame, id_col: str = "item_id",
     role = F.when(F.col("_sp") == "train", 0).when(F.col("_sp").isin("dev", "test") & F.col("_listed"), 1)
     rows = rows.where(F.col("_sp").isin("train", "dev", "test")).join(suites, "_su", "left").withColumn("_r", role).where(F.col("_r").isNotNull())
     text = ["ih", "th", "th2"]
-    members = cut(keyed_states(rows, "_id", "_r", "_in", "_st").select("_id", "_role", *text, "n"))
-    once = members.groupBy("_role", *text).agg(F.first("n").alias("n"))
-    # the join finds both sides partitioned by its keys: texts travel once
-    docs = keyed_states(rows, "_id", "_r", "_in", "_st", sizes=False).groupBy("_role", *text).agg(F.first("text").alias("text")).join(once, ["_role", *text])
-    with partitions_for(df.sparkSession, members.agg(F.sum("n")).first()[0] or 0):  # a byte for each shingle, about the length of the texts
-        pairs = cut(block_join(once, docs, t, block, probe_block))
+    members = cut(keyed_states(rows, "_id", "_r", "_in", "_st", t))
+    once = members.groupBy("_role", *text).agg(F.first("n").alias("n"), F.first("map").alias("map"))
+    with partitions_for(df.sparkSession, members.agg(F.sum(F.octet_length("map") + 60)).first()[0] or 0):
+        cand = cut(block_join(once, t, block, probe_block))
+    pairs = verified(cand, members, rows, t)
     ev = members.where("_role = 1").select(F.col("_id").alias("eval_id"), "ih", F.col("th").alias("th_e"), F.col("th2").alias("th2_e"))
     tr = members.where("_role = 0").select(F.col("_id").alias("train_id"), "ih", F.col("th").alias("th_t"), F.col("th2").alias("th2_t"))
     return pairs.join(ev, ["ih", "th_e", "th2_e"]).join(tr, ["ih", "th_t", "th2_t"]).select("eval_id", "train_id", "similarity").distinct()
 
 
-def placed_blocks(sizes: DataFrame, docs: DataFrame, t: float, block: int, probe_block: int, steps: int = 64) -> DataFrame:
-    """(ih, band, sub, part, _role, th, th2, text): the documents at every block that they take part in.
+def block_join(docs: DataFrame, t: float, block: int, probe_block: int) -> DataFrame:
+    """(ih, th_e, th2_e, th_t, th2_t) of documents of role 1 and of role 0 whose sizes and bitmaps allow a similarity of ``t``.
 
-    Bands are cut at quantiles of the set sizes of role 1 (``steps`` to choose from), weighted by shingles; a band that still has more than
-    ``block`` of them, as where sizes tie, is spread over ``sub`` by hash. Documents of role 0 go to all subs of a band, spread over
-    ``part``.
-    """
-    edges = ", ".join(f"{i / steps}D" for i in range(1, steps))
-    is_eval = F.col("_role") == 1
-    band = lambda n: F.expr(f"size(filter(cuts, c -> c < {n}))")
-    weight = F.greatest(F.col("n"), F.lit(1)).cast("long")
-    hist = cut(sizes.groupBy("ih", "n").agg(F.sum(F.when(is_eval, weight).otherwise(0)).alias("e"), F.sum(F.when(is_eval, 0).otherwise(weight)).alias("p")))
-    groups = hist.groupBy("ih").agg(F.sum("e").alias("e"), F.sum("p").alias("p"), F.expr(f"percentile(n, array({edges}), e)").alias("q")).where("e > 0 and p > 0")
-    groups = groups.withColumns({"blocks": F.ceil(F.col("e") / block).cast("int"), "parts": F.ceil(F.col("p") / probe_block).cast("int")})
-    groups = groups.withColumn("bands", F.least(F.col("blocks"), F.lit(steps)))
-    cuts = f"case when bands <= 1 then cast(array() as array<double>) else array_distinct(transform(sequence(1, bands - 1), i -> element_at(q, cast(ceil(i * {steps} / bands) as int)))) end"
-    groups = groups.withColumn("cuts", F.expr(cuts)).select("ih", "parts", "cuts")
-    filled = hist.where("e > 0").join(groups, "ih").groupBy("ih", band("n").alias("band")).agg(F.ceil(F.sum("e") / block).cast("int").alias("of"))
-    subs = filled.groupBy("ih").agg(F.map_from_entries(F.collect_list(F.struct("band", "of"))).alias("subs"))
-    placed = docs.join(groups.join(subs, "ih"), "ih")
-    lo = F.when(is_eval, band("n")).otherwise(band(f"floor(n * {t} - 1e-6)"))
-    hi = F.when(is_eval, band("n")).otherwise(band(f"ceil(n / {t} + 1e-6)"))
-    salt = lambda of: F.pmod(F.xxhash64("th", F.lit(7)), of).cast("int")
-    placed = placed.withColumns({"band": F.explode(F.sequence(lo, hi)), "_part": salt(F.col("parts"))})
-    placed = placed.withColumn("of", F.expr("try_element_at(subs, band)")).where("of is not null")  # no evaluation text in the band otherwise
-    placed = placed.withColumn("sub", F.explode(F.when(is_eval, F.array(salt(F.col("of")))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))))
-    placed = placed.withColumn("part", F.explode(F.when(is_eval, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("_part"))))
-    return placed.select("ih", "band", "sub", "part", "_role", "th", "th2", "text")
-
-
-def block_join(sizes: DataFrame, docs: DataFrame, t: float, block: int, probe_block: int) -> DataFrame:
-    """(ih, th_e, th2_e, th_t, th2_t, similarity) of the documents of role 1 (indexed) and role 0 (probing).
-
-    ``sizes`` holds (_role, ih, th, th2, n) of each document, ``docs`` their texts besides.
+    ``docs`` holds (_role, ih, th, th2, n, map) of each document.
     """
-    placed = placed_blocks(sizes, docs, t, block, probe_block)
+    placed = placed_blocks(docs, docs, t, block, probe_block, least=LEAST)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         e, p = g[g["_role"] == 1], g[g["_role"] == 0]
-        if e.empty or p.empty:
-            return pd.DataFrame({"ih": [], "th_e": [], "th2_e": [], "th_t": [], "th2_t": [], "similarity": []})
-        i, j, s = prefix_join(e["text"].tolist(), p["text"].tolist(), t)
+        i, j = parity.may_reach(e["map"].tolist(), e["n"].to_numpy(), p["map"].tolist(), p["n"].to_numpy(), t)
         pick = lambda x, c, at: x[c].to_numpy()[at]
-        return pd.DataFrame({"ih": np.full(len(i), g["ih"].iloc[0]), "th_e": pick(e, "th", i), "th2_e": pick(e, "th2", i), "th_t": pick(p, "th", j), "th2_t": pick(p, "th2", j), "similarity": s})
+        return pd.DataFrame({"ih": np.full(len(i), g["ih"].iloc[0]), "th_e": pick(e, "th", i), "th2_e": pick(e, "th2", i), "th_t": pick(p, "th", j), "th2_t": pick(p, "th2", j)})
+
+    return placed.groupBy("ih", "band", "sub", "part").applyInPandas(run, "ih bigint, th_e bigint, th2_e bigint, th_t bigint, th2_t bigint")
+
+
+def verified(cand: DataFrame, members: DataFrame, rows: DataFrame, t: float) -> DataFrame:
+    """The pairs of the cut table ``cand`` that reach ``t``, with their similarity; the texts are read again from ``rows``."""
+    need = cand.select(F.explode(F.array(*(F.struct("ih", F.col(f"th_{x}").alias("th"), F.col(f"th2_{x}").alias("th2")) for x in "et"))).alias("k")).select("k.*").distinct()
+    one = cut(members.join(need, ["ih", "th", "th2"], "left_semi").groupBy("th", "th2").agg(F.min("_id").alias("_id")).select("_id").distinct())
+    again = rows.where("_st is not null").select(F.col("_id").cast("bigint").alias("_id"), "_st").join(small(one), "_id", "left_semi").select("_st")
+    texts = cut(again.mapInPandas(keyed_texts, "th bigint, th2 bigint, text string").groupBy("th", "th2").agg(F.first("text").alias("text")))
+    side = lambda x: texts.select(F.col("th").alias(f"th_{x}"), F.col("th2").alias(f"th2_{x}"), F.col("text").alias(f"text_{x}"))
+    both = spread(cand, "th_e").join(side("e"), ["th_e", "th2_e"]).join(side("t"), ["th_t", "th2_t"])
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            s = jaccard(x["text_e"].tolist(), x["text_t"].tolist())
+            yield x.assign(similarity=s).loc[s >= t - 1e-12, ["ih", "th_e", "th2_e", "th_t", "th2_t", "similarity"]]
 
-    return placed.groupBy("ih", "band", "sub", "part").applyInPandas(run, "ih bigint, th_e bigint, th2_e bigint, th_t bigint, th2_t bigint, similarity double")
+    return both.mapInPandas(verify, "ih bigint, th_e bigint, th2_e bigint, th_t bigint, th2_t bigint, similarity double")
 
 
 def ordered(pairs: DataFrame, a: str, b: str, id_col: str) -> DataFrame:
