@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.session import cut
+from quillstone.session import cut, small
+
+#: Groups whose cuts are broadcast at most.
+GROUPS = 20_000
 
 
 def placed_blocks(sizes: DataFrame, docs: DataFrame, t: float, block: int, probe_block: int, steps: int = 64, least: int = 1, upward: bool = False) -> DataFrame:
@@ -29,7 +32,7 @@ def placed_blocks(sizes: DataFrame, docs: DataFrame, t: float, block: int, probe
     groups = groups.withColumn("cuts", F.expr(cuts)).select("ih", "parts", "cuts")
     filled = hist.where("e > 0").join(groups, "ih").groupBy("ih", band("n").alias("band")).agg(F.ceil(F.sum("e") / block).cast("int").alias("of"))
     subs = filled.groupBy("ih").agg(F.map_from_entries(F.collect_list(F.struct("band", "of"))).alias("subs"))
-    placed = docs.join(groups.join(subs, "ih"), "ih")
+    placed = docs.join(small(cut(groups.join(subs, "ih")), GROUPS), "ih")
     lo = F.when(is_eval, band("n")).otherwise(band("n" if upward else f"floor(n * {t} - 1e-6)"))
     hi = F.when(is_eval, band("n")).otherwise(band(f"ceil(n / {t} + 1e-6)"))
     salt = lambda of: F.pmod(F.xxhash64("th", F.lit(7)), of).cast("int")
@@ -37,4 +40,7 @@ def placed_blocks(sizes: DataFrame, docs: DataFrame, t: float, block: int, probe
     placed = placed.withColumn("of", F.expr("try_element_at(subs, band)")).where("of is not null")  # no evaluation text in the band otherwise
     placed = placed.withColumn("sub", F.explode(F.when(is_eval, F.array(salt(F.col("of")))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))))
     placed = placed.withColumn("part", F.explode(F.when(is_eval, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("_part"))))
-    return placed.select("band", "sub", "part", *docs.columns)
+    # a join by group leaves all blocks of a group in one task, and that would be enough for what follows; adaptive execution
+    # would join small blocks with much work
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.select("band", "sub", "part", *docs.columns).repartition(tasks, "ih", "band", "sub", "part")

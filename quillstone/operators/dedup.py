@@ -10,14 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions import parity
 from quillstone.functions import probability as P
 from quillstone.functions.text import norm, shown
+from quillstone.operators.blocks import placed_blocks
 from quillstone.operators.graph import components
 from quillstone.session import cut, partitions_for, small, spread, widened
 
 GRAM, NEAR = 5, 0.8
 #: Registers of a signature, the most bands, and the probability with which a pair at the threshold may be lost by banding, and by the sketch.
 PERMUTATIONS, BANDS, LOSS = 256, 36, 1e-6
+#: Bands of fewer rows bring unrelated texts of one kind together; there, bitmaps of the sets are compared instead, in blocks of so many grams.
+LEAST_ROWS, LEAST_BLOCK, MOST_BLOCK = 4, 7_000_000, 60_000_000
 
 
 def band_count(t: float, rows: int) -> int:
@@ -88,17 +92,48 @@ def minhash(grams: Sequence[np.ndarray], permutations: int = PERMUTATIONS, seed:
     return out
 
 
-def near_links(df: DataFrame, id_col: str, text: str, t: float = NEAR) -> DataFrame:
+def _bitmap_pairs(reps: DataFrame, t: float) -> DataFrame:
+    """(a, b) with a < b of ``reps`` (_id, _t, _g): all texts of one _g whose sizes and bitmaps allow a similarity of ``t``."""
+    kind = dict(reps.dtypes)["_id"]
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            g = gram_hashes(b["_t"].tolist())
+            n = np.array([len(x) for x in g], dtype="int32")
+            bits = parity.bitmaps(np.append(0, np.cumsum(n, dtype=np.int64)), np.concatenate([*g, np.zeros(0, dtype=np.uint64)]), t)
+            yield pd.DataFrame({"ih": b["_g"], "th": b["_id"], "n": n, "map": bits})
+
+    docs = cut(reps.select("_id", "_t", "_g").mapInPandas(maps, f"ih bigint, th {kind}, n int, map binary"))
+    size = docs.agg(F.sum(F.col("n").cast("long")).alias("n"), F.sum(F.octet_length("map") + 60).alias("bytes")).first()
+    block = min(max(LEAST_BLOCK, (size["n"] or 0) // 12), MOST_BLOCK)
+    # every text is both the larger and the smaller one of its pairs
+    roles = docs.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("_role"), "ih", "th", "n", "map")
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = g[g["_role"] == 1], g[g["_role"] == 0]
+        n, m = x["n"].to_numpy(), y["n"].to_numpy()
+        i, j = parity.may_reach(x["map"].tolist(), n, y["map"].tolist(), m, t, upward=True)
+        a, b, larger = x["th"].to_numpy()[i], y["th"].to_numpy()[j], n[i] > m[j]
+        once = (a != b) & (larger | (a > b))
+        a, b = a[once], b[once]
+        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a)})
+
+    with partitions_for(reps.sparkSession, (size["bytes"] or 0) * 4):
+        return cut(placed_blocks(roles, roles, t, block, 2 * block, least=200, upward=True).groupBy("ih", "band", "sub", "part").applyInPandas(meet, f"a {kind}, b {kind}").distinct())
+
+
+def near_links(df: DataFrame, id_col: str, text: str, t: float = NEAR, within: str | None = None) -> DataFrame:
     """(a, b, similarity) with a < b: class representatives whose 5-grams reach ``t``, by banded MinHash and verification.
 
-    The rows of a band follow from ``t`` (35 bands of 5 rows at 0.8), and so does the number of equal bits that
+    With ``within``, only representatives that agree in that column. Below a threshold of about 0.75, where bands tell little, pairs are found by
+    bitmaps of the sets, and none is lost. The rows of a band follow from ``t`` (35 bands of 5 rows at 0.8), and so does the number of equal bits that
     sketches of one bit per register must have: each loses a pair at ``t`` with a probability of 1e-6 at most.
     Copies are represented by their least id (:func:`text_classes` has the membership); buckets have no cap.
     """
     depth, least = band_rows(t), sketch_least(t)
     m = band_count(t, depth)
     words = [f"s{i}" for i in range(PERMUTATIONS // 64)]
-    rows = df.where(shown(F.col(text))).select(F.col(id_col).alias("_id"), norm(F.col(text)).alias("_t"))
+    rows = df.where(shown(F.col(text))).select(F.col(id_col).alias("_id"), norm(F.col(text)).alias("_t"), (F.xxhash64(within) if within else F.lit(0).cast("bigint")).alias("_g"))
     # texts are read again where they are needed, and never written
     ids = cut(rows.groupBy(F.xxhash64("_t").alias("_a"), F.xxhash64(F.lit(1), "_t").alias("_b")).agg(F.min("_id").alias("_id")).select("_id"))
     reps = widened(rows).join(small(ids), "_id", "left_semi")
@@ -108,10 +143,10 @@ def near_links(df: DataFrame, id_col: str, text: str, t: float = NEAR) -> DataFr
             for c in range(0, len(whole), 1000):
                 b = whole.iloc[c : c + 1000]
                 g = gram_hashes(b["_t"].tolist())
-                s = minhash(g)
+                s, group = minhash(g), b["_g"].to_numpy(dtype=np.int64).view(np.uint64)
                 key = np.empty((len(b), m), dtype=np.uint64)
                 for k in range(m):
-                    h = np.full(len(b), k + 1, dtype=np.uint64)
+                    h = group ^ np.uint64(k + 1)
                     for r in range(depth):
                         h = (h ^ s[:, k * depth + r]) * np.uint64(0x9E3779B97F4A7C15)
                         h ^= h >> np.uint64(29)
@@ -121,14 +156,17 @@ def near_links(df: DataFrame, id_col: str, text: str, t: float = NEAR) -> DataFr
                 yield pd.DataFrame(out | {w: np.repeat(sketch[:, i], m) for i, w in enumerate(words)})
 
     kind = dict(reps.dtypes)["_id"]
-    keyed = reps.mapInPandas(bands, f"key bigint, _id {kind}, n int, {', '.join(f'{w} bigint' for w in words)}")
-    a, b = (keyed.select("key", F.col("_id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(w).alias(f"{w}_{x}") for w in words)) for x in "ab")
-    unequal = " + ".join(f"bit_count({w}_a ^ {w}_b)" for w in words)
-    near = f"a < b and least(n_a, n_b) >= {t} * greatest(n_a, n_b) - 1e-9 and {unequal} <= {PERMUTATIONS - least}"
-    # a sort-merge join: estimates of small inputs must not lead to a broadcast of all bands. Both sides are one exchange right below
-    # it, so that adaptive execution can split a hot band over tasks
-    with partitions_for(df.sparkSession, ids.count() * m * (20 + 8 * len(words)) * 2):
-        cand = cut(a.hint("merge").join(b.hint("merge"), "key").where(near).select("a", "b").distinct())
+    if depth < LEAST_ROWS:
+        cand = _bitmap_pairs(reps, t)
+    else:
+        keyed = reps.mapInPandas(bands, f"key bigint, _id {kind}, n int, {', '.join(f'{w} bigint' for w in words)}")
+        a, b = (keyed.select("key", F.col("_id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(w).alias(f"{w}_{x}") for w in words)) for x in "ab")
+        unequal = " + ".join(f"bit_count({w}_a ^ {w}_b)" for w in words)
+        near = f"a < b and least(n_a, n_b) >= {t} * greatest(n_a, n_b) - 1e-9 and {unequal} <= {PERMUTATIONS - least}"
+        # a sort-merge join: estimates of small inputs must not lead to a broadcast of all bands. Both sides are one exchange right below
+        # it, so that adaptive execution can split a hot band over tasks
+        with partitions_for(df.sparkSession, ids.count() * m * (20 + 8 * len(words)) * 2):
+            cand = cut(a.hint("merge").join(b.hint("merge"), "key").where(near).select("a", "b").distinct())
     need = cut(cand.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
     texts = cut(rows.join(small(need), "_id", "left_semi").groupBy("_id").agg(F.first("_t").alias("_t")))
     both = spread(cand, "a").join(texts.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b")

@@ -336,7 +336,7 @@ def mean_similarity(s: SparkSession, d: str) -> DataFrame:
 def looser_links(s: SparkSession, d: str) -> DataFrame:
     """Documents of one language whose 5-grams reach a similarity of 0.6."""
     docs = table(s, d, "documents").select("doc_id", "text", F.coalesce(language_code(F.col("lang")), F.lit("none")).alias("code"))
-    e = D.near_links(docs, "doc_id", "text", 0.6)
+    e = D.near_links(docs, "doc_id", "text", 0.6, "code")
     side = lambda x: docs.select(F.col("doc_id").alias(x), F.col("code").alias(f"code_{x}"))
     return e.join(side("a"), "a").join(side("b"), "b").where("code_a = code_b").select("a", "b", F.round("similarity", 9).alias("similarity"))
 
